@@ -51,11 +51,12 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _batch(key, doc, value, known, start=None) -> pa.RecordBatch:
-    cols = {"key": pa.array(signed(key)), "id": pa.array(doc), "value": pa.array(signed(value))}
-    if start is not None:
-        cols["start"] = pa.array(start.astype(np.int32))
-    return pa.RecordBatch.from_pydict(cols | {"known": pa.array(known)})
+def _batch(doc, value, known, start=None) -> pa.RecordBatch:
+    """Rows in document order, which compresses best.  A row that is already decided has ``mark`` -1 - start (or -1)."""
+    at = np.zeros(len(doc), np.int32) if start is None else start.astype(np.int32)
+    order = np.lexsort((at, doc))
+    mark = np.where(known, -1 - at, at)
+    return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(signed(value[order])), pa.array(mark[order])], ["id", "value", "mark"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -76,8 +77,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             at = _runs(low)
             many = np.diff(np.append(at, len(low))) > 1
             known = np.repeat(many, np.diff(np.append(at, len(low))))
-            yield _batch(low[at], doc[at], low[at], np.zeros(len(at), bool))
-            yield _batch(mix(doc[known].view(_U)), doc[known], low[known], np.ones(known.sum(), bool))
+            yield _batch(np.append(doc[at], doc[known]), np.append(low[at], low[known]), np.arange(len(at) + known.sum()) >= len(at))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -88,7 +88,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (t := _gather(batches)) is None:
         return
-    known, doc, value = (t.column(n).to_numpy() for n in ("known", "id", "value"))
+    doc, value, mark = (t.column(n).to_numpy() for n in ("id", "value", "mark"))
+    known = mark < 0
     yield pa.RecordBatch.from_pydict({"id": doc[known], "value": value[known]})
     doc, value = doc[~known], value[~known]
     order = np.argsort(value, kind="stable")
@@ -107,7 +108,7 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, _ = _ids(batch)
+        ids, there = _ids(batch)
         marks, mark_row = _lists(batch.column("marks"))
         marks = mix(marks.view(_U) ^ mix(mark_row.astype(_U)))
         for c in chunks(batch.column("text")):
@@ -115,7 +116,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             whole_hash, whole = c.windows(window)
             row = c.row_of_word() + c.lo
             mine = marks[np.searchsorted(mark_row, c.lo) : np.searchsorted(mark_row, c.lo + c.rows)]
-            at = np.flatnonzero(whole)
+            at = np.flatnonzero(whole & there[row])
             low = _smallest_parts(parts, window - anchor + 1)[at]
             at = at[np.isin(mix(low ^ mix(row[at].astype(_U))), mine)]
             value, doc, start = whole_hash[at], ids[row[at]], at - c.first[row[at] - c.lo]
@@ -123,17 +124,15 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             value, doc, start = value[order], doc[order], start[order]
             runs = _runs(value)
             least = np.repeat(doc[runs], np.diff(np.append(runs, len(doc))))
-            known = doc > least
-            go = ~known
-            yield _batch(value[go], doc[go], value[go], np.zeros(go.sum(), bool), start[go])
-            yield _batch(mix(doc[known].view(_U)), doc[known], value[known], np.ones(known.sum(), bool), start[known])
+            yield _batch(doc, value, doc > least, start)
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (t := _gather(batches)) is None:
         return
-    known, doc, value, start = (t.column(n).to_numpy() for n in ("known", "id", "value", "start"))
-    yield pa.RecordBatch.from_pydict({"id": doc[known], "start": start[known]})
+    doc, value, start = (t.column(n).to_numpy() for n in ("id", "value", "mark"))
+    known = start < 0
+    yield pa.RecordBatch.from_pydict({"id": doc[known], "start": -1 - start[known]})
     doc, value, start = doc[~known], value[~known], start[~known]
     order = np.argsort(value, kind="stable")
     doc, value, start = doc[order], value[order], start[order]
@@ -145,6 +144,8 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         starts, start_row = _lists(batch.column("starts"))
+        has_id = ~np.asarray(batch.column("id").is_null())[start_row]
+        starts, start_row = starts[has_id], start_row[has_id]
         for c in chunks(batch.column("text")):
             lo, hi = np.searchsorted(start_row, (c.lo, c.lo + c.rows))
             begin = c.first[start_row[lo:hi] - c.lo] + starts[lo:hi]
@@ -199,15 +200,17 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 0 < anchor <= window:
         raise ValueError("anchor must lie between 1 and window")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([row.alias("row")] if row is not None else []))
-    pair = "key long, id long, value long, "
-    anchors = texts.select("id", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), pair + "known boolean")
-    shared = anchors.repartition("key").mapInArrow(_shared, "id long, value long")
-    marks = shared.groupBy("id").agg(F.collect_list("value").alias("marks"))
-    windows = texts.join(marks.hint("shuffle_hash"), "id").select("id", "text", "marks").mapInArrow(partial(_windows, window=window, anchor=anchor), pair + "start int, known boolean")
-    removals = windows.repartition("key").mapInArrow(_removals, "id long, start int")
-    starts = removals.groupBy("id").agg(F.collect_list("start").alias("starts"))
+    texts = texts.withColumn("at", F.coalesce("id", F.xxhash64("text")))  # never null, so that both joins share one exchange
+    pair = "id long, value long, mark int"
+    meet = F.when(F.col("mark") < 0, F.xxhash64("id")).otherwise(F.col("value"))
+    anchors = texts.select("id", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), pair)
+    shared = anchors.repartition(meet).mapInArrow(_shared, "id long, value long")
+    marks = shared.groupBy(F.col("id").alias("at")).agg(F.collect_list("value").alias("marks"))
+    windows = texts.join(marks.hint("shuffle_hash"), "at").mapInArrow(partial(_windows, window=window, anchor=anchor), pair)
+    removals = windows.repartition(meet).mapInArrow(_removals, "id long, start int")
+    starts = removals.groupBy(F.col("id").alias("at")).agg(F.collect_list("start").alias("starts"))
     out = "id long, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>"
     if row is not None:
         out += f", row {texts.schema['row'].dataType.simpleString()}"
-    cut = texts.join(starts.hint("shuffle_hash"), "id", "left").mapInArrow(partial(_cut, window=window), out)
+    cut = texts.join(starts.hint("shuffle_hash"), "at", "left").mapInArrow(partial(_cut, window=window), out)
     return cut.withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as rules
+from tessera.llm.html_extract import extract_main_text
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import substring_dedup
@@ -37,11 +38,16 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": rules.oracle(),

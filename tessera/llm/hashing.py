@@ -90,16 +90,21 @@ def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)[start])
 
 
-def chunks(col: pa.Array, *, lower: bool = False, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cuts a column into chunks of whole rows of about ``chunk_bytes``; a longer row is a chunk of its own."""
+def chunks(col: pa.Array, *, lower: bool = False, chunk_bytes: int = CHUNK_BYTES, word_bytes: np.ndarray | None = None, table: np.ndarray | None = None) -> Iterator[Chunk]:
+    """Cuts a column into chunks of whole rows of about ``chunk_bytes``; a longer row is a chunk of its own.
+
+    ``word_bytes`` (a flag for each byte) and ``table`` (a byte for each byte) replace the default idea of a word.
+    """
+    table = _LOWER if lower else table
+    word_bytes = ~_WS if word_bytes is None else word_bytes
     data, at = text_column(col)
     n, lo = len(at) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + chunk_bytes, "right")) - 1)
         raw = data[at[lo] : at[hi]]
-        buf = _LOWER[raw] if lower else raw
+        buf = raw if table is None else table[raw]
         off = at[lo : hi + 1] - at[lo]
-        word = ~_WS[buf]
+        word = word_bytes[buf]
         cut = np.zeros(len(buf) + 1, bool)
         cut[off] = True
         begins, ends = word.copy(), word.copy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as rules
@@ -13,6 +13,7 @@ from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.tables import table
+from tessera.llm.toxicity import score_toxicity, train
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def _fold(col: str, folds: int) -> Column:
+    return F.crc32(F.col(col).cast("string")) % folds
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels, allowed=_fold("id", 5) != 0)
+    return score_toxicity(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_html_extraction": op9_html_extraction,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": rules.oracle(),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as rules
+from tessera.llm.embedding_dedup import embedding_dedup
+from tessera.llm.embedding_dedup import oracle as embedding_dedup_oracle
 from tessera.llm.html_extract import extract_main_text
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
@@ -25,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -56,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_html_extraction": op9_html_extraction,
@@ -63,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": rules.oracle(),
+    "op5_embedding_dedup": embedding_dedup_oracle(),
 }

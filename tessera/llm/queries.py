@@ -11,6 +11,7 @@ from tessera.llm import quality_rules as rules
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.embedding_dedup import oracle as embedding_dedup_oracle
 from tessera.llm.html_extract import extract_main_text
+from tessera.llm import mixing
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import substring_dedup
@@ -18,6 +19,10 @@ from tessera.llm.tables import table
 from tessera.llm.toxicity import score_toxicity, train
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -60,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.oracle(),
     "op3_quality_rules": rules.oracle(),
     "op5_embedding_dedup": embedding_dedup_oracle(),
 }

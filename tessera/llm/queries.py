@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import language_id, license_scan, mixing
 from tessera.llm import quality_rules as rules
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.embedding_dedup import oracle as embedding_dedup_oracle
 from tessera.llm.html_extract import extract_main_text
-from tessera.llm import mixing
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import substring_dedup
@@ -19,10 +19,20 @@ from tessera.llm.tables import table
 from tessera.llm.toxicity import score_toxicity, train
 
 
+def _fold(col: str, folds: int) -> Column:
+    return F.crc32(F.col(col).cast("string")) % folds
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.train(docs, allowed=_fold("id", 3) != 1)
+    return language_id.identify(docs, profiles).select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -50,12 +60,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages"))
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
-def _fold(col: str, folds: int) -> Column:
-    return F.crc32(F.col(col).cast("string")) % folds
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +76,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
 }
@@ -78,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.oracle(),
     "op3_quality_rules": rules.oracle(),
     "op5_embedding_dedup": embedding_dedup_oracle(),
+    "op8_license_scan": license_scan.oracle(),
 }

@@ -63,9 +63,9 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     made = words.withColumn("_b", F.expr(f"if(size(_w) - 1 >= {fewest}D, array_distinct(zip_with(slice(_w, 1, size(_w) - 1), slice(_w, 2, size(_w) - 1), (a, b) -> concat(a, ' ', b))), array())")).drop("_w")
     fits = F.filter(table, lambda t: (F.size("_b") >= t.n * F.lit(least) - 1e-9) & (F.size("_b") <= t.n * F.lit(most) + 1e-9))
     dice = F.transform(fits, lambda t: F.struct(t.license_id.alias("license_id"), t.variant.alias("variant"), (2.0 * F.size(F.array_intersect(F.col("_b"), t.b)) / (F.size("_b") + t.n)).alias("dice")))
-    # the running number keeps Spark from pushing "has matches" below, where it would compute everything twice
-    found = made.withColumns({"_d": F.filter(dice, lambda d: d.dice >= threshold), "_at": F.monotonically_increasing_id()})
-    return found.select(F.col("id").alias(id_col), "unit_kind", "unit", F.explode("_d").alias("d")).select(id_col, "unit_kind", "unit", "d.*")
+    # explode_outer: of a plain explode Spark infers "has matches" and pushes it below, where all is computed again
+    found = made.select("id", "unit_kind", "unit", F.explode_outer(F.filter(dice, lambda d: d.dice >= threshold)).alias("d")).where("d is not null")
+    return found.select(F.col("id").alias(id_col), "unit_kind", "unit", "d.*")
 
 
 def oracle(threshold: float = 0.8) -> str:

@@ -4,11 +4,12 @@ Documents with equal shingle sets are one class and are compared once.  For a th
 t of each other's size share one of their first ``n - ceil(t n) + 1`` shingles in any order that all sets agree on.
 
 1. In the order of hashes, the prefix lengthened by l shingles must share min(l, l') of them with some other
-   class.  Most documents fail this at once; only the rest go on.  (5 % of a set serve as l.)
+   class.  Most documents fail this at once; only the rest go on.  (An eighth of a set serves as l.)
 2. For the rest, shingles are ordered from rare to frequent.  Shingles of one class alone lead nowhere but use up
    the prefix; sets whose prefix they fill are done.
-3. Classes with the same prefix and size form a group.  Members are compared with their group's centre, and
-   the centres with the most central one of each prefix shingle's list, under the size and position filters.
+3. Classes with the same prefix and size form a group.  Members are compared with their group's centre.  Groups
+   are paired with the most central group of each prefix shingle's list, under the size and position filters, and
+   the pairs that are left are expanded to members.
 4. Verified links are contracted to components.  Pairs that share a prefix shingle, pass the filters and are
    still in different components are then expanded to all members and verified too, so no link is lost.
 
@@ -26,15 +27,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
 from tessera.llm.hashing import chunks, list_column, mix, signed
-from tessera.llm.tables import release, stored
+from tessera.llm.tables import drop_stored, release, stored
 
 _U = np.uint64
-SPARE = 20  # one in so many shingles lengthens the first prefix
+SPARE = 8  # one in so many shingles lengthens the first prefix
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -93,10 +95,11 @@ def _meet_here(token: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["sig", "token", "met"]
     for batch in batches:
-        n = np.asarray(pa.compute.list_value_length(batch.column("head")), np.int64)
+        n = np.asarray(pc.list_value_length(batch.column("head")), np.int64)
         token, sig, both = _meet_here(batch.column("head").flatten().to_numpy(), np.repeat(batch.column("sig").to_numpy(), n))
         go = ~both | _new(token)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[go]), pa.array(token[go]), pa.array(np.zeros(go.sum(), bool))], names)
+        order = np.lexsort((token[go], sig[go]))  # rows of a class together compress best
+        yield pa.RecordBatch.from_arrays([pa.array(sig[go][order]), pa.array(token[go][order]), pa.array(np.zeros(len(order), bool))], names)
         at, n = _count(sig[both])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(np.ones(len(at), bool))], names)
 
@@ -136,16 +139,22 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     met = heads.repartition(meet).mapInArrow(_met, "sig long, met long").groupBy("sig").agg(F.sum("met").alias("met"))
     left = stored(classes.join(met, "sig").where(f"met >= greatest(1, (n * {percent}) div {100 * SPARE})").select(F.col("rep").alias("id")), "candidates")
     sets = stored(texts.join(left, "id", "left_semi").mapInArrow(partial(_full_sets, k=k), "id long, n long, set array<long>"), "sets")
+    slim = stored(rows.drop("head"), "signatures")
     del heads, met
+    drop_stored(rows)
+    rows = slim
     release(spark)
 
     tokens = sets.select("id", "n", F.explode("set").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    frequent = stored(frequent, "frequent")
+    release(spark)
     known = tokens.join(frequent, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     alone = F.col("n") - F.size("list")
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     prefixes = known.withColumn("alone", alone).withColumn("take", take.cast("int")).where("take > 0").select("id", "n", "alone", F.expr("transform(slice(list, 1, take), x -> x.token)").alias("prefix"))
     prefixes = stored(prefixes.withColumn("group", F.xxhash64("n", "prefix")), "prefixes")
+    drop_stored(frequent)
     del tokens, frequent, known
     release(spark)
 
@@ -154,10 +163,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least("a_reach", "b_reach") >= need)
 
     def entries(p: DataFrame) -> DataFrame:
-        return p.select("id", "n", "alone", F.posexplode("prefix").alias("pos", "token")).withColumn("reach", F.col("n") - F.col("alone") - F.col("pos"))
+        return p.select("id", "n", "alone", "group", F.posexplode("prefix").alias("pos", "token")).withColumn("reach", F.col("n") - F.col("alone") - F.col("pos"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "reach")], *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c == "component"])
+        return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "reach")], *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c in ("component", "group")])
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("set").alias(f"{s}_set")) for s in "ab")
@@ -166,9 +175,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     groups = stored(prefixes.groupBy("group").agg(F.min_by(F.struct("id", "n", "alone", "prefix"), F.struct("alone", "id")).alias("centre")), "groups")
     members = prefixes.select("group", "id").join(groups.select("group", F.col("centre.id").alias("a_id")), "group").where("id <> a_id").select("a_id", F.col("id").alias("b_id"))
-    listed = stored(entries(groups.select("centre.*")), "entries")
+    listed = stored(entries(groups.select("group", "centre.*")), "entries")
     pivots = stored(listed.groupBy("token").agg(F.min_by(F.struct("id", "n", "reach"), F.struct("alone", "id")).alias("p"), F.count("*").alias("many")).where("many > 1").select("token", "p.*"), "pivots")
-    stars = side(listed, "b").join(side(pivots, "a"), "token").where(fits & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id")
+    filtered = side(listed, "b").join(side(pivots, "a"), "token").where(fits).select("a_id", "b_group").distinct()
+    stars = stored(filtered, "pairs").join(prefixes.select(F.col("group").alias("b_group"), F.col("id").alias("b_id")), "b_group").where("a_id <> b_id").select("a_id", "b_id")
     links = stored(verified(members.unionByName(stars).distinct()), "links")
     merged = connected_components(links)
 

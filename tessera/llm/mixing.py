@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     block in the last epoch).  With ``carry`` the input row comes along as a struct ``row``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("n_words"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    rows = stored(rows, "rows")
+    if not carry:
+        rows = stored(rows, "rows")
     sums = stored(rows.groupBy("source").agg(F.sum("n_words").alias("words"), F.count("*").alias("docs")), "sources")
     total = sums.agg(F.sum("words")).first()[0] or 0
     if total == 0:

@@ -24,8 +24,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.hashing import chunks, list_column, mix, signed
 
@@ -102,7 +104,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each; null rows have none."""
-    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0), np.int64)
+    n = np.asarray(pc.fill_null(pc.list_value_length(col), 0), np.int64)
     return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), n)
 
 
@@ -209,8 +211,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     windows = texts.join(marks.hint("shuffle_hash"), "at").mapInArrow(partial(_windows, window=window, anchor=anchor), pair)
     removals = windows.repartition(meet).mapInArrow(_removals, "id long, start int")
     starts = removals.groupBy(F.col("id").alias("at")).agg(F.collect_list("start").alias("starts"))
-    out = "id long, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>"
+    out = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>")
     if row is not None:
-        out += f", row {texts.schema['row'].dataType.simpleString()}"
+        out = out.add("row", texts.schema["row"].dataType)
     cut = texts.join(starts.hint("shuffle_hash"), "at", "left").mapInArrow(partial(_cut, window=window), out)
     return cut.withColumnRenamed("id", id_col)

@@ -1,10 +1,8 @@
-"""Registry of the named queries and of their oracle SQL."""
+"""All named queries; importing the plan modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import curation, journal, relational, retrieval, rules  # noqa: F401
+from tessera.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import curation, journal, relational, retrieval, rules  # noqa: F401
+from tessera.plans import curation, journal, relational, retrieval, rules, store  # noqa: F401
 from tessera.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

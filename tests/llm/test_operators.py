@@ -32,7 +32,7 @@ def frame(spark, rows):
 
 def corpus(seed=1, n=60):
     rnd = random.Random(seed)
-    vocab = [f"w{i}" for i in range(300)]
+    vocab = ["the", "of", "and", *("".join(chr(97 + int(d)) for d in str(i + 100)) + "en" for i in range(300))]
     passage = " ".join(rnd.choice(vocab) for _ in range(60))
     rows = []
     for i in range(n):

@@ -64,7 +64,11 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         elif name in ("class", "id"):
             noise = noise or bool(NOISE.search(value))
             label += ("." if name == "class" else "#") + re.sub(r"\d+", "0", value)
-    return label, noise and tag not in ("html", "body", "article", "main") or noise and bool(re.search(r"comment|repl|promo|advert|sponsor|related|hidden", label, re.I))
+    if tag in ("html", "body"):
+        noise = False
+    elif tag in ("article", "main"):  # comments and teasers are often articles themselves
+        noise = noise and bool(re.search(r"comment|repl|promo|advert|sponsor|related", label, re.I))
+    return label, noise
 
 
 def _hash(text: str) -> int:

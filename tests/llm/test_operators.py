@@ -269,8 +269,9 @@ def test_html_cases(spark):
         "<main><p>in</p></main><p>out</p>", "<article><p>x<aside>y</aside>z</p></article><div class=sidebar>s</div>", "<p>unclosed <b>bold <i>it",
         "<div class='article-body'><p>text</p></div><div id='cookie-notice'>c</div><div role=navigation>n</div>",
         "<p>" + "long word " * 20_000,
+        "<body class='has-comments sidebar'><article class='post header'>kept</article><article class='comment'>gone</article></body>",
     ]
-    expected = ["T & x Onetwo three four five", "", "", "plain <text", "a b c d", "in", "x z", "unclosed bold it", "text", ("long word " * 20_000).strip()]
+    expected = ["T & x Onetwo three four five", "", "", "plain <text", "a b c d", "in", "x z", "unclosed bold it", "text", ("long word " * 20_000).strip(), "kept"]
     df = spark.createDataFrame([(i % 7, f"http://h{i}.x/" if i != 3 else None, p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("host", F.lit(1))
     got = html_extract.extract_main_text(df).collect()
     assert collections.Counter((r.text, r.n_chars) for r in got) == collections.Counter((t, len(t)) for t in expected)

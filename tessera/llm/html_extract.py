@@ -6,8 +6,11 @@ presentation (a hash of its children's labels).  Their normalised entropies, 0 w
 all differ, give the node's importance; branches of low importance are removed from every page of the host, unless
 nothing of a page would be left (a host of copies).
 
-Elements that are never article text (scripts, menus, forms and the like, by tag, role or class) are dropped while
-parsing.  If a page has articles (else a main element), only blocks inside them count.
+Elements that are never article text (scripts, menus, forms and the like, by tag, role or class) are dropped after
+parsing, unless they hold the page's article, main element or most of its text (a form round the page, a layout
+class that names a sidebar).  An element of code or media that its own tag does not close is empty: what follows it
+stays.  <head> ends at the first element or text of the body.  A page of which nothing would be left keeps what was
+dropped.  If a page has articles (else a main element), only blocks inside them count.
 
 Text rules: character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space.  Null or empty html gives an empty text; null urls share one host; ids may be null or
@@ -23,6 +26,7 @@ import html as entities
 import re
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,9 +36,12 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import stored
 
 # HTML's element kinds, and labels of page parts that are not the article.
-RAW = "script|style|noscript|template|svg|iframe|object|select|textarea|button|canvas|math|video|audio|head"
+RAW = frozenset("script style noscript iframe textarea".split())  # content is no markup
+MEDIA = frozenset("template svg object select button canvas math video audio".split())  # content is markup, never the article
+HEAD = frozenset("base link meta title script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+FLOWING = INLINE | MEDIA
 DROPPED = frozenset("nav footer aside form header dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOISE = re.compile(
@@ -43,11 +50,13 @@ NOISE = re.compile(
     r"recommend\w*|comments?|commentlist|disqus|replies|respond|discussion|pagination|pager|toolbar|widget|skip|search|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+STATES = re.compile(r"(?:has|no|with|without)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled)", re.I)  # say how a page is laid out
+SECONDARY = re.compile(r"comment|repl|promo|advert|sponsor|related", re.I)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -62,12 +71,12 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             noise = True
         elif name in ("class", "id"):
-            noise = noise or bool(NOISE.search(value))
+            noise = noise or bool(NOISE.search(" ".join(v for v in value.split() if not STATES.fullmatch(v))))
             label += ("." if name == "class" else "#") + re.sub(r"\d+", "0", value)
     if tag in ("html", "body"):
         noise = False
     elif tag in ("article", "main"):  # comments and teasers are often articles themselves
-        noise = noise and bool(re.search(r"comment|repl|promo|advert|sponsor|related", label, re.I))
+        noise = noise and bool(SECONDARY.search(label))
     return label, noise
 
 
@@ -80,26 +89,87 @@ def _node(path: tuple[str, ...]) -> int:
     return _hash(" > ".join(path))
 
 
+@dataclass
+class _Part:
+    """An element that is dropped unless ``_dropped`` decides otherwise."""
+
+    tag: str
+    label: str
+    closed: bool = False
+
+
+@lru_cache(64)
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}\b[^>]*>", re.I)
+
+
+_RESUMES = re.compile(r"<(?:body|article|main)\b", re.I)
+
+
+def _after_raw(page: str, at: int, tag: str) -> int:
+    """Where to go on after an element of raw content that opens before ``at``; ``at`` if it is empty."""
+    end = _ends(tag).search(page, at)
+    if tag in ("script", "style"):  # code may hold anything
+        while end and not end[1]:
+            end = _ends(tag).search(page, end.end())
+        if not end:
+            found = _RESUMES.search(page, at)
+            return found.start() if found else len(page)
+        return end.end()
+    if not end or not end[1] or tag != "noscript" and _RESUMES.search(page, at, end.start()):
+        return at
+    return end.end()
+
+
+def _dropped(parts: list[_Part], blocks: list[list[tuple]]) -> set[int]:
+    """The numbers of the parts that are dropped."""
+    chars: dict[int, int] = {}  # text outside links in a part
+    articles: dict[tuple[int, ...], int] = {}  # text of articles by the parts round them
+    total = 0
+    lost = {i for i, part in enumerate(parts) if part.tag not in MEDIA or part.closed}
+    media = {i for i in lost if parts[i].tag in MEDIA or parts[i].tag == "head"}
+    for block in blocks:
+        for text, _, chain, holders, link in block:
+            n = len(text.strip())
+            if link or not n or any(i in media for i in chain):
+                continue
+            total += n
+            chain = tuple(i for i in chain if i in lost)
+            for i in chain:
+                chars[i] = chars.get(i, 0) + n
+            if holders is not None and chain == (outside := tuple(i for i in holders if i in lost)):
+                articles[outside] = articles.get(outside, 0) + n
+    dropped = set(lost)
+    for chain, n in articles.items():
+        before = max((articles.get(chain[:i], 0) for i in range(len(chain))), default=0)
+        if chain and n > before and not any(parts[i].tag in ("article", "main") for i in chain) and (not before or not any(SECONDARY.search(parts[i].label) for i in chain)):
+            dropped -= set(chain)
+    dropped -= {i for i, n in chars.items() if 2 * n > total and (parts[i].tag in ("form", "fieldset") or parts[i].tag not in DROPPED) and not (SECONDARY.search(parts[i].label) and total > n)}
+    if total and not any(dropped.isdisjoint(chain) and text.strip() for block in blocks for text, _, chain, *_ in block):
+        return media
+    return dropped
+
+
 def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str, ...], list[str]]]:
     """Blocks in page order as (path, text), and the labels of each node's children."""
-    blocks: list[tuple[tuple[str, ...], str]] = []
-    children: dict[tuple[str, ...], list[str]] = {}
-    stack: list[tuple[str, bool]] = []  # tag, and whether it or what holds it is dropped
+    blocks: list[list[tuple]] = []  # pieces of text: text, path, parts that hold it, parts round its article, whether in a link
+    labels: list[tuple[tuple[str, ...], str, tuple[int, ...]]] = []
+    parts: list[_Part] = []
+    stack: list[tuple[str, tuple[int, ...], tuple[int, ...] | None]] = []  # tag, the parts that hold it, itself included, and those round its article
     paths: list[tuple[str, ...]] = [()]
-    text: list[str] = []
-    where: tuple[str, ...] = ()
+    text: list[tuple] = []
+    links = 0
 
     def flush() -> None:
         if text:
-            joined = "".join(text)
-            words = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
-            if words:
-                blocks.append((where, words))
+            blocks.append(text.copy())
             text.clear()
 
     def close(depth: int) -> None:
-        if any(t not in INLINE for t, _ in stack[depth:]):
+        nonlocal links
+        if any(x[0] not in FLOWING for x in stack[depth:]):
             flush()
+        links -= sum(x[0] == "a" for x in stack[depth:])
         del stack[depth:], paths[depth + 1 :]
 
     def innermost(tags: tuple[str, ...] | frozenset, until: tuple[str, ...] | frozenset = ()) -> int:
@@ -110,50 +180,89 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str,
                 return -1
         return -1
 
+    def add(piece: str) -> None:
+        text.append((piece, paths[-1], *(stack[-1][1:] if stack else ((), None)), links > 0))
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not (stack and stack[-1][1]):
-            if not text:
-                where = paths[-1]
-            text.append(page[at : m.start()])
+    while m := _TOKEN.search(page, at):
+        in_head = bool(stack) and stack[-1][0] == "head"
+        if m.start() > at:
+            if in_head and not page[at : m.start()].isspace():
+                close(len(stack) - 1)
+                in_head = False
+            add(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[2] or m[5]:
+        if m[1] or m[4]:
             if (i := innermost((tag,))) >= 0:
+                if tag in MEDIA:
+                    parts[stack[i][1][-1]].closed = True
                 close(i)
             elif tag == "p":
                 flush()
             continue
+        attributes = m[3] or m[6] or ""
+        empty = attributes.endswith("/")
+        if in_head and tag not in HEAD:
+            close(len(stack) - 1)
+            in_head = False
+        if tag in RAW or tag == "title" and in_head:
+            at = at if empty else _after_raw(page, at, tag)
+            continue
         if tag in VOID:
             if tag in ("br", "hr") and text:
-                text.append(" ")
+                add(" ")
             continue
+        if tag in ("body", "article", "main") and (i := innermost(MEDIA - {"template"})) >= 0:  # not closed
+            close(next(k for k in range(i + 1) if stack[k][0] in MEDIA))
+        elif tag in CLOSES_P and (i := innermost(("svg", "math"), ("foreignobject", "desc", "annotation-xml"))) >= 0:
+            close(i)
         if tag in CLOSES_P and (i := innermost(("p",), ("table", "td", "th", "button", "article"))) >= 0:
             close(i)
         elif tag in SAME and (i := innermost((tag, "dt", "dd") if tag in ("dt", "dd") else (tag, "td", "th") if tag in ("td", "th") else (tag,), SAME[tag])) >= 0:
             close(i)
-        if tag not in INLINE:
+        if tag not in FLOWING:
             flush()
-        label, noise = _label(tag, m[4] or m[7] or "")
-        drop = noise or bool(stack and stack[-1][1])
-        if not drop:
-            children.setdefault(paths[-1], []).append(label)
-        if not (m[4] or "").endswith("/"):
-            stack.append((tag, drop))
-            paths.append((*paths[-1], label) if not drop else paths[-1])
-    if at < len(page) and not (stack and stack[-1][1]) and not re.match(r"</?[a-zA-Z!][^>]*\Z", page[at:]):
-        if not text:
-            where = paths[-1]
-        text.append(page[at:])
+        label, noise = _label(tag, attributes)
+        chain, holders = stack[-1][1:] if stack else ((), None)
+        if noise or tag in MEDIA or tag == "head":
+            parts.append(_Part(tag, label, tag in MEDIA and empty))
+            chain = (*chain, len(parts) - 1)
+        labels.append((paths[-1], label, chain))
+        if not empty:
+            links += tag == "a"
+            stack.append((tag, chain, chain if holders is None and tag in ("article", "main") else holders))
+            paths.append((*paths[-1], label))
+    if at < len(page) and not re.match(r"</?[a-zA-Z!][^>]*\Z", page[at:]):
+        if stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+        add(page[at:])
     flush()
-    return blocks, children
+
+    dropped = _dropped(parts, blocks)
+    kept: list[tuple[tuple[str, ...], str]] = []
+    for block in blocks:
+        pieces = [x for x in block if dropped.isdisjoint(x[2])]
+        joined = "".join(x[0] for x in pieces)
+        words = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
+        if words:
+            kept.append((pieces[0][1], words))
+    children: dict[tuple[str, ...], list[str]] = {}
+    for path, label, chain in labels:
+        if dropped.isdisjoint(chain):
+            children.setdefault(path, []).append(label)
+    return kept, children
+
+
+def _is(label: str, tag: str) -> bool:
+    return label == tag or label.startswith((tag + ".", tag + "#"))
 
 
 def main_blocks(blocks: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
     for part in ("article", "main"):
-        if inside := [b for b in blocks if any(x == part or x.startswith((part + ".", part + "#")) for x in b[0])]:
+        if inside := [b for b in blocks if any(_is(x, part) for x in b[0])]:
             return inside
     return blocks
 

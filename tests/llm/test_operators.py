@@ -278,6 +278,29 @@ def test_html_cases(spark):
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
 
 
+def extracted(page):
+    return " ".join(words for _, words in html_extract.main_blocks(html_extract.parse(page)[0]))
+
+
+def test_html_loses_no_page_at_the_parse_step():
+    article = "<article><p>The story itself, of some length.</p></article>"
+    story = "The story itself, of some length."
+    for page in (
+        f"<html><head><title>T <b> x</title><meta charset=utf8><body>{article}</html>", f"<head><link rel=x>{article}", f"<head><title>T</title>text<p>x</p>{article}",
+        f"<svg viewBox='0 0 1 1'/>{article}", f"<iframe src=x />{article}", f"<svg><path d=x>{article}<svg></svg>", f"<button>{article}<button>b</button>",
+        *[f"<div class='{c}'>{article}<div class=sidebar>side</div></div>" for c in ("layout has-sidebar", "no-sidebar", "sidebar-right", "comments-open")],
+        f"<form action=x><nav>menu</nav>{article}<input></form>", f"{article}<div class=related><article>teaser</article></div>",
+    ):
+        assert extracted(page) == story, page
+    assert extracted("<p>a<svg/>b</p><object data=y /><p>c</p>") == "ab c"
+    assert extracted("<object data=y><p>rest</p><p>more") == "rest more"
+    assert extracted("<svg><text>no</text></svg><p>yes<script>'<p>'</script></p>") == "yes"
+    assert extracted("<form><p>A page without any article in the form of its server.</p></form><p>end</p>") == "A page without any article in the form of its server. end"
+    assert extracted("<article><h1>Title</h1><form><p>All of the story is in a form.</p></form></article>") == "Title All of the story is in a form."
+    assert extracted("<nav>only a menu</nav>") == "only a menu"
+    assert extracted("<p>Hi</p><div class=comments>Many words that are no part of the story</div>") == "Hi"
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     same = "<div class=box><p>Read our terms and follow us for news.</p></div>"
     rows = [(i, "http://a.example/" + str(i), f"<body>{same}<div class=story><p>Story number {i} tells of {i * i}.</p></div></body>") for i in range(12)]

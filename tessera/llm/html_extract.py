@@ -4,7 +4,8 @@ Pages of one host are merged by node: a node is the path of (tag, class or id) l
 two distributions over the host's pages are counted, that of its content (a hash of its text) and that of its
 presentation (a hash of its children's labels).  Their normalised entropies, 0 where all pages agree and 1 where
 all differ, give the node's importance; branches of low importance are removed from every page of the host, unless
-nothing of a page would be left (a host of copies).
+nothing of a page would be left.  Pages of one host with equal text count once, so that copies of a page are no
+evidence that its parts are boilerplate.
 
 Elements that are never article text (scripts, menus, forms and the like, by tag, role or class) are dropped after
 parsing, unless they hold the page's article, main element or most of its text (a form round the page, a layout
@@ -269,7 +270,7 @@ def main_blocks(blocks: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[s
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, texts, counts = [], [], []
+        nodes, texts, counts, same = [], [], [], []
         for page in batch.column("html").to_pylist():
             blocks, children = parse(page or "")
             blocks = main_blocks(blocks)
@@ -282,10 +283,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     inside.setdefault(p, []).append(words)
             nodes.append(own)
             texts.append([w for _, w in blocks])
+            same.append(_hash("\n".join(texts[-1])))
             counts.append([{"node": _node(p), "content": _hash("\n".join(w)), "style": _hash(" ".join(children.get(p, ())))} for p, w in inside.items()])
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.list_(pa.struct({"node": pa.int64(), "content": pa.int64(), "style": pa.int64()})))],
-            [*batch.schema.names, "texts", "nodes", "seen"],
+            [*batch.columns, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.list_(pa.struct({"node": pa.int64(), "content": pa.int64(), "style": pa.int64()}))), pa.array(same, pa.int64())],
+            [*batch.schema.names, "texts", "nodes", "seen", "page"],
         )
 
 
@@ -301,9 +303,10 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, url string, host string, texts array<string>, nodes array<array<long>>, seen array<struct<node: long, content: long, style: long>>"
+    schema = f"id {kind}, url string, host string, texts array<string>, nodes array<array<long>>, seen array<struct<node: long, content: long, style: long>>, page long"
     parsed = stored(rows.select("id", F.col("url").cast("string").alias("url"), "host", "html").mapInArrow(_parsed_without_html, schema), "parsed")
-    seen = parsed.select("host", F.explode("seen").alias("s")).select("host", "s.*")
+    once = parsed.groupBy("host", "page").agg(F.min("seen").alias("seen"))
+    seen = once.select("host", F.explode("seen").alias("s")).select("host", "s.*")
     weighed = _entropy(seen, "content").join(_entropy(seen, "style").drop("pages"), ["host", "node"])
     importance = (1 - style_weight) * F.col("content") + style_weight * F.col("style")
     low = stored(weighed.where((F.col("pages") >= least_pages) & (importance < threshold)).groupBy("host").agg(F.collect_list("node").alias("low")), "low")

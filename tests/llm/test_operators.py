@@ -312,6 +312,16 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert {r.text for r in html_extract.extract_main_text(copies).collect()} == {"all alike"}
 
 
+def test_copies_of_a_page_are_no_evidence(spark):
+    page = lambda i, part: f"<body><div class=story><p>Story {i} tells of {i * i}.</p>{part}</div><i>{i}</i></body>"
+    pages = [page(i, "") for i in range(6)] + [page(50, "<blockquote>Only this story quotes.</blockquote><ul><li>one</li></ul>")] * 4
+    rows = [(i, "http://a.example/" + str(i), p) for i, p in enumerate(pages)]
+    rows += [(99, "http://a.example/99", page(50, "<blockquote>Only this story quotes.</blockquote><ul><li>one</li></ul><script>1</script><nav>n</nav>"))]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (6, 7, 8, 9, 99)} == {"Story 50 tells of 2500. Only this story quotes. one 50"}
+    assert got[2].startswith("Story 2 tells of 4.")
+
+
 def test_language_id(spark):
     rnd = random.Random(1)
     made = {"aa": "abcdefghi", "bb": "fghijklmno", "cc": "äöüßxyzq"}

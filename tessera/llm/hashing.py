@@ -62,7 +62,7 @@ class Chunk:
         n = len(self.hash)
         g = np.zeros(n, _U)
         if n:
-            for j in range(k):
+            for j in range(min(k, n)):
                 g[: n - j] += self.hash[j:] * _U(pow(_WORD_BASE, j + 1, 1 << 64))
         last = np.repeat(self.first[1:], np.diff(self.first))
         return mix(g), np.arange(n) + k <= last

@@ -86,6 +86,12 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _near(flag: np.ndarray, first: np.ndarray, reach: int = 5) -> np.ndarray:
+    """Whether a flagged word stands at most ``reach`` words away within the same row."""
+    total, at, sizes = np.concatenate([[0], np.cumsum(flag)]), np.arange(len(flag)), np.diff(first)
+    return total[np.minimum(at + reach + 1, np.repeat(first[1:], sizes))] > total[np.maximum(at - reach, np.repeat(first[:-1], sizes))]
+
+
 def features(col: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """One row of features for each text."""
     out = []
@@ -94,7 +100,7 @@ def features(col: pa.Array, lexicon: Lexicon) -> np.ndarray:
         weight = np.maximum.reduce(weights)
         hit = weight > 0
         you = np.isin(c.hash, _YOU)
-        near_you = np.convolve(you, np.ones(11), "same") > 0 if len(you) else you
+        near_you = _near(you, c.first)
         n = np.maximum(np.diff(c.first), 1)
         letters = np.maximum(_sums(_LETTER[c.raw], c.bytes_at), 1)
         chars = np.maximum(np.diff(c.bytes_at), 1)

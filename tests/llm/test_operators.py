@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import boosting, html_extract, language_id, license_scan, mixing, packing, quality_rules, toxicity
+from tessera.llm import boosting, hashing, html_extract, language_id, license_scan, mixing, packing, quality_rules, toxicity
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.graph import connected_components
 from tessera.llm.ngram_join import ngram_jaccard_join
@@ -80,6 +81,33 @@ def test_substring_dedup_odd_ids(spark):
     assert substring_dedup(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_short_text_alone_in_a_chunk(n):
+    words = [f"w{i}" for i in range(n - 1)] + ["you"]
+    alone = pa.array([" ".join(words)])
+    for k in (2, 4, 6, 13):
+        [chunk] = hashing.chunks(alone)
+        got, whole = chunk.windows(k)
+        [longer] = hashing.chunks(pa.array([" ".join(words), " ".join(f"x{i}" for i in range(40))]))
+        expected, expected_whole = longer.windows(k)
+        assert whole.tolist() == expected_whole[:n].tolist() == [i + k <= n for i in range(n)]
+        assert got[whole].tolist() == expected[:n][whole].tolist()
+    lexicon = toxicity.Lexicon(next(hashing.chunks(pa.array(["w0"]), word_bytes=toxicity._WORD, table=toxicity._PLAIN)).hash, np.ones(1))
+    x = toxicity.features(alone, lexicon)
+    assert x.shape == (1, 13) and x[0, 6] == ((1 / n) if 2 <= n <= 6 else 0)
+    rows = toxicity.features(pa.array(["w0 a", "you b", " ".join(words)]), lexicon)
+    assert rows[:2, 6].tolist() == [0, 0] and rows[2].tolist() == x[0].tolist()  # not across rows
+
+
+def test_one_short_document_alone(spark):
+    model = toxicity.ToxicityModel(toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0)), boosting.fit_trees(np.eye(13), np.arange(13) % 2.0, np.ones(13)), boosting.fit_isotonic(np.array([0.0, 1]), np.array([0.0, 1]), np.ones(2)), 0.5)
+    for n in (1, 2, 3, 5, 11, 13):
+        docs = frame(spark, [(1, " ".join(f"w{i}" for i in range(n)), "en", "a")]).coalesce(1)
+        assert [r.n_words for r in substring_dedup(docs).collect()] == [n]
+        assert [r.n_shingles for r in ngram_jaccard_join(docs, k=4, percent=85).collect()] == [max(1, n - 3)]
+        assert len(toxicity.score_toxicity(docs, model).collect()) == 1
+
+
 def brute_components(rows, k, percent):
     sets, parent = {}, {}
     for i, t, *_ in rows:

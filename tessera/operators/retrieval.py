@@ -181,8 +181,17 @@ def exact_rank(queries: DataFrame, chunks: DataFrame, *, k: int, pattern: str) -
     return top_by(hits.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
+def _phrase_postings(parts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(term, doc_id, len, tf) of the phrases (term, p) in documents (doc_id, parts): starts at which all parts follow one another."""
+    wanted = phrases.select(F.col("term").alias("phrase"), F.size("p").alias("n"), F.posexplode("p").alias("i", "part"))
+    held = parts.select("doc_id", F.size("parts").alias("len"), F.posexplode("parts").alias("pos", "part")).join(wanted, "part")
+    starts = held.groupBy("phrase", "n", "doc_id", "len", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
+    return starts.groupBy(F.col("phrase").alias("term"), "doc_id", "len").agg(F.count("*").alias("tf"))
+
+
 def bm25_rank(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 by postings.  Each distinct Latin query term of one index part counts once, so ``a`` and ``a.`` both score.
+    """BM25 by postings.  Each distinct query term counts once, so ``a`` and ``a.`` both score.  A Latin term of several
+    index parts (``covid-19``) is a phrase: its parts side by side, with a document frequency of its own.
 
     Inverse document frequencies are floored at 1e-6; scores are rounded to 10 places; ties by doc_id as text.
     """
@@ -190,9 +199,12 @@ def bm25_rank(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = 1.2, b
     sizes = parts.agg(F.count("*").alias("n"), F.avg(F.size("parts")).alias("mean")).first()
     postings = parts.select("doc_id", F.size("parts").alias("len"), F.explode("parts").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     wanted = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), cjk_sizes=(2, 3))).alias("raw"))
-    wanted = wanted.withColumn("p", F.array_remove(F.split("raw", r"[_.+-]+"), "")).where(F.size("p") == 1).select("query_id", F.col("p")[0].alias("term"))
+    wanted = wanted.withColumn("p", F.array_remove(F.split("raw", r"[_.+-]+"), "")).where(F.size("p") > 0).select("query_id", "p", F.array_join("p", " ").alias("term"))
+    phrases = wanted.where(F.size("p") > 1).select("term", "p").distinct()
     wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     used = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    if not phrases.isEmpty():
+        used = used.unionByName(_phrase_postings(parts, phrases))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(sizes.n))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

@@ -1,6 +1,8 @@
 """Golden values of text expressions, chunking, rules, readers and the streaming filter."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,32 @@ def test_lexical_scores_and_ties(spark):
     assert retrieval.lexical_rank(q.limit(0), d, k=5).collect() == []
 
 
+def brute_bm25(asked, docs):
+    cut = lambda t: [p for p in re.split(r"[_.+-]+", t) if p]
+    tokens = lambda t: [x.lower() for x in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.+-]*", t)]
+    parts = {i: [p for t in tokens(text) for p in cut(t)] for i, text in docs}
+    mean, out = sum(map(len, parts.values())) / len(parts), {}
+    for q, text in asked:
+        for phrase in map(cut, dict.fromkeys(tokens(text))):
+            tf = {i: sum(ps[j : j + len(phrase)] == phrase for j in range(len(ps))) for i, ps in parts.items()}
+            df = sum(n > 0 for n in tf.values())
+            idf = max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6)
+            for i, n in tf.items():
+                if n:
+                    out[q, i] = out.get((q, i), 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(parts[i]) / mean))
+    return out
+
+
+def test_bm25_phrases(spark):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice(["covid-19", "covid", "19", "v1.2", "foo_bar", "bar", "foo", "a-a-a", "a", "x"]) for _ in range(rnd.randint(1, 12)))) for i in range(80)]
+    asked = [(1, "covid-19"), (2, "foo_bar and foo-bar x x."), (3, "a-a v1.2 bar_foo"), (4, "19-covid"), (5, "no-such-term"), (6, "covid 19")]
+    got = retrieval.bm25_rank(spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, content string"), k=100).collect()
+    expected = brute_bm25(asked, docs)
+    assert {q for q, _ in expected} == {1, 2, 3, 4, 6}
+    assert {(r.query_id, r.doc_id): r.score for r in got} == {k: pytest.approx(v, abs=1e-9) for k, v in expected.items()}
+
+
 def test_fusion_and_cap(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 12, 1), (1, 11, 2)], "query_id long, doc_id long, rank int")

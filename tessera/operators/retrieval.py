@@ -172,12 +172,14 @@ def promote(ranked: DataFrame, direct: DataFrame, *, k: int) -> DataFrame:
 
 def exact_rank(queries: DataFrame, chunks: DataFrame, *, k: int, pattern: str) -> DataFrame:
     """References that a query names: 5 for each that is a chunk's label, 2 for one its content holds, 3 more if the
-    query names the chunk's title.  ``queries`` (query_id, query); ``chunks`` (doc_id, label, title, content).
+    query names the chunk's title, with or without the state's name before it.  ``queries`` (query_id, query); ``chunks`` (doc_id, label, title, content).
     """
     wanted = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit(pattern), F.lit(0)))).alias("ref"))
     held = chunks.select("doc_id", "label", "title", F.explode(F.array_distinct(F.concat(F.array("label"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))))).alias("ref"))
     hits = wanted.join(held, "ref").groupBy("query_id", "doc_id", "query", "title").agg(F.sum(F.when(F.col("ref") == F.col("label"), 5).otherwise(2)).alias("points"))
-    score = (F.col("points") + F.when(F.contains("query", "title"), 3).otherwise(0)).cast("double")
+    short = F.regexp_replace("title", "^中华人民共和国", "")
+    named = F.contains("query", "title") | (short != F.col("title")) & F.contains("query", short)
+    score = (F.col("points") + F.when(named, 3).otherwise(0)).cast("double")
     return top_by(hits.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 

@@ -31,6 +31,13 @@ def test_lexical_scores_and_ties(spark):
     assert retrieval.lexical_rank(q.limit(0), d, k=5).collect() == []
 
 
+def test_exact_title_without_the_states_name(spark):
+    q = spark.createDataFrame([(1, "劳动合同法第四十七条"), (2, "第四十七条")], "query_id long, query string")
+    c = spark.createDataFrame([(1, "第四十七条", "中华人民共和国公司法", "x"), (2, "第四十七条", "中华人民共和国劳动合同法", "x"), (3, "第四十七条", None, "x")], "doc_id long, label string, title string, content string")
+    got = retrieval.exact_rank(q, c, k=5, pattern="第[四十七]+条").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(1, 2, 8.0), (1, 1, 5.0), (1, 3, 5.0), (2, 1, 5.0), (2, 2, 5.0), (2, 3, 5.0)]
+
+
 def brute_bm25(asked, docs):
     cut = lambda t: [p for p in re.split(r"[_.+-]+", t) if p]
     tokens = lambda t: [x.lower() for x in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.+-]*", t)]

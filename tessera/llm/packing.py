@@ -9,14 +9,15 @@
    first fit decreasing.
 5. Pieces are ranked within their class and take the places that patterns give to those ranks.
 
-The tokenizer drops white space and splits no piece across it, so words are encoded once and remembered by each
-Python worker, up to ``MEMORY`` words.
+Where the tokenizer's file says that it drops white space and splits no piece across it, words are encoded once and
+remembered by each Python worker, up to ``MEMORY`` words; whole texts are encoded with any other file.
 
 A null or empty text is the end mark alone.  Ids may be null or repeat; each row is packed.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,18 +33,65 @@ from pyspark.sql import functions as F
 from tessera.llm.hashing import text_column
 from tessera.llm.tables import stored, with_rank
 
-MEMORY = 600_000
-_TAIL = b".,!?;:"
+MEMORY = 1_000_000
+# The parts of a tokenizer's description that make encoding word by word the same as encoding whole texts.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_BYTE = np.arange(256)
+_LETTER = (_BYTE >= 97) & (_BYTE <= 122) | (_BYTE >= 65) & (_BYTE <= 90)
+_TAIL = np.isin(_BYTE, [ord(c) for c in ".,!?;:"])
+_LEAD = 0xC3  # of the letters U+00C0 to U+00FF; all but the two signs among them
+_LATIN = (_BYTE >= 0x80) & (_BYTE <= 0xBF) & ~np.isin(_BYTE, [0x97, 0xB7])
+
+
+def _is_wordwise(description: dict) -> bool:
+    model = description["model"]
+    return (
+        all(description.get(k) == v for k, v in WORDWISE.items())
+        and (model["type"], model.get("end_of_word_suffix"), model.get("dropout"), model.get("unk_token")) == ("BPE", "</w>", None, None)
+        and all(t["special"] and not t["normalized"] and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in description["added_tokens"])
+    )
+
+
+class TextTokenizer:
+    """Token ids of whole texts, for any tokenizer file."""
+
+    def __init__(self, model):
+        self._model = model
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for e in self._model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+            yield np.array(e.ids, np.uint32)
 
 
 class WordTokenizer:
-    """Token ids of texts, word by word; words are runs without ASCII white space."""
+    """Token ids of texts, word by word; words are runs without ASCII white space.
+
+    A word of plain letters and a tail of plain marks is one piece, or two, of which each ends in a token that closes
+    a piece; so all such new words are encoded in one go, without the tokenizer's own search for pieces.  All other
+    words go through the whole tokenizer.
+    """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, model, description: dict):
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path)
+        self._model = model
+        bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, description["pre_tokenizer"]["pretokenizers"][1]]}
+        self._plain = Tokenizer.from_str(json.dumps(description | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+        vocabulary = description["model"]["vocab"]
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -57,61 +105,97 @@ class WordTokenizer:
                 return at
 
         self._places = Places()
-        self._bases: dict[bytes, list[int]] = {}
         self._size = self._used = 0
         self._first = np.zeros(1 << 16, np.int64)
         self._count = np.zeros(1 << 16, np.int64)
         self._ids = np.zeros(1 << 18, np.uint32)
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self._model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _encode_plain(self, raw: np.ndarray, tail_at: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of plain words: lines of ``raw`` with ``pieces`` pieces each, whose tails begin at ``tail_at``."""
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        after = np.flatnonzero(raw[:-1] == _LEAD) + 1
+        low[after[low[after] <= 0x9E]] += 32
+        text = np.insert(low, tail_at, 32).tobytes().decode()
+        ids = np.array(self._plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self._closes[ids]) + 1
+        last = ends[np.cumsum(pieces) - 1]
+        return np.diff(last, prepend=0), ids
+
+    def _encode_new(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of all new words, in order."""
+        raw = np.frombuffer(b"\n".join([*self._new, b""]), np.uint8)
+        stop = np.flatnonzero(raw == 10)
+        start = np.append(0, stop[:-1] + 1)
+        lead = raw == _LEAD
+        letter, tail = _LETTER[raw] | lead, _TAIL[raw]
+        letter[1:] |= lead[:-1] & _LATIN[raw[1:]]
+        lead[:-1] &= ~letter[1:] | (raw[1:] < 0x80)  # a lead byte that no letter follows
+        odd = ~(letter | tail | (raw == 10)) | lead
+        odd[1:] |= tail[:-1] & letter[1:]
+        plain = (np.add.reduceat(odd.astype(np.int32), start) == 0) & letter[start]
+        before = np.append(False, letter[:-1]) & tail
+        size = stop + 1 - start
+        mine = np.repeat(plain, size)
+        parts = 1 + np.add.reduceat(before.astype(np.int32), start)[plain]
+        counts, ids = np.zeros(len(start), np.int64), np.zeros(0, np.uint32)
+        if plain.any():
+            counts[plain], ids = self._encode_plain(raw[mine], np.flatnonzero(before[mine]), parts)
+        if plain.all():
+            return counts, ids
+        rest = [w.decode() for w, p in zip(self._new, plain.tolist(), strict=True) if not p]
+        got = [np.array(e.ids, np.uint32) for e in self._model.encode_batch_fast(rest, add_special_tokens=False)]
+        counts[~plain] = [len(g) for g in got]
+        out, whole = np.zeros(int(counts.sum()), np.uint32), np.repeat(plain, counts)
+        out[whole], out[~whole] = ids, np.concatenate(got)
+        return counts, out
 
     def _learn(self) -> None:
-        """Encodes new words.  A run of plain marks after an ASCII letter is a piece of its own, so a word is its base's ids and its tail's."""
-        parts = []
-        for word in self._new:
-            base = word if b"<|" in word else word.lower()
-            bare = base.rstrip(_TAIL)
-            if len(bare) < len(base) and bare[-1:].isalpha():
-                parts.append((bare, base[len(bare) :]))
-            else:
-                parts.append((base, b""))
-        missing = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self._bases))
-        self._bases.update(zip(missing, self._encode(missing), strict=True))
-        ids = [self._bases[b] + self._bases[t] if t else self._bases[b] for b, t in parts]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
-        while self._size + len(ids) > len(self._first):
+        counts, flat = self._encode_new()
+        while self._size + len(counts) > len(self._first):
             self._first, self._count = np.append(self._first, np.zeros_like(self._first)), np.append(self._count, np.zeros_like(self._count))
         while self._used + len(flat) > len(self._ids):
             self._ids = np.append(self._ids, np.zeros_like(self._ids))
-        at = slice(self._size, self._size + len(ids))
+        at = slice(self._size, self._size + len(counts))
         self._count[at] = counts
         self._first[at] = self._used + np.cumsum(counts) - counts
         self._ids[self._used : self._used + len(flat)] = flat
-        self._size, self._used = self._size + len(ids), self._used + len(flat)
+        self._size, self._used = self._size + len(counts), self._used + len(flat)
         self._new.clear()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if self._size > MEMORY:
             self._forget()
         find = self._places.__getitem__
-        found = [list(map(find, text.split())) for text in texts]
+        found = []
+        for text in texts:
+            words = text.split()
+            found.append(np.fromiter(map(find, words), np.int64, len(words)))
         if self._new:
             self._learn()
-        for places in found:
-            at = np.array(places, np.int64)
+        for at in found:
             n = self._count[at]
             ends = np.cumsum(n)
             yield self._ids[np.repeat(self._first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+def load_tokenizer(path: str) -> TextTokenizer | WordTokenizer:
+    """Word by word where the file's description shows that to be the same, else whole texts."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        description = json.load(f)
+    model = Tokenizer.from_file(path)
+    return WordTokenizer(model, description) if _is_wordwise(description) else TextTokenizer(model)
+
+
+_tokenizers: dict[str, TextTokenizer | WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str) -> TextTokenizer | WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = load_tokenizer(path)
     return _tokenizers[path]
 
 

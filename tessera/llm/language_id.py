@@ -5,9 +5,11 @@ of non-letters become one blank, and a text begins and ends with one.  A documen
 over its own profile of how far each n-gram is out of place, ``top`` for one that the language's profile lacks; the
 nearest language is predicted, the first in order of name on a tie.
 
-Profiles are learned from a bounded sample of labelled rows: about ``per_language`` of each language, by hash of the
-id.  Null or letterless text is ``und`` with score 0; the score is otherwise 1 - nearest / farthest possible distance.
-Without any labelled text everything is ``und``.  Ids may be null or repeat; each row is judged by itself.
+Every language of the labelled rows is learned, from at most ``per_language`` of its texts: those with the smallest
+hashes of id (documented bound; ``None`` takes all).  N-grams are counted by the executors; only each profile's ``top``
+rows reach the driver.  Null or letterless text is ``und`` with score 0; the score is otherwise 1 - nearest / farthest
+possible distance.  Without any labelled text everything is ``und``.  Ids may be null or repeat; each row is judged by
+itself.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOP = 400
@@ -72,35 +75,51 @@ class Profiles:
         return self.languages[best], float(1 - off[best] / (self.top * len(mine)))
 
 
-def learn(texts: dict[str, list[str]], top: int = TOP) -> Profiles:
-    names = tuple(sorted(texts))
-    lists = []
-    for name in names:
-        parts = [np.unique(grams(t), return_counts=True) for t in texts[name]]
-        codes, at = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([p[1] for p in parts] or [np.zeros(0)]), len(codes))
-        lists.append(ranked(codes, top, counts))
-    codes = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]))
+def profiles_of(lists: dict[str, np.ndarray], top: int) -> Profiles:
+    """Profiles from each language's n-grams in order of rank."""
+    names = tuple(sorted(n for n, mine in lists.items() if len(mine)))
+    codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *[lists[n] for n in names]]))
     places = np.full((len(codes), len(names)), top)
-    for j, mine in enumerate(lists):
-        places[np.searchsorted(codes, mine), j] = np.arange(len(mine))
-    return Profiles(names if len(codes) else (), codes, places, top)
+    for j, name in enumerate(names):
+        places[np.searchsorted(codes, lists[name]), j] = np.arange(len(lists[name]))
+    return Profiles(names, codes, places, top)
+
+
+def learn(texts: dict[str, list[str]], top: int = TOP) -> Profiles:
+    return profiles_of({name: ranked(np.concatenate([np.zeros(0, np.uint64), *map(grams, mine)]), top) for name, mine in texts.items()}, top)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, code, n) of a batch's texts."""
+    for batch in batches:
+        mine: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            mine.setdefault(lang, []).append(grams(text.as_py()))
+        for lang, parts in mine.items():
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed: Column | None = None, per_language: int = 1000, most_languages: int = 500) -> Profiles:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed: Column | None = None, per_language: int | None = 1000, top: int = TOP) -> Profiles:
+    """Profiles of all languages of the rows for which ``allowed``, an expression over ``id``, holds."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     if allowed is not None:
         rows = rows.where(allowed)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
-        return learn({})
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, per_language / r.n)))])
-    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 24)) / float(1 << 24)
-    got = rows.where(draw < F.try_element_at(share, F.col("lang"))).select("lang", "text").limit(3 * per_language * len(counts)).toArrow()
-    texts: dict[str, list[str]] = {r.lang: [] for r in counts}
-    for lang, text in zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True):
-        texts[lang].append(text)
-    return learn(texts)
+    if per_language is not None:
+        rows = rows.withColumn("draw", F.xxhash64("id", "lang"))
+        first = lambda *order: F.row_number().over(W.partitionBy("lang").orderBy(*order))
+        # The limits are pushed below the shuffle: no partition sends more than per_language rows of a language.
+        last = rows.select("lang", "draw").withColumn("place", first("draw")).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("draw").alias("last"))
+        few = rows.join(last, "lang").where("draw <= last")
+        rows = few.withColumn("place", first("draw", F.xxhash64("text"))).where(F.col("place") <= per_language)  # rows that repeat an id draw alike
+    counted = rows.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    best = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= top)
+    got = best.select("lang", "code", "rank").toArrow()
+    lang, code, rank = got.column("lang").to_numpy(zero_copy_only=False), got.column("code").to_numpy(), got.column("rank").to_numpy()
+    order = np.lexsort((rank, lang.astype(str)))
+    lang, code = lang[order].astype(str), code[order].astype(np.uint64)
+    names, at = np.unique(lang, return_index=True)
+    return profiles_of({str(n): c for n, c in zip(names, np.split(code, at[1:]), strict=True)} if len(names) else {}, top)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:

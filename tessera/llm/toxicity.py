@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-A bounded sample of labelled rows (``per_label`` of each label, by hash of the id) is split into three parts: one
-finds the lexicon, one fits the trees, one calibrates.  Only that sample and the counts of labels reach the driver.
+A bounded sample of labelled ids (those of the ``per_label`` smallest hashes of each label) is split into three
+parts: one finds the lexicon, one fits the trees, one calibrates.  Words are counted and features are computed by the
+executors; the driver gets the lexicon (``most`` rows) and the features of the sample, never a text.
 
 The lexicon holds hashes of words, and of words' first four to six bytes, that toxic rows of the first part
 have far more often than others.  Words are runs of letters and digits in which look-alike digits and signs count
@@ -9,7 +10,8 @@ as the letters they stand for.  Features of a text, all over its whole length: l
 weighted, greatest weight), second-person proximity, capitals, punctuation and obfuscation rates, and lengths.
 
 Null or empty text scores as a text without words.  Without rows of both labels every score is the share of label 1
-(0 if there are no labels).  Null labels are ignored; of an id's labels the largest counts; ids may repeat.
+(0 if there are no labels).  Null labels are ignored; of an id's labels the largest counts, of its texts the first in
+order.  Scored ids may be null or repeat: each row is scored by itself, so neighbouring rows and their order mean nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from tessera.llm.hashing import Chunk, chunks, hash_words
+from tessera.llm.hashing import Chunk, chunks, hash_words, signed
+from tessera.llm.tables import drop_stored, stored
 
 _U = np.uint64
 # Signs that stand for letters, and second-person words.
@@ -82,8 +86,11 @@ class Lexicon:
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
+    """Each row's sum, from that row's values alone (a running sum would round by what stands before)."""
+    out, filled = np.zeros(len(first) - 1), np.diff(first) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values.astype(np.float64), first[:-1][filled])
+    return out
 
 
 def _near(flag: np.ndarray, first: np.ndarray, reach: int = 5) -> np.ndarray:
@@ -107,6 +114,8 @@ def features(col: pa.Array, lexicon: Lexicon) -> np.ndarray:
         disguise = np.zeros(len(c.raw), bool)
         if len(c.raw) > 2:
             disguise[1:-1] = (_DIGIT | _SIGN | _INNER)[c.raw[1:-1]] & _LETTER[c.raw[:-2]] & _LETTER[c.raw[2:]]
+            inside = c.bytes_at[:-1][np.diff(c.bytes_at) > 0]
+            disguise[inside] = disguise[inside - 1] = False  # the first byte of a row and the last of the one before
         top = np.zeros(c.rows)
         if len(weight):
             filled = np.diff(c.first) > 0
@@ -121,26 +130,42 @@ def features(col: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 13))
 
 
-def learn_lexicon(col: pa.Array, toxic: np.ndarray, *, least_rows: int = 4, least_log_odds: float = 2.0, most: int = 4096) -> Lexicon:
-    seen: list[np.ndarray] = []
-    label: list[np.ndarray] = []
-    for c, keys in _words(col):
-        row = c.row_of_word()
-        for k in keys:
-            order = np.lexsort((k, row))
-            r, h = row[order], k[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-            new &= h != 0
-            seen.append(h[new])
-            label.append(toxic[c.lo + r[new]])
-    hashes, at = np.unique(np.concatenate([*seen, np.zeros(0, _U)]), return_inverse=True)
-    bad = np.bincount(at, np.concatenate([*label, np.zeros(0)]), len(hashes))
-    good = np.bincount(at, minlength=len(hashes)) - bad
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / (len(toxic) - toxic.sum() + 1))
-    pick = np.flatnonzero((bad >= least_rows) & (odds >= least_log_odds))
-    pick = np.sort(pick[np.argsort(-odds[pick], kind="stable")[:most]])
-    return Lexicon(hashes[pick], odds[pick])
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, bad, n): how many of a batch's texts hold a word or stem, and how many of them are toxic."""
+    for batch in batches:
+        toxic = batch.column("y").to_numpy().astype(float)
+        seen, label = [np.zeros(0, _U)], [np.zeros(0)]
+        for c, keys in _words(batch.column("text")):
+            row = c.row_of_word()
+            for k in keys:
+                order = np.lexsort((k, row))
+                r, h = row[order], k[order]
+                new = np.ones(len(r), bool)
+                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+                new &= h != 0
+                seen.append(h[new])
+                label.append(toxic[c.lo + r[new]])
+        hashes, at, n = np.unique(np.concatenate(seen), return_inverse=True, return_counts=True)
+        bad = np.bincount(at, np.concatenate(label), len(hashes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(bad), pa.array(n.astype(np.int64))], ["hash", "bad", "n"])
+
+
+def learn_lexicon(sample: DataFrame, *, least_rows: int = 4, least_log_odds: float = 2.0, most: int = 4096) -> Lexicon:
+    """From rows (text, y): what toxic rows hold far more often than others, the ``most`` strongest of it."""
+    sizes = sample.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
+    counts = sample.select("text", "y").mapInArrow(_seen, "hash long, bad long, n long").groupBy("hash").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    odds = F.log((F.col("bad") + 0.5) / F.lit(sizes.bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(sizes.good + 1.0))
+    picked = counts.where(F.col("bad") >= least_rows).withColumn("odds", odds).where(F.col("odds") >= least_log_odds)
+    got = picked.orderBy(F.desc("odds"), "hash").limit(most).toArrow()
+    hashes, weights = got.column("hash").to_numpy().view(_U), got.column("odds").to_numpy()
+    order = np.argsort(hashes)
+    return Lexicon(hashes[order], weights[order])
+
+
+def _featured(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = features(batch.column("text"), lexicon)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("part"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["key", "part", "y", "x"])
 
 
 @dataclass(frozen=True)
@@ -156,33 +181,34 @@ class ToxicityModel:
         return np.clip(self.calibration(self.trees.margin(features(col, self.lexicon))), 0, 1)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, shares: tuple[float, float]) -> ToxicityModel:
-    """``part`` is 0, 1 or 2 for lexicon, trees and calibration; ``shares`` are the labels' shares of all labelled rows."""
-    weight = np.where(toxic == 1, shares[1] / max(toxic.mean(), 1e-9), shares[0] / max(1 - toxic.mean(), 1e-9)) if len(toxic) else np.zeros(0)
-    if any(len(set(toxic[part == p])) < 2 for p in range(3)):
-        return ToxicityModel(Lexicon(np.zeros(0, _U), np.zeros(0)), None, None, shares[1])
-    lexicon = learn_lexicon(texts.filter(pa.array(part == 0)), toxic[part == 0])
-    x = features(texts, lexicon)
-    trees = fit_trees(x[part == 1], toxic[part == 1], weight[part == 1])
-    calibration = fit_isotonic(trees.margin(x[part == 2]), toxic[part == 2], weight[part == 2])
-    return ToxicityModel(lexicon, trees, calibration, shares[1])
-
-
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed: Column | None = None, per_label: int = 4000) -> ToxicityModel:
-    """Learns from labelled rows for which ``allowed``, an expression over the id, holds."""
+    """Learns from labelled rows for which ``allowed``, an expression over ``id``, holds."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).where("id is not null and y is not null")
     if allowed is not None:
         known = known.where(allowed)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total = max(sum(counts.values()), 1)
-    share = F.when(F.col("y") == 1, min(1.0, per_label / max(counts.get(1, 0), 1))).otherwise(min(1.0, per_label / max(counts.get(0, 0), 1)))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / float(1 << 24)
-    chosen = known.where(draw < share).limit(3 * per_label)  # about per_label rows of each label; the limit is only a proven bound for the broadcast
+    share = counts.get(1, 0) / max(sum(counts.values()), 1)
+    place = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    chosen = known.withColumn("place", place).where(F.col("place") <= per_label).select("id", "y")  # at most 2 * per_label rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "y", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)).alias("part")).toArrow()
-    part = np.array([0, 0, 1, 1, 2])[sample.column("part").to_numpy()]
-    return fit(sample.column("text").combine_chunks(), sample.column("y").to_numpy().astype(float), part, (counts.get(0, 0) / total, counts.get(1, 0) / total))
+    part = F.when(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) < 2, 0).when(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) < 4, 1).otherwise(2)
+    drawn = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = stored(drawn.select(F.col("id").cast("string").alias("key"), "text", "y", part.alias("part")), "toxicity-sample")
+    sizes = {(r.part, r.y) for r in sample.select("part", "y").distinct().collect()}
+    nothing = Lexicon(np.zeros(0, _U), np.zeros(0))
+    if len(sizes) < 6:
+        drop_stored(sample)
+        return ToxicityModel(nothing, None, None, share)
+    lexicon = learn_lexicon(sample.where("part = 0"))
+    kept = sample.where("part > 0").mapInArrow(partial(_featured, lexicon=lexicon), "key string, part int, y int, x array<double>").toArrow().sort_by("key")
+    x, y, part = np.array(kept.column("x").to_pylist()), kept.column("y").to_numpy().astype(float), kept.column("part").to_numpy()
+    drop_stored(sample)
+    mean = y.mean()
+    weight = np.where(y == 1, share / mean, (1 - share) / (1 - mean))
+    trees = fit_trees(x[part == 1], y[part == 1], weight[part == 1])
+    calibration = fit_isotonic(trees.margin(x[part == 2]), y[part == 2], weight[part == 2])
+    return ToxicityModel(lexicon, trees, calibration, share)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,28 @@
 """Main-text extraction with a site style tree.
 
-Pages of one host are merged by node: a node is the path of (tag, class or id) labels from the root.  For each node
-two distributions over the host's pages are counted, that of its content (a hash of its text) and that of its
-presentation (a hash of its children's labels).  Their normalised entropies, 0 where all pages agree and 1 where
-all differ, give the node's importance; branches of low importance are removed from every page of the host, unless
-nothing of a page would be left.  Pages of one host with equal text count once, so that copies of a page are no
-evidence that its parts are boilerplate.
-
-Elements that are never article text (scripts, menus, forms and the like, by tag, role or class) are dropped after
-parsing, unless they hold the page's article, main element or most of its text (a form round the page, a layout
-class that names a sidebar).  An element of code or media that its own tag does not close is empty: what follows it
-stays.  <head> ends at the first element or text of the body.  A page of which nothing would be left keeps what was
-dropped.  If a page has articles (else a main element), only blocks inside them count.
+Pages of one host are merged by node: a node is the path of (tag, class or id) labels from the root.  Over the host's
+distinct pages (copies of a page count once) two distributions are counted for each node, that of its content (a hash
+of its text) and that of its presentation (a hash of its children's labels).  Their normalised entropies are 0 where
+all pages agree and 1 where all differ.  Two importances decide which branches go from every page of the host:
+
+- a content node whose text hardly varies (both entropies weighed together, below ``threshold``) is boilerplate,
+  wherever it stands;
+- outside the article, the children of one presentation node compete by information, the entropy of their content
+  times their mean length.  Beside a branch that holds the article all others go; else one that is labelled as a
+  menu, footer, sidebar or the like goes unless it is the most informative, and in a template (a presentation
+  node whose own children hardly vary) so does one with less than ``least_share`` of the greatest information.
+
+The tree judges nodes that stand in at least ``least_pages`` and ``least_part`` of a host's distinct pages, so the list
+of a host's low nodes is at most the nodes of 1 / ``least_part`` pages, however many pages there are.  Where it has no
+evidence, on hosts with fewer pages and for rarer nodes, labels alone decide: blocks outside the article (else the main
+element) go, and landmark tags and roles and a few names.
+
+Removed before the tree: scripts, styles, media and forms, hidden elements and what it can't see because it varies,
+adverts and reader comments.  Inside an article nothing goes by its name but elements named exactly as adverts or
+comments, and by its tag only menus, asides and footers.  An element that holds the article or most of the page's
+text always stays (a form round the page, a layout class that names a sidebar).  An element of code or media that its
+own tag does not close is empty: what follows it stays.  <head> ends at the first element or text of the body.  A
+page of which nothing would be left keeps what was dropped.
 
 Text rules: character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space.  Null or empty html gives an empty text; null urls share one host; ids may be null or
@@ -23,15 +34,13 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-
 import re
-
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import stored
@@ -43,15 +52,17 @@ HEAD = frozenset("base link meta title script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FLOWING = INLINE | MEDIA
-DROPPED = frozenset("nav footer aside form header dialog menu fieldset".split())
+LANDMARKS = frozenset("nav footer aside header dialog menu".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|"
-    r"cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social|related|"
-    r"recommend\w*|comments?|commentlist|disqus|replies|respond|discussion|pagination|pager|toolbar|widget|skip|search|copyright|legal|disclaimer)(?:$|[\s_-])",
+VARYING = re.compile(r"ads?|advert\w*|ad[-_].+|.+[-_]ads?|adsbygoogle|sponsor\w*|comments?|comment-?list|comments?[-_](?:area|list|section|body)|disqus.*", re.I)  # adverts and comments
+SURE = frozenset("ad ads advert advertisement adsbygoogle sponsored comments commentlist comment-list comments-area comments-section disqus_thread".split())  # even inside an article
+PARTS = re.compile(
+    r"(?:(?:site|page|main|top|global|primary|cookie|side|bottom)[-_])?(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|banner|cookies?|consent|notice|popup|modal|overlay|"
+    r"newsletter|subscribe|share|sharing|social|related|recommended|promo|replies|respond|discussion|pagination|pager|toolbar|widget|search|login|copyright)"
+    r"(?:[-_](?:bar|box|area|list|links|notice|banner|wrapper|container|inner|top|left|right|nav|menu))*",
     re.I,
-)
-STATES = re.compile(r"(?:has|no|with|without)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled)", re.I)  # say how a page is laid out
+)  # other parts of a page, outside the article
 SECONDARY = re.compile(r"comment|repl|promo|advert|sponsor|related", re.I)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -60,25 +71,34 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
     re.I | re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-@lru_cache(4096)
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's label in the style tree, and whether it is never article text."""
-    label, noise = tag, tag in DROPPED
+@lru_cache(8192)
+def _label(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
+    """An element's label in the style tree, and its kind: '' for content, 'part' for a part of the page that is not the
+    article, 'never' for what is no part of any.  ``inside`` an article names say little."""
+    label = tag
+    part, never = tag in LANDMARKS and not (inside and tag == "header"), tag in FORMS
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            noise = True
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            never = True
+        elif name == "role":
+            part = part or value.lower() in ROLES
         elif name in ("class", "id"):
-            noise = noise or bool(NOISE.search(" ".join(v for v in value.split() if not STATES.fullmatch(v))))
             label += ("." if name == "class" else "#") + re.sub(r"\d+", "0", value)
+            names = value.lower().split()
+            if inside:
+                never = never or not SURE.isdisjoint(names)
+            elif tag not in INLINE:
+                never = never or any(VARYING.fullmatch(n) for n in names)
+                part = part or any(PARTS.fullmatch(n) for n in names)
     if tag in ("html", "body"):
-        noise = False
-    elif tag in ("article", "main"):  # comments and teasers are often articles themselves
-        noise = noise and bool(SECONDARY.search(label))
-    return label, noise
+        return label, ""
+    if tag in ("article", "main") and not SECONDARY.search(label):  # comments and teasers are often articles themselves
+        return label, ""
+    return label, "never" if never or part and inside else "part" if part else ""
 
 
 def _hash(text: str) -> int:
@@ -96,6 +116,7 @@ class _Part:
 
     tag: str
     label: str
+    kind: str
     closed: bool = False
 
 
@@ -145,14 +166,23 @@ def _dropped(parts: list[_Part], blocks: list[list[tuple]]) -> set[int]:
         before = max((articles.get(chain[:i], 0) for i in range(len(chain))), default=0)
         if chain and n > before and not any(parts[i].tag in ("article", "main") for i in chain) and (not before or not any(SECONDARY.search(parts[i].label) for i in chain)):
             dropped -= set(chain)
-    dropped -= {i for i, n in chars.items() if 2 * n > total and (parts[i].tag in ("form", "fieldset") or parts[i].tag not in DROPPED) and not (SECONDARY.search(parts[i].label) and total > n)}
+    dropped -= {i for i, n in chars.items() if 2 * n > total and parts[i].tag not in LANDMARKS and not (SECONDARY.search(parts[i].label) and total > n)}
     if total and not any(dropped.isdisjoint(chain) and text.strip() for block in blocks for text, _, chain, *_ in block):
         return media
     return dropped
 
 
-def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str, ...], list[str]]]:
-    """Blocks in page order as (path, text), and the labels of each node's children."""
+@dataclass
+class Page:
+    """What may be main text: blocks (path, text, whether labels alone would keep it), and the labels of each node's
+    children.  ``parts`` are the nodes of page parts that aren't the article."""
+
+    blocks: list[tuple[tuple[str, ...], str, bool]] = field(default_factory=list)
+    children: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
+    parts: set[tuple[str, ...]] = field(default_factory=set)
+
+
+def parse_page(page: str) -> Page:
     blocks: list[list[tuple]] = []  # pieces of text: text, path, parts that hold it, parts round its article, whether in a link
     labels: list[tuple[tuple[str, ...], str, tuple[int, ...]]] = []
     parts: list[_Part] = []
@@ -160,6 +190,7 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str,
     paths: list[tuple[str, ...]] = [()]
     text: list[tuple] = []
     links = 0
+    out = Page()
 
     def flush() -> None:
         if text:
@@ -226,11 +257,15 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str,
             close(i)
         if tag not in FLOWING:
             flush()
-        label, noise = _label(tag, attributes)
         chain, holders = stack[-1][1:] if stack else ((), None)
-        if noise or tag in MEDIA or tag == "head":
-            parts.append(_Part(tag, label, tag in MEDIA and empty))
+        label, kind = _label(tag, attributes, holders is not None)
+        if tag in MEDIA or tag == "head":
+            kind = "never"
+        if kind:
+            parts.append(_Part(tag, label, kind, tag in MEDIA and empty))
             chain = (*chain, len(parts) - 1)
+            if kind == "part":
+                out.parts.add((*paths[-1], label))
         labels.append((paths[-1], label, chain))
         if not empty:
             links += tag == "a"
@@ -243,18 +278,23 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str,
     flush()
 
     dropped = _dropped(parts, blocks)
-    kept: list[tuple[tuple[str, ...], str]] = []
+    never = {i for i in dropped if parts[i].kind == "never"}
     for block in blocks:
-        pieces = [x for x in block if dropped.isdisjoint(x[2])]
+        pieces = [x for x in block if never.isdisjoint(x[2])]
         joined = "".join(x[0] for x in pieces)
         words = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
         if words:
-            kept.append((pieces[0][1], words))
-    children: dict[tuple[str, ...], list[str]] = {}
+            out.blocks.append((pieces[0][1], words, all(dropped.isdisjoint(x[2]) for x in pieces)))
     for path, label, chain in labels:
-        if dropped.isdisjoint(chain):
-            children.setdefault(path, []).append(label)
-    return kept, children
+        if never.isdisjoint(chain):
+            out.children.setdefault(path, []).append(label)
+    return out
+
+
+def parse(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[tuple[str, ...], list[str]]]:
+    """Blocks that labels alone keep, in page order as (path, text), and the labels of each node's children."""
+    got = parse_page(page)
+    return [(path, words) for path, words, plain in got.blocks if plain], got.children
 
 
 def _is(label: str, tag: str) -> bool:
@@ -268,58 +308,110 @@ def main_blocks(blocks: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[s
     return blocks
 
 
+def _depth(path: tuple[str, ...], part: str) -> int:
+    """The length of the path to its outermost element of that tag; 0 if there is none."""
+    return next((i + 1 for i, x in enumerate(path) if _is(x, part)), 0)
+
+
+INSIDE, PART, HOLDS, NO_BRANCH = 1, 2, 4, 8
+_NO_BRANCH = re.compile(rf"(?:h[1-6]|{'|'.join(sorted(INLINE))})(?:[.#]|\Z)", re.S)
+
+
+def tree_of(page: Page) -> tuple[list[bool], dict[tuple[str, ...], tuple[list[str], int]]]:
+    """Which blocks labels alone make the main text, and the texts and flags of every node.
+
+    Flags: inside the article, labelled as another part, holding the article, a heading or an inline element.
+    """
+    kept = [b for b in page.blocks if b[2]]
+    region = next((part for part in ("article", "main") if any(_depth(b[0], part) for b in kept)), None)
+    plain = [b[2] and (region is None or _depth(b[0], region) > 0) for b in page.blocks]
+    nodes: dict[tuple[str, ...], tuple[list[str], int]] = {}
+    for (path, words, _), main in zip(page.blocks, plain, strict=True):
+        depth = _depth(path, region) if region and main else 0
+        for i in range(1, len(path) + 1):
+            texts, flags = nodes.get(path[:i], ([], 0))
+            texts.append(words)
+            if depth:
+                flags |= HOLDS if i <= depth else INSIDE
+            if path[:i] in page.parts:
+                flags |= PART
+            if _NO_BRANCH.match(path[i - 1]):
+                flags |= NO_BRANCH
+            nodes[path[:i]] = (texts, flags)
+    return plain, nodes
+
+
+_SEEN = "node: long, parent: long, content: long, style: long, chars: long, flags: int"
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, texts, counts, same = [], [], [], []
-        for page in batch.column("html").to_pylist():
-            blocks, children = parse(page or "")
-            blocks = main_blocks(blocks)
-            inside: dict[tuple[str, ...], list[str]] = {}
-            own = []
-            for path, words in blocks:
-                up = [path[: i + 1] for i in range(len(path))]
-                own.append([_node(p) for p in up])
-                for p in up:
-                    inside.setdefault(p, []).append(words)
-            nodes.append(own)
-            texts.append([w for _, w in blocks])
+    kinds = pa.list_(pa.struct([(n, pa.int64()) for n in ("node", "parent", "content", "style", "chars")] + [("flags", pa.int32())]))
+    for batch in _small(batches):
+        nodes, texts, plain, seen, same = [], [], [], [], []
+        for html in batch.column("html").to_pylist():
+            page = parse_page(html or "")
+            flags, tree = tree_of(page)
+            plain.append([1 if main else 0 if ok else 2 for main, (_, _, ok) in zip(flags, page.blocks, strict=True)])
+            texts.append([w for _, w, _ in page.blocks])
+            nodes.append([[_node(path[: i + 1]) for i in range(len(path))] for path, _, _ in page.blocks])
             same.append(_hash("\n".join(texts[-1])))
-            counts.append([{"node": _node(p), "content": _hash("\n".join(w)), "style": _hash(" ".join(children.get(p, ())))} for p, w in inside.items()])
+            rows = []
+            for path, (words, mark) in tree.items():
+                rows.append({"node": _node(path), "parent": _node(path[:-1]), "content": _hash("\n".join(words)), "style": _hash(" ".join(page.children.get(path, ()))), "chars": sum(map(len, words)), "flags": mark})
+            seen.append(rows)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.list_(pa.struct({"node": pa.int64(), "content": pa.int64(), "style": pa.int64()}))), pa.array(same, pa.int64())],
-            [*batch.schema.names, "texts", "nodes", "seen", "page"],
+            [*(batch.column(n) for n in ("id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.list_(pa.int64()))), pa.array(plain, pa.list_(pa.int32())), pa.array(seen, kinds), pa.array(same, pa.int64())],
+            ["id", "url", "host", "texts", "nodes", "plain", "seen", "page"],
         )
 
 
-def _entropy(seen: DataFrame, what: str) -> DataFrame:
-    """Normalised entropy of ``what`` over the pages of each (host, node)."""
-    each = seen.groupBy("host", "node", what).agg(F.count("*").alias("c"))
-    total = each.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"))
-    return total.select("host", "node", "pages", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias(what))
-
-
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.1, style_weight: float = 0.1, least_pages: int = 3) -> DataFrame:
+def _entropy(seen: DataFrame, what: str, *more: Column) -> DataFrame:
+    """Normalised entropy of ``what`` over the pages of each (host, node), and the sums ``more``."""
+    each = seen.groupBy("host", "node", what).agg(F.count("*").alias("c"), F.sum("chars").alias("chars"), F.bit_or("flags").alias("flags"), F.min("parent").alias("parent"))
+    total = each.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"), *more)
+    entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
+    return total.withColumn(what, F.round(entropy, 9)).drop("s")
+
+
+def low_nodes(once: DataFrame, *, threshold: float, style_weight: float, least_pages: int, least_part: float, least_share: float) -> DataFrame:
+    """(host, low, parts) for every host with enough distinct pages (host, seen): the nodes whose branches go, and the
+    labelled parts that were judged."""
+    hosts = once.groupBy("host").agg(F.count("*").alias("distinct_pages")).where(F.col("distinct_pages") >= least_pages)
+    seen = once.join(hosts, "host").select("host", F.explode("seen").alias("s")).select("host", "s.*")
+    content = _entropy(seen, "content", F.sum("chars").alias("chars"), F.bit_or("flags").alias("flags"), F.min("parent").alias("parent"))
+    weighed = content.join(_entropy(seen, "style").drop("pages"), ["host", "node"]).join(hosts, "host")
+    weighed = weighed.withColumn("information", F.round(F.col("content") * F.col("chars") / F.col("pages"), 6))
+    flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    family = weighed.groupBy("host", "parent").agg(F.max("information").alias("best"), F.bool_or(flag(HOLDS)).alias("beside_article"))
+    above = weighed.select("host", F.col("node").alias("parent"), F.col("style").alias("template"))
+    judged = weighed.where((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("distinct_pages") * least_part))
+    judged = judged.join(family, ["host", "parent"]).join(above, ["host", "parent"], "left")
+    repeated = (1 - style_weight) * F.col("content") + style_weight * F.col("style") < threshold
+    small = (F.coalesce("template", F.lit(0.0)) < 0.5) & (F.col("information") < least_share * F.col("best")) & ~flag(NO_BRANCH)
+    loses = F.col("beside_article") | flag(PART) & (F.col("information") < F.col("best")) | small
+    goes = repeated | ~flag(INSIDE) & ~flag(HOLDS) & loses
+    lists = judged.groupBy("host").agg(F.collect_list(F.when(goes, F.col("node"))).alias("low"), F.collect_list(F.when(flag(PART), F.col("node"))).alias("parts"))
+    return hosts.select("host").join(lists, "host", "left").select("host", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("low", "parts")])
+
+
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.1, style_weight: float = 0.1, least_pages: int = 3, least_part: float = 0.01, least_share: float = 0.15) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, url string, host string, texts array<string>, nodes array<array<long>>, seen array<struct<node: long, content: long, style: long>>, page long"
-    parsed = stored(rows.select("id", F.col("url").cast("string").alias("url"), "host", "html").mapInArrow(_parsed_without_html, schema), "parsed")
+    schema = f"id {kind}, url string, host string, texts array<string>, nodes array<array<long>>, plain array<int>, seen array<struct<{_SEEN}>>, page long"
+    parsed = stored(rows.mapInArrow(_parsed, schema), "parsed")
     once = parsed.groupBy("host", "page").agg(F.min("seen").alias("seen"))
-    seen = once.select("host", F.explode("seen").alias("s")).select("host", "s.*")
-    weighed = _entropy(seen, "content").join(_entropy(seen, "style").drop("pages"), ["host", "node"])
-    importance = (1 - style_weight) * F.col("content") + style_weight * F.col("style")
-    low = stored(weighed.where((F.col("pages") >= least_pages) & (importance < threshold)).groupBy("host").agg(F.collect_list("node").alias("low")), "low")
-    kept = F.expr("filter(zip_with(texts, nodes, (t, n) -> if(low is null or not arrays_overlap(n, low), t, null)), t -> t is not null)")
-    out = parsed.join(low, "host", "left").select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.col("texts")), " ").alias("text"))
+    low = stored(low_nodes(once, threshold=threshold, style_weight=style_weight, least_pages=least_pages, least_part=least_part, least_share=least_share), "low")
+    mine = F.array_distinct(F.flatten("nodes"))
+    both = parsed.join(low, "host", "left").withColumn("hit", F.array_intersect(mine, "low")).withColumn("known", F.array_intersect(mine, "parts"))
+    plain = F.expr("filter(texts, (t, i) -> plain[i] = 1)")
+    kept = F.expr("filter(texts, (t, i) -> not arrays_overlap(nodes[i], hit) and (plain[i] = 1 or plain[i] = 2 and arrays_overlap(nodes[i], known)))")
+    text = F.when(F.col("low").isNull() | (F.size("kept") == 0), plain).otherwise(F.col("kept"))
+    out = both.withColumn("kept", kept).select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(text, " ").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _parsed_without_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parsed(_small(batches)):
-        yield batch.select([n for n in batch.schema.names if n != "html"])
-
-
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import broadcast_if_small, stored
+
 TOP = 400
 _letters: list[np.ndarray] = []
 
@@ -110,7 +112,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         first = lambda *order: F.row_number().over(W.partitionBy("lang").orderBy(*order))
         # The limits are pushed below the shuffle: no partition sends more than per_language rows of a language.
         last = rows.select("lang", "draw").withColumn("place", first("draw")).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("draw").alias("last"))
-        few = rows.join(last, "lang").where("draw <= last")
+        few = rows.join(broadcast_if_small(stored(last, "last-draws")), "lang").where("draw <= last")
         rows = few.withColumn("place", first("draw", F.xxhash64("text"))).where(F.col("place") <= per_language)  # rows that repeat an id draw alike
     counted = rows.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= top)

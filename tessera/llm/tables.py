@@ -45,6 +45,13 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """A table of ``stored``, marked for broadcast if its files are small; else Spark joins it by a shuffle."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that are no longer referenced, as its periodic cleaner would later."""
     gc.collect()

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import stored
+from tessera.llm.tables import broadcast_if_small, stored
 
 # HTML's element kinds, and labels of page parts that are not the article.
 RAW = frozenset("script style noscript iframe textarea".split())  # content is no markup
@@ -404,7 +404,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     once = parsed.groupBy("host", "page").agg(F.min("seen").alias("seen"))
     low = stored(low_nodes(once, threshold=threshold, style_weight=style_weight, least_pages=least_pages, least_part=least_part, least_share=least_share), "low")
     mine = F.array_distinct(F.flatten("nodes"))
-    both = parsed.join(low, "host", "left").withColumn("hit", F.array_intersect(mine, "low")).withColumn("known", F.array_intersect(mine, "parts"))
+    both = parsed.join(broadcast_if_small(low), "host", "left").withColumn("hit", F.array_intersect(mine, "low")).withColumn("known", F.array_intersect(mine, "parts"))
     plain = F.expr("filter(texts, (t, i) -> plain[i] = 1)")
     kept = F.expr("filter(texts, (t, i) -> not arrays_overlap(nodes[i], hit) and (plain[i] = 1 or plain[i] = 2 and arrays_overlap(nodes[i], known)))")
     text = F.when(F.col("low").isNull() | (F.size("kept") == 0), plain).otherwise(F.col("kept"))

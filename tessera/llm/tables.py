@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,34 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a lineage cut that outlives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: a lineage cut that outlives lost executors.
+
+    Spark removes the shuffle files of the write when it ends.  The table stays until ``drop_stored`` or, at the end of
+    an application, ``drop_all``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes a table of ``stored`` that no later plan reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(conf).delete(path, True)
+def _path(spark: SparkSession, path: str):
+    java = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark._jsc.hadoopConfiguration()), java
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """A table of ``stored``, marked for broadcast if its files are small; else Spark joins it by a shuffle."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if size <= most_bytes else df
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that no later plan reads."""
+    for df in tables:
+        fs, path = _path(df.sparkSession, df._stored_at)
+        fs.delete(path, True)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Removes every table that this application stored; results that still read them can't be read any more."""
+    fs, path = _path(spark, _folder(spark))
+    fs.delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are no longer referenced, as its periodic cleaner would later."""
-    gc.collect()
-    spark._jvm.System.gc()
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """A table of ``stored``, marked for broadcast if its files are small; else Spark joins it by a shuffle."""
+    fs, path = _path(df.sparkSession, df._stored_at)
+    return F.broadcast(df) if fs.getContentSummary(path).getLength() <= most_bytes else df
 
 
 def with_rank(df: DataFrame, group: list[str], order: Column, spread: Column, buckets: int, name: str = "rank") -> DataFrame:

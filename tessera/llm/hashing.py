@@ -23,6 +23,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.RandomState(20240229).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
+_CHECK_BASE = 0x165667B19E3779F9
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -67,6 +68,13 @@ class Chunk:
         last = np.repeat(self.first[1:], np.diff(self.first))
         return mix(g), np.arange(n) + k <= last
 
+    def checks(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Another 32 bits for the windows of k words that begin at the words ``at``, by a second polynomial."""
+        g = np.zeros(len(at), _U)
+        for j in range(k):
+            g += self.hash[at + j] * _U(pow(_CHECK_BASE, j + 1, 1 << 64))
+        return (mix(g) >> _U(32)).astype(np.uint32).view(np.int32)
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 

@@ -5,16 +5,18 @@ begins in a document with a smaller id.  Counting every window of a corpus in on
 bytes than the corpus has, so windows are first thinned without loss: equal windows have the same smallest
 hash among their ``anchor``-word parts, and only about one position in four is such a smallest one.
 
-1. Anchors of each document are shuffled; those of two documents or more are shared.
-2. Documents with shared anchors hash the windows over them exactly; the smallest id of each window decides.
+1. Anchors of each document are counted by a Spark window aggregate; those of two documents or more are shared.
+2. Documents with shared anchors hash all their windows; of those over shared anchors another aggregate finds the
+   smallest id.  Windows are equal by 96 bits (64 and a check of 32 by a second polynomial over the words' hashes).
 3. Covered words go; neighbouring windows merge into maximal removal intervals.
 
-Frequent anchors and windows are resolved within each chunk of rows first, and only one row a chunk goes on,
-so a passage that a third of all documents share does not gather in one task.  The plan is lazy throughout and
-the exchange of the texts is planned once for both joins.
+Frequent anchors and windows are resolved within each chunk of rows (about a megabyte of text) first, and only one row
+a chunk goes on to the aggregates, which spill; so a passage that a third of all documents share costs a task a few
+bytes for each megabyte of the corpus and is never held in memory.  The plan is lazy throughout and the exchange of the
+texts is planned once for both joins.
 
 Null or empty text: no words, nothing removed.  Null id: kept whole and no source of removals.  Rows that
-repeat an id count as one document and are each cut alike.
+repeat an id count as one document and are each cut by their own text.  Ids keep their type and its order.
 """
 
 from __future__ import annotations
@@ -26,19 +28,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import chunks, list_column, mix, signed
+from tessera.llm.tables import broadcast_if_small, stored
 
 WINDOW, ANCHOR = 13, 6
 _U = np.uint64
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (0 for null) and which are there."""
-    col = batch.column("id")
-    return col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~np.asarray(col.is_null())
+def _order(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of a batch's ids, equal for equal ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    known = ids.unique()
+    return pc.index_in(ids, known.take(pc.sort_indices(known))).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _smallest_parts(parts: np.ndarray, width: int) -> np.ndarray:
@@ -53,53 +59,34 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _batch(doc, value, known, start=None) -> pa.RecordBatch:
-    """Rows in document order, which compresses best.  A row that is already decided has ``mark`` -1 - start (or -1)."""
-    at = np.zeros(len(doc), np.int32) if start is None else start.astype(np.int32)
-    order = np.lexsort((at, doc))
-    mark = np.where(known, -1 - at, at)
-    return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(signed(value[order])), pa.array(mark[order])], ["id", "value", "mark"])
+def _rows(batch: pa.RecordBatch, row: np.ndarray, value: np.ndarray, known: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """Rows in document order, which compresses best."""
+    order = np.lexsort((*[v for v in more.values()], row))
+    at = pa.array(row[order])
+    cols = {"id": batch.column("id").take(at), "k": batch.column("k").take(at), "value": pa.array(signed(value[order])), "known": pa.array(known[order])}
+    return pa.RecordBatch.from_pydict(cols | {n: pa.array(v[order]) for n, v in more.items()})
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """(id, k, value, known): a document's anchors; known if two documents of a chunk have it, and one more row to be counted."""
     for batch in batches:
-        ids, there = _ids(batch)
+        doc = _order(batch.column("id"))
         for c in chunks(batch.column("text")):
             parts, _ = c.windows(anchor)
             _, whole = c.windows(window)
-            row = c.row_of_word() + c.lo
-            whole &= there[row]
-            low, doc = _smallest_parts(parts, window - anchor + 1)[whole], ids[row[whole]]
-            new = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]) if len(low) else np.zeros(0, bool)
-            low, doc = low[new], doc[new]
-            order = np.lexsort((doc, low))
-            low, doc = low[order], doc[order]
-            new = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]) if len(low) else new
-            low, doc = low[new], doc[new]
+            low, row = _smallest_parts(parts, window - anchor + 1)[whole], (c.row_of_word() + c.lo)[whole]
+            for _ in range(2):  # first what repeats side by side, then all
+                new = np.ones(len(low), bool)
+                new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+                low, row = low[new], row[new]
+                order = np.lexsort((row, low))
+                low, row = low[order], row[order]
             at = _runs(low)
-            many = np.diff(np.append(at, len(low))) > 1
-            known = np.repeat(many, np.diff(np.append(at, len(low))))
-            yield _batch(np.append(doc[at], doc[known]), np.append(low[at], low[known]), np.arange(len(at) + known.sum()) >= len(at))
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = list(batches)
-    return pa.Table.from_batches(got) if got else None
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := _gather(batches)) is None:
-        return
-    doc, value, mark = (t.column(n).to_numpy() for n in ("id", "value", "mark"))
-    known = mark < 0
-    yield pa.RecordBatch.from_pydict({"id": doc[known], "value": value[known]})
-    doc, value = doc[~known], value[~known]
-    order = np.argsort(value, kind="stable")
-    doc, value = doc[order], value[order]
-    if len(at := _runs(value)):
-        n = np.diff(np.append(at, len(value)))
-        both = np.repeat(np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at), n)
-        yield pa.RecordBatch.from_pydict({"id": doc[both], "value": value[both]})
+            size = np.diff(np.append(at, len(low)))
+            many = np.minimum.reduceat(doc[row], at) < np.maximum.reduceat(doc[row], at) if len(at) else np.zeros(0, bool)
+            known = np.repeat(many, size)
+            first = at[many]
+            yield _rows(batch, np.append(row, row[first]), np.append(low, low[first]), np.append(known, np.zeros(len(first), bool)))
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +96,9 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """(id, k, value, known, check, start): windows over shared anchors; known if a smaller id of the chunk has it too."""
     for batch in batches:
-        ids, there = _ids(batch)
+        doc = _order(batch.column("id"))
         marks, mark_row = _lists(batch.column("marks"))
         marks = mix(marks.view(_U) ^ mix(mark_row.astype(_U)))
         for c in chunks(batch.column("text")):
@@ -118,36 +106,21 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             whole_hash, whole = c.windows(window)
             row = c.row_of_word() + c.lo
             mine = marks[np.searchsorted(mark_row, c.lo) : np.searchsorted(mark_row, c.lo + c.rows)]
-            at = np.flatnonzero(whole & there[row])
+            at = np.flatnonzero(whole)
             low = _smallest_parts(parts, window - anchor + 1)[at]
             at = at[np.isin(mix(low ^ mix(row[at].astype(_U))), mine)]
-            value, doc, start = whole_hash[at], ids[row[at]], at - c.first[row[at] - c.lo]
-            order = np.lexsort((doc, value))
-            value, doc, start = value[order], doc[order], start[order]
-            runs = _runs(value)
-            least = np.repeat(doc[runs], np.diff(np.append(runs, len(doc))))
-            yield _batch(doc, value, doc > least, start)
-
-
-def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := _gather(batches)) is None:
-        return
-    doc, value, start = (t.column(n).to_numpy() for n in ("id", "value", "mark"))
-    known = start < 0
-    yield pa.RecordBatch.from_pydict({"id": doc[known], "start": -1 - start[known]})
-    doc, value, start = doc[~known], value[~known], start[~known]
-    order = np.argsort(value, kind="stable")
-    doc, value, start = doc[order], value[order], start[order]
-    if len(at := _runs(value)):
-        later = doc > np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(value))))
-        yield pa.RecordBatch.from_pydict({"id": doc[later], "start": start[later]})
+            value, check = whole_hash[at], c.checks(window, at)
+            order = np.lexsort((doc[row[at]], check, value))
+            at, value, check = at[order], value[order], check[order]
+            runs = _runs(mix(value) ^ check.view(np.uint32))
+            least = np.repeat(doc[row[at[runs]]], np.diff(np.append(runs, len(at))))
+            known = doc[row[at]] > least
+            yield _rows(batch, row[at], value, known, check=np.where(known, 0, check).astype(np.int32), start=(at - c.first[row[at] - c.lo]).astype(np.int32))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         starts, start_row = _lists(batch.column("starts"))
-        has_id = ~np.asarray(batch.column("id").is_null())[start_row]
-        starts, start_row = starts[has_id], start_row[has_id]
         for c in chunks(batch.column("text")):
             lo, hi = np.searchsorted(start_row, (c.lo, c.lo + c.rows))
             begin = c.first[start_row[lo:hi] - c.lo] + starts[lo:hi]
@@ -201,18 +174,28 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     removed word intervals as removed_from and removed_to; ``row`` is carried along where given."""
     if not 0 < anchor <= window:
         raise ValueError("anchor must lie between 1 and window")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([row.alias("row")] if row is not None else []))
-    texts = texts.withColumn("at", F.coalesce("id", F.xxhash64("text")))  # never null, so that both joins share one exchange
-    pair = "id long, value long, mark int"
-    meet = F.when(F.col("mark") < 0, F.xxhash64("id")).otherwise(F.col("value"))
-    anchors = texts.select("id", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), pair)
-    shared = anchors.repartition(meet).mapInArrow(_shared, "id long, value long")
-    marks = shared.groupBy(F.col("id").alias("at")).agg(F.collect_list("value").alias("marks"))
-    windows = texts.join(marks.hint("shuffle_hash"), "at").mapInArrow(partial(_windows, window=window, anchor=anchor), pair)
-    removals = windows.repartition(meet).mapInArrow(_removals, "id long, start int")
-    starts = removals.groupBy(F.col("id").alias("at")).agg(F.collect_list("start").alias("starts"))
-    out = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([row.alias("row")] if row is not None else []))
+    kind = every.schema["id"].dataType.simpleString()
+    # ids of several texts: there a number of the text, else 0, tells rows of one id apart
+    several = every.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a < b")
+    several = stored(several.select("id", "a"), "ids-of-several-texts")
+    number = F.when(F.col("a").isNull(), 0).otherwise(F.pmod(F.xxhash64("text").bitwiseXOR(F.col("a")), F.lit(1 << 31))).cast("int")
+    texts = every.where("id is not null").join(broadcast_if_small(several), "id", "left").withColumn("k", number).drop("a")
+    pair = f"id {kind}, k int, value long, known boolean"
+    meet = F.when(F.col("known"), F.xxhash64("id", "k")).otherwise(F.col("value"))
+    doc = F.struct("id", "k")
+
+    anchors = texts.select("id", "k", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), pair)
+    same = W.partitionBy("known", meet)
+    shared = anchors.withColumn("lo", F.min(doc).over(same)).withColumn("hi", F.max(doc).over(same)).where("known or lo < hi")
+    marks = shared.groupBy("id", "k").agg(F.collect_set("value").alias("marks"))
+    windows = texts.join(marks.hint("shuffle_hash"), ["id", "k"]).mapInArrow(partial(_windows, window=window, anchor=anchor), f"{pair}, check int, start int")
+    removals = windows.withColumn("least", F.min("id").over(W.partitionBy("known", meet, "check"))).where("known or least < id")
+    starts = removals.groupBy("id", "k").agg(F.collect_set("start").alias("starts"))
+
+    out = T.StructType.fromDDL(f"id {kind}, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>")
     if row is not None:
-        out = out.add("row", texts.schema["row"].dataType)
-    cut = texts.join(starts.hint("shuffle_hash"), "at", "left").mapInArrow(partial(_cut, window=window), out)
-    return cut.withColumnRenamed("id", id_col)
+        out = out.add("row", every.schema["row"].dataType)
+    cut = texts.join(starts.hint("shuffle_hash"), ["id", "k"], "left").drop("k")
+    nameless = every.where("id is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    return cut.unionByName(nameless).mapInArrow(partial(_cut, window=window), out).withColumnRenamed("id", id_col)

@@ -59,16 +59,16 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _rows(batch: pa.RecordBatch, row: np.ndarray, value: np.ndarray, known: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    """Rows in document order, which compresses best."""
-    order = np.lexsort((*[v for v in more.values()], row))
-    at = pa.array(row[order])
-    cols = {"id": batch.column("id").take(at), "k": batch.column("k").take(at), "value": pa.array(signed(value[order])), "known": pa.array(known[order])}
-    return pa.RecordBatch.from_pydict(cols | {n: pa.array(v[order]) for n, v in more.items()})
+def _rows(batch: pa.RecordBatch, row: np.ndarray, value: np.ndarray, known: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Rows in document order, which compresses best; ``tag`` is 2 k + known."""
+    order = np.lexsort((*more, row))
+    row = row[order]
+    tag = 2 * batch.column("k").to_numpy()[row].astype(np.int64) + known[order]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(tag), pa.array(signed(value[order])), *(pa.array(m[order]) for m in more)], ["id", "tag", "value", "place"][: 3 + len(more)])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(id, k, value, known): a document's anchors; known if two documents of a chunk have it, and one more row to be counted."""
+    """(id, tag, value): a document's anchors; known if two documents of a chunk have it, and one more row to be counted."""
     for batch in batches:
         doc = _order(batch.column("id"))
         for c in chunks(batch.column("text")):
@@ -96,7 +96,8 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(id, k, value, known, check, start): windows over shared anchors; known if a smaller id of the chunk has it too."""
+    """(id, tag, value, place): windows over shared anchors; known if a smaller id of the chunk has it too.  ``place`` holds
+    the check (0 if known) and, in its lower 32 bits, where the window starts."""
     for batch in batches:
         doc = _order(batch.column("id"))
         marks, mark_row = _lists(batch.column("marks"))
@@ -115,7 +116,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             runs = _runs(mix(value) ^ check.view(np.uint32))
             least = np.repeat(doc[row[at[runs]]], np.diff(np.append(runs, len(at))))
             known = doc[row[at]] > least
-            yield _rows(batch, row[at], value, known, check=np.where(known, 0, check).astype(np.int32), start=(at - c.first[row[at] - c.lo]).astype(np.int32))
+            place = np.where(known, 0, check).astype(np.int64) << 32 | (at - c.first[row[at] - c.lo])
+            yield _rows(batch, row[at], value, known, place)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -179,23 +181,24 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # ids of several texts: there a number of the text, else 0, tells rows of one id apart
     several = every.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a < b")
     several = stored(several.select("id", "a"), "ids-of-several-texts")
-    number = F.when(F.col("a").isNull(), 0).otherwise(F.pmod(F.xxhash64("text").bitwiseXOR(F.col("a")), F.lit(1 << 31))).cast("int")
-    texts = every.where("id is not null").join(broadcast_if_small(several), "id", "left").withColumn("k", number).drop("a")
-    pair = f"id {kind}, k int, value long, known boolean"
-    meet = F.when(F.col("known"), F.xxhash64("id", "k")).otherwise(F.col("value"))
-    doc = F.struct("id", "k")
-
-    anchors = texts.select("id", "k", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), pair)
-    same = W.partitionBy("known", meet)
-    shared = anchors.withColumn("lo", F.min(doc).over(same)).withColumn("hi", F.max(doc).over(same)).where("known or lo < hi")
-    marks = shared.groupBy("id", "k").agg(F.collect_set("value").alias("marks"))
-    windows = texts.join(marks.hint("shuffle_hash"), ["id", "k"]).mapInArrow(partial(_windows, window=window, anchor=anchor), f"{pair}, check int, start int")
-    removals = windows.withColumn("least", F.min("id").over(W.partitionBy("known", meet, "check"))).where("known or least < id")
-    starts = removals.groupBy("id", "k").agg(F.collect_set("start").alias("starts"))
+    number = F.when(F.col("a").isNotNull() | F.col("id").isNull(), F.pmod(F.xxhash64("text").bitwiseXOR(F.coalesce("a", F.lit(0))), F.lit(1 << 31)).cast("int"))
+    # a key that is never null, so that both joins share one exchange of the texts
+    texts = every.join(broadcast_if_small(several), "id", "left").withColumn("doc", F.struct("id", F.coalesce(number, F.lit(0)).alias("k"))).drop("id", "a")
+    known, k = F.col("tag") % 2 == 1, F.shiftright("tag", 1).cast("int")
+    meet = F.when(known, F.xxhash64("id", "tag")).otherwise(F.col("value"))
+
+    anchors = texts.where("doc.id is not null").select("doc.id", "doc.k", "text").mapInArrow(partial(_anchors, window=window, anchor=anchor), f"id {kind}, tag long, value long")
+    # the keys are expressions over the shuffled rows, so that the rows don't carry them
+    row_of, same = F.struct("id", "tag"), W.partitionBy("known", "meet")
+    counted = anchors.repartition(known, meet).select("*", known.alias("known"), meet.alias("meet")).select("id", "tag", "value", "known", F.min(row_of).over(same).alias("lo"), F.max(row_of).over(same).alias("hi"))
+    marks = counted.where("known or lo < hi").groupBy(F.struct("id", k.alias("k")).alias("doc")).agg(F.collect_set("value").alias("marks"))
+    windows = texts.join(marks.hint("shuffle_hash"), "doc").select("doc.id", "doc.k", "text", "marks").mapInArrow(partial(_windows, window=window, anchor=anchor), f"id {kind}, tag long, value long, place long")
+    same, check = W.partitionBy("known", "meet", "check"), F.shiftright("place", 32)
+    counted = windows.repartition(known, meet, check).select("id", "tag", "place", known.alias("known"), meet.alias("meet"), check.alias("check")).withColumn("least", F.min("id").over(same))
+    starts = counted.where("known or least < id").groupBy(F.struct("id", k.alias("k")).alias("doc")).agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("starts"))
 
     out = T.StructType.fromDDL(f"id {kind}, n_words long, n_removed long, kept string, removed_from array<int>, removed_to array<int>")
     if row is not None:
         out = out.add("row", every.schema["row"].dataType)
-    cut = texts.join(starts.hint("shuffle_hash"), ["id", "k"], "left").drop("k")
-    nameless = every.where("id is null").withColumn("starts", F.lit(None).cast("array<int>"))
-    return cut.unionByName(nameless).mapInArrow(partial(_cut, window=window), out).withColumnRenamed("id", id_col)
+    cut = texts.join(starts.hint("shuffle_hash"), "doc", "left").select("doc.id", "text", *(["row"] if row is not None else []), "starts")
+    return cut.mapInArrow(partial(_cut, window=window), out).withColumnRenamed("id", id_col)

@@ -1,23 +1,26 @@
 """Exact Jaccard self-join of documents on word shingles: a grouped prefix join.
 
-Documents with equal shingle sets are one class and are compared once.  For a threshold t, two sets of at least
-t of each other's size share one of their first ``n - ceil(t n) + 1`` shingles in any order that all sets agree on.
+Documents with equal shingle sets (equal size and two 64-bit sums of hashes) are one class and are compared once.  For a
+threshold t, two sets of at least t of each other's size share one of their first ``n - ceil(t n) + 1`` shingles in any
+order that all sets agree on.
 
 1. In the order of hashes, the prefix lengthened by l shingles must share min(l, l') of them with some other
-   class.  Most documents fail this at once; only the rest go on.  (An eighth of a set serves as l.)
+   class.  Most classes fail this at once; only the rest go on.  (An eighth of a set serves as l.)
 2. For the rest, shingles are ordered from rare to frequent.  Shingles of one class alone lead nowhere but use up
    the prefix; sets whose prefix they fill are done.
-3. Classes with the same prefix and size form a group.  Members are compared with their group's centre.  Groups
-   are paired with the most central group of each prefix shingle's list, under the size and position filters, and
-   the pairs that are left are expanded to members.
-4. Verified links are contracted to components.  Pairs that share a prefix shingle, pass the filters and are
-   still in different components are then expanded to all members and verified too, so no link is lost.
-
-Frequent shingles are counted by partial aggregates and, in step 1, resolved within each batch first.  No pair is
+3. Classes with the same prefix and size are collapsed into one group.  Groups are paired with the most central group of
+   each prefix shingle's list, under the size and position filters; pairs of groups are then expanded, the centre
+   of one against the members of the other, and verified.  So are the members of each group against their centre.
+4. Verified links are contracted to components, and groups are split by them: members with the same prefix, size and
+   component are one group.  All pairs of groups of different components that share a prefix shingle and pass the
+   filters are then expanded to all their members and verified too, so no link is lost.
+
+Frequent shingles are counted by aggregates that spill and, in step 1, resolved within each batch first.  No pair is
 made within one class of copies or within what is already one component.
 
 Defined results: null or empty text has 0 shingles and links with nothing; fewer than k words are one shingle,
 the whole sequence; a null id gives a null component; rows that repeat an id get the component of their own text.
+Ids keep their type; the smallest is meant in its order.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
 from tessera.llm.hashing import chunks, list_column, mix, signed
-from tessera.llm.tables import drop_stored, stored
+from tessera.llm.tables import broadcast_if_small, drop_stored, stored
 
 _U = np.uint64
 SPARE = 8  # one in so many shingles lengthens the first prefix
@@ -53,14 +57,19 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle[lo:hi][whole[lo:hi]])
 
 
+def _sums(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return s.sum(dtype=_U), mix(s).sum(dtype=_U)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, one, two, heads = [], [], [], []
         for s in _sets(batch, k):
             m = len(s)
             n.append(m)
-            one.append(s.sum(dtype=_U))
-            two.append(mix(s).sum(dtype=_U))
+            a, b = _sums(s)
+            one.append(a)
+            two.append(b)
             heads.append(s[: m - -(-percent * m // 100) + -(-m // SPARE)])
         at = np.cumsum([0, *map(len, heads)])
         values = np.concatenate([*heads, np.zeros(0, _U)])
@@ -93,6 +102,8 @@ def _meet_here(token: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, token, met): a class's tokens, of those that several classes of the batch have the first; and as met rows how
+    many tokens of a class some other class of the batch has."""
     names = ["sig", "token", "met"]
     for batch in batches:
         n = np.asarray(pc.list_value_length(batch.column("head")), np.int64)
@@ -104,23 +115,17 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(np.ones(len(at), bool))], names)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = list(batches)
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    sig, token, met = (t.column(n).to_numpy() for n in ("sig", "token", "met"))
-    yield pa.RecordBatch.from_pydict({"sig": sig[met], "met": token[met]})
-    _, sig, both = _meet_here(token[~met], sig[~met])
-    at, n = _count(sig[both])
-    yield pa.RecordBatch.from_pydict({"sig": at, "met": n})
-
-
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, n, set) of the rows whose text is that of the class they were found for."""
     for batch in batches:
-        sets = list(_sets(batch, k))
-        n = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), list_column(signed(np.concatenate([*sets, np.zeros(0, _U)])), np.cumsum([0, *n]))], ["id", "n", "set"])
+        n, one, two = (batch.column(c).to_numpy() for c in ("n", "sig", "sig2"))
+        sets, mine = [], []
+        for i, s in enumerate(_sets(batch, k)):
+            if (len(s), *_sums(s)) == (n[i], one[i : i + 1].view(_U)[0], two[i : i + 1].view(_U)[0]):
+                sets.append(s)
+                mine.append(i)
+        sizes = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(mine, pa.int64())), pa.array(sizes, pa.int64()), list_column(signed(np.concatenate([*sets, np.zeros(0, _U)])), np.cumsum([0, *sizes]))], ["id", "n", "set"])
 
 
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -129,18 +134,27 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if k < 1 or not 0 < percent <= 100:
         raise ValueError("k must be positive and percent in (0, 100]")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(partial(_signatures, k=k, percent=percent), "id long, n long, sig long, sig2 long, head array<long>"), "signatures")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = stored(texts.mapInArrow(partial(_signatures, k=k, percent=percent), f"id {kind}, n long, sig long, sig2 long, head array<long>"), "signatures")
     key = ["n", "sig", "sig2"]
-    classes = stored(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
+    some = F.col("id").isNotNull() & (F.col("n") > 0)
+    classes = stored(rows.where(some).groupBy(*key).agg(F.min("id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
+    # The key is an expression over the shuffled rows, so that they don't carry it.
     meet = F.when(F.col("met"), F.xxhash64("sig")).otherwise(F.col("token"))
-    heads = rows.where("n > 0 and id is not null").select("sig", "head").mapInArrow(_heads, "sig long, token long, met boolean")
-    met = heads.repartition(meet).mapInArrow(_met, "sig long, met long").groupBy("sig").agg(F.sum("met").alias("met"))
-    left = stored(classes.join(met, "sig").where(f"met >= greatest(1, (n * {percent}) div {100 * SPARE})").select(F.col("rep").alias("id")), "candidates")
-    sets = stored(texts.join(left, "id", "left_semi").mapInArrow(partial(_full_sets, k=k), "id long, n long, set array<long>"), "sets")
+    heads = rows.where(some).select("sig", "head").mapInArrow(_heads, "sig long, token long, met boolean").repartition(F.col("met"), meet)
+    same = W.partitionBy("met", "meet")
+    counted = heads.select("*", meet.alias("meet")).select("sig", "token", "met", F.min("sig").over(same).alias("lo"), F.max("sig").over(same).alias("hi"))
+    met = counted.where("met or lo < hi").groupBy("sig").agg(F.sum(F.when(F.col("met"), F.col("token")).otherwise(1)).alias("met"))
+    left = stored(classes.join(met, "sig").where(f"met >= greatest(1, (n * {percent}) div {100 * SPARE})").select(F.col("rep").alias("id"), "cid", *key), "candidates")
+    found = texts.join(left, "id").select(F.col("cid").alias("id"), *key, "text")
+    sets = stored(found.mapInArrow(partial(_full_sets, k=k), "id long, n long, set array<long>"), "sets")
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # whole rows that repeat
+        once = stored(sets.dropDuplicates(["id"]), "sets")
+        drop_stored(sets)
+        sets = once
     slim = stored(rows.drop("head"), "signatures")
-    del heads, met
     drop_stored(rows)
     rows = slim
 
@@ -151,19 +165,19 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     alone = F.col("n") - F.size("list")
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     prefixes = known.withColumn("alone", alone).withColumn("take", take.cast("int")).where("take > 0").select("id", "n", "alone", F.expr("transform(slice(list, 1, take), x -> x.token)").alias("prefix"))
-    prefixes = stored(prefixes.withColumn("group", F.xxhash64("n", "prefix")), "prefixes")
+    prefixes = stored(prefixes.withColumn("group", F.struct(F.xxhash64("n", "prefix").alias("a"), F.xxhash64(F.lit(1), "prefix", "n").alias("b"))), "prefixes")
     drop_stored(frequent)
-    del tokens, frequent, known
 
     # A pair's overlap must reach `need`; from a common first shingle on, it can't exceed `reach` of either.
     need = F.expr(f"ceil({percent} * (a_n + b_n) / {100 + percent}D - 1e-9)")
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least("a_reach", "b_reach") >= need)
 
     def entries(p: DataFrame) -> DataFrame:
-        return p.select("id", "n", "alone", "group", F.posexplode("prefix").alias("pos", "token")).withColumn("reach", F.col("n") - F.col("alone") - F.col("pos"))
+        """A row for each prefix shingle of a group; ``alone`` is the least of its members."""
+        return p.withColumn("e", F.explode(F.expr("transform(prefix, (t, i) -> struct(t as token, n - alone - i as reach))"))).select(*[c for c in p.columns if c != "prefix"], "e.*")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "reach")], *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c in ("component", "group")])
+        return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "token"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("set").alias(f"{s}_set")) for s in "ab")
@@ -171,24 +185,36 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return both.where(f"100 * common >= {percent} * (a_n + b_n - common)").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
     groups = stored(prefixes.groupBy("group").agg(F.min_by(F.struct("id", "n", "alone", "prefix"), F.struct("alone", "id")).alias("centre")), "groups")
-    members = prefixes.select("group", "id").join(groups.select("group", F.col("centre.id").alias("a_id")), "group").where("id <> a_id").select("a_id", F.col("id").alias("b_id"))
+    members = prefixes.select("group", "id")
+    own = members.join(groups.select("group", F.col("centre.id").alias("a_id")), "group").where("id <> a_id").select("a_id", F.col("id").alias("b_id"))
     listed = stored(entries(groups.select("group", "centre.*")), "entries")
     pivots = stored(listed.groupBy("token").agg(F.min_by(F.struct("id", "n", "reach"), F.struct("alone", "id")).alias("p"), F.count("*").alias("many")).where("many > 1").select("token", "p.*"), "pivots")
-    filtered = side(listed, "b").join(side(pivots, "a"), "token").where(fits).select("a_id", "b_group").distinct()
-    stars = stored(filtered, "pairs").join(prefixes.select(F.col("group").alias("b_group"), F.col("id").alias("b_id")), "b_group").where("a_id <> b_id").select("a_id", "b_id")
-    links = stored(verified(members.unionByName(stars).distinct()), "links")
+    paired = side(listed.select("token", "group", "n", "reach"), "b").join(side(pivots, "a"), "token").where(fits).select("a_id", "b_group").distinct()
+    stars = stored(paired, "pairs").join(members.select(F.col("group").alias("b_group"), F.col("id").alias("b_id")), "b_group").where("a_id <> b_id").select("a_id", "b_id")
+    links = stored(verified(own.unionByName(stars).distinct()), "links")
     merged = connected_components(links)
+    drop_stored(listed, pivots, groups)
 
-    everyone = entries(prefixes).join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    everyone = stored(everyone, "everyone")
-    open_lists = everyone.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("least_n")).where("c1 < c2").select("token", "least_n")
-    open_lists = stored(open_lists, "open")
+    split = prefixes.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = stored(split.withColumn("group", F.struct("group", "component")), "split")
+    parts = entries(split.groupBy("group", "component", "n").agg(F.min("alone").alias("alone"), F.any_value("prefix").alias("prefix")))
+    parts = stored(parts, "parts")
+    open_lists = stored(parts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("least_n")).where("c1 < c2").select("token", "least_n"), "open")
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
-    alive = stored(everyone.join(open_lists, "token").where(F.col("reach") >= F.ceil((F.col("n") + smallest) * percent / F.lit(100.0 + percent) - 1e-9)), "alive")
-    rest = side(alive, "a").join(side(alive, "b"), "token").where(fits & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")))
-    more = stored(verified(rest.select("a_id", "b_id").distinct()), "links")
+    alive = stored(parts.join(open_lists, "token").where(F.col("reach") >= F.ceil((F.col("n") + smallest) * percent / F.lit(100.0 + percent) - 1e-9)).select("token", "group", "component", "n", "reach"), "alive")
+    rest = side(alive, "a").join(side(alive, "b"), "token").where(fits & (F.col("a_component") < F.col("b_component"))).select("a_group", "b_group").distinct()
+    expand = lambda s: split.select(F.col("group").alias(f"{s}_group"), F.col("id").alias(f"{s}_id"))
+    pairs = stored(rest, "pairs").join(expand("b"), "b_group").join(expand("a"), "a_group").select("a_id", "b_id")
+    more = stored(verified(pairs), "links")
     if not more.isEmpty():
+        drop_stored(merged)
         merged = connected_components(links.unionByName(more))
-    named = rows.select("id", *key).join(classes, key, "left").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    drop_stored(split, parts, open_lists, alive, sets, prefixes, links, more, left)
+    least = merged.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    least = stored(least, "least")
+    of_class = classes.join(merged.join(broadcast_if_small(least), "component").select(F.col("node").alias("cid"), "least"), "cid", "left")
+    of_class = stored(of_class.select(*key, F.coalesce("least", "rep").alias("component")), "components")
+    drop_stored(classes, merged, least)
+    named = rows.where(some).join(broadcast_if_small(of_class), key).select("id", "n", "component")
+    alone = rows.where(~some).select("id", "n", F.col("id").alias("component"))
+    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -148,9 +148,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     counted = heads.select("*", meet.alias("meet")).select("sig", "token", "met", F.min("sig").over(same).alias("lo"), F.max("sig").over(same).alias("hi"))
     met = counted.where("met or lo < hi").groupBy("sig").agg(F.sum(F.when(F.col("met"), F.col("token")).otherwise(1)).alias("met"))
     left = stored(classes.join(met, "sig").where(f"met >= greatest(1, (n * {percent}) div {100 * SPARE})").select(F.col("rep").alias("id"), "cid", *key), "candidates")
-    found = texts.join(left, "id").select(F.col("cid").alias("id"), *key, "text")
+    # always by a shuffle, so that the plan is the same at every size
+    found = texts.join(left.hint("shuffle_hash"), "id").select(F.col("cid").alias("id"), *key, "text")
     sets = stored(found.mapInArrow(partial(_full_sets, k=k), "id long, n long, set array<long>"), "sets")
-    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # whole rows that repeat
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # whole rows that repeat, or ids of several texts
         once = stored(sets.dropDuplicates(["id"]), "sets")
         drop_stored(sets)
         sets = once

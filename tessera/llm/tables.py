@@ -73,7 +73,7 @@ def drop_all(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """A table of ``stored``, marked for broadcast if its files are small; else Spark joins it by a shuffle."""
     fs, path = _path(df.sparkSession, df._stored_at)
     return F.broadcast(df) if fs.getContentSummary(path).getLength() <= most_bytes else df

@@ -13,7 +13,8 @@ Sources may hold most rows: sums are aggregated before they are shuffled, a sour
 that neither a block nor the list of blocks grows as the source does, and the bisection runs as Spark aggregates.
 
 A null source is a source of its own.  A null or empty text has no words; it costs nothing and is kept once for
-each whole epoch and once more if its block or turn comes.  Null ids and repeats of an id are rows like others.
+each whole epoch and once more if its block or turn comes.  Rows without an id are dealt by their text; repeats of an
+id are rows like others.
 All expressions are built-in and run in the JVM.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import stored
+from tessera.llm.tables import quoted, stored
 
 LEVELS, WAYS = 6, 64  # bisection steps are taken six at a time: one job measures all 63 points they may visit
 
@@ -65,7 +66,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: id, source, n_words, weight (of its source), copies (times to read it), last_block (its
     block in the last epoch).  With ``carry`` the input row comes along as a struct ``row``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("n_words"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    rows = docs.select(F.col(id_col).alias("id"), name.alias("name"), F.col(source_col).alias("source"), word_count(text_col).alias("n_words"), *([F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")] if carry else []))
     if not carry:
         rows = stored(rows, "rows")
     sums = stored(rows.groupBy("source").agg(F.sum("n_words").alias("words"), F.count("*").alias("docs")), "sources")
@@ -83,7 +85,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     plan = plan.withColumn("blocks", F.ceil(F.sqrt("docs")))
     plan = stored(plan.select("source", "words", "weight", "epochs", "rest", "blocks"), "plan")
 
-    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
+    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("name")).cast("binary"))
     dealt = rows.join(plan, rows.source.eqNullSafe(plan.source)).drop(plan.source)
     dealt = dealt.withColumn("turn", turn).withColumn("block", F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("blocks")))
     sizes = dealt.groupBy("source", "block").agg(F.sum("n_words").alias("block_words"))
@@ -103,7 +105,7 @@ def oracle() -> str:
              list_max(list_transform(list_zip(qs, ps), lambda t: t[1] / t[2])) AS r
       FROM (SELECT k, lo, hi, mid, ps, list_transform(ps, lambda p: pow(p, mid)) AS qs FROM (SELECT k, lo, hi, (lo + hi) / 2 AS mid FROM {name} WHERE k < 36), l))"""
     return f"""
-WITH RECURSIVE rows_ AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_words FROM documents),
+WITH RECURSIVE rows_ AS (SELECT doc_id, source, md5(coalesce(text, '')) AS sum_, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_words FROM documents),
 sums AS (SELECT source, sum(n_words)::BIGINT AS words, count(*) AS docs FROM rows_ GROUP BY source),
 tot AS (SELECT sum(words)::DOUBLE AS t FROM sums),
 l AS (SELECT list(words / t ORDER BY source) AS ps FROM sums, tot WHERE words > 0),
@@ -116,7 +118,7 @@ po AS (SELECT CASE WHEN r <= 2.0 THEN a ELSE (SELECT lo FROM g WHERE k = 36) END
 plan AS (SELECT source, words, weight, floor(round(weight * t, 3))::BIGINT AS budget, ceil(sqrt(docs))::BIGINT AS blocks
          FROM (SELECT *, CASE WHEN words > 0 THEN pow(words / t, a) / (SELECT list_sum(list_transform(ps, lambda p: pow(p, a))) FROM l) ELSE 0 END AS weight FROM sums, tot, po)),
 full_ AS (SELECT *, CASE WHEN words > 0 THEN budget // words ELSE 1 END AS epochs, CASE WHEN words > 0 THEN budget % words ELSE 0 END AS rest FROM plan),
-dealt AS (SELECT r.*, p.weight, p.epochs, p.rest, p.blocks, md5('1:' || p.epochs || ':' || coalesce(r.doc_id::VARCHAR, 'null')) AS turn
+dealt AS (SELECT r.*, p.weight, p.epochs, p.rest, p.blocks, md5('1:' || p.epochs || ':' || coalesce(r.doc_id::VARCHAR, 'null:' || r.sum_)) AS turn
           FROM rows_ r JOIN full_ p ON r.source IS NOT DISTINCT FROM p.source),
 b AS (SELECT *, (('0x' || substr(turn, 1, 8))::BIGINT) % blocks AS block FROM dealt)
 SELECT doc_id, source, n_words, round(weight, 9) AS weight, block AS last_block,

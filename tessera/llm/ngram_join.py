@@ -31,7 +31,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,7 +73,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iter
             heads.append(s[: m - -(-percent * m // 100) + -(-m // SPARE)])
         at = np.cumsum([0, *map(len, heads)])
         values = np.concatenate([*heads, np.zeros(0, _U)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(signed(np.array(one, _U))), pa.array(signed(np.array(two, _U))), list_column(signed(values), at)], ["id", "n", "sig", "sig2", "head"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(signed(np.array(one, _U))), pa.array(signed(np.array(two, _U))), list_column(signed(values), at)], ["id", "mark", "n", "sig", "sig2", "head"])
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -128,15 +128,20 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(mine, pa.int64())), pa.array(sizes, pa.int64()), list_column(signed(np.concatenate([*sets, np.zeros(0, _U)])), np.cumsum([0, *sizes]))], ["id", "n", "set"])
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links of Jaccard
-    similarity ``percent``/100 or more over k-word shingles; A-Z count as a-z)."""
+    similarity ``percent``/100 or more over k-word shingles; A-Z count as a-z).
+
+    With ``mark``, a small column of the input, each row also has it, and ``component``, a number of its component that
+    is its own even where ids repeat (null for rows that can't link).
+    """
     if k < 1 or not 0 < percent <= 100:
         raise ValueError("k must be positive and percent in (0, 100]")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = stored(texts.mapInArrow(partial(_signatures, k=k, percent=percent), f"id {kind}, n long, sig long, sig2 long, head array<long>"), "signatures")
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (mark if mark is not None else F.lit(None).cast("long")).alias("mark"))
+    kind, mark_kind = (marked.schema[c].dataType.simpleString() for c in ("id", "mark"))
+    rows = stored(marked.mapInArrow(partial(_signatures, k=k, percent=percent), f"id {kind}, mark {mark_kind}, n long, sig long, sig2 long, head array<long>"), "signatures")
     key = ["n", "sig", "sig2"]
     some = F.col("id").isNotNull() & (F.col("n") > 0)
     classes = stored(rows.where(some).groupBy(*key).agg(F.min("id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -213,9 +218,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     drop_stored(split, parts, open_lists, alive, sets, prefixes, links, more, left)
     least = merged.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     least = stored(least, "least")
-    of_class = classes.join(merged.join(broadcast_if_small(least), "component").select(F.col("node").alias("cid"), "least"), "cid", "left")
-    of_class = stored(of_class.select(*key, F.coalesce("least", "rep").alias("component")), "components")
+    of_class = classes.join(merged.join(broadcast_if_small(least), "component").select(F.col("node").alias("cid"), "component", "least"), "cid", "left")
+    of_class = stored(of_class.select(*key, F.coalesce("component", "cid").alias("component"), F.coalesce("least", "rep").alias("least")), "components")
     drop_stored(classes, merged, least)
-    named = rows.where(some).join(broadcast_if_small(of_class), key).select("id", "n", "component")
-    alone = rows.where(~some).select("id", "n", F.col("id").alias("component"))
-    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    named = rows.where(some).join(broadcast_if_small(of_class), key).select("id", "mark", "n", "component", "least")
+    alone = rows.where(~some).select("id", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("least"))
+    extra = ["mark", "component"] if mark is not None else []
+    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), *extra)

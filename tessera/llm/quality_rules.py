@@ -8,11 +8,14 @@ Null or empty text has no words and fails the base rule.  Rows are judged one by
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import quoted
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 # Frequent function words of the four languages of the tables.
@@ -64,13 +67,13 @@ def _with_repeats(df: DataFrame, width: int = 8) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr(f"cast(aggregate(zip_with(_p, slice(_p, 2, greatest(size(_p), 1)), (a, b) -> least({width}, coalesce(b - a, {width}))), 0, (x, y) -> x + y) as long)"))
 
 
-def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``id_col``, the carried columns (as a struct ``carried``) and every feature the rules may name."""
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    carried = [F.struct(*[F.col(quoted(c)) for c in carry]).alias("carried")] if carry else []
     df = docs.select(F.col(id_col).alias("id"), *carried, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", WORD_GAP), ""))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
+    stops = sorted({*stop_words, *(w.capitalize() for w in stop_words)})
     df = df.select(
         "id", *(["carried"] if carry else []), "_words",
         F.size("_words").cast("long").alias("n_words"),
@@ -102,9 +105,9 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules]))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30, carry: tuple[str, ...] = (), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, the base features, base_failed, kept, failed_rules and, where asked for, ``carried``."""
-    df = quality_features(docs, id_col=id_col, text_col=text_col, carry=carry)
+    df = quality_features(docs, id_col=id_col, text_col=text_col, carry=carry, stop_words=stop_words)
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     df = df.withColumn("failed_rules", compiled(rules))
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from test_operators import SCHEMA, brute_components, brute_cut, brute_quality, corpus, frame
 
 
@@ -65,3 +66,22 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 0, 1]
     for _, f in cp.STAGES:
         f(spark, docs.limit(0), None).collect()
+
+
+TEXT = "the plain words of a text that is long enough to be kept by every rule of this table and {} more than once by one"
+
+
+def test_near_duplicates_decide_by_row(spark):
+    a, b, c = (" ".join(TEXT.format(w) for w in ws) for ws in (("read", "seen"), ("heard", "told"), ("far other words such as these that stand here", "and there")))
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, c, "en", "s"), (2, c, "en", "s"), (3, c, "fr", "s"), (1, "one of its own text that no other row has at all", "en", "s"), (None, a, "en", "s"), (7, "", "en", "s"), (7, "", "en", "s")]
+    docs = spark.createDataFrame([(i, t, l, s, len(t)) for i, t, l, s in rows], SCHEMA)
+    for order in (1, 2):
+        near = stage("n-gram Jaccard join")(spark, docs.repartition(order), None)
+        assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(1, a), (2, c), (1, rows[5][1]), (None, a), (7, ""), (7, "")], key=repr)
+
+
+def test_columns_of_any_name(spark):
+    docs = frame(spark, corpus(2, 20)).withColumn("a.b", F.lit(1)).withColumn("x`y", F.lit("z")).withColumn("linkable", F.lit(2)).withColumn("mark", F.lit(3)).withColumn("cid", F.lit(4))
+    for name, f in cp.STAGES[:-1]:
+        assert sorted(f(spark, docs, None).columns) == sorted(docs.columns), name
+        f(spark, docs, None).collect()

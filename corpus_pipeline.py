@@ -11,42 +11,49 @@ from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.substring_dedup import substring_dedup
-from tessera.llm.tables import stored, table
+from tessera.llm.tables import drop_stored, quoted, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.  A null or empty text is rejected; rows that repeat are judged alike."""
     judged = quality_rules(docs, carry=tuple(docs.columns))
     # explode_outer keeps Spark from pushing the test below the features, where they would be computed twice
     return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("carried"))).alias("r")).where("r is not null").select("r.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once; documents without an id stay."""
-    groups = stored(ngram_jaccard_join(docs, k=5, percent=80), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
-    if not first.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates one row: that of the smallest id, of several such that of the smallest hash of
+    its text.  Rows decide, so an id of several texts stays with each that no smaller id has.  Rows without an id or
+    without a word link with nothing and stay, repeated or not."""
+    mark = F.xxhash64("text")
+    groups = stored(ngram_jaccard_join(docs, k=5, percent=80, mark=mark), "groups")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("w")).select(F.col("w.doc_id").alias("id"), F.col("w.mark").alias("mark"))
+    linkable = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), mark.alias("mark"), linkable.alias("linkable"))
+    kept = rows.where("linkable").join(first, ["id", "mark"], "left_semi")
+    if not groups.where("component is not null").groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "mark"])
+    return kept.unionByName(rows.where("not linkable")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier ones hold; those of which nothing is left go."""
+    """Documents without the passages that smaller ids hold; those of which nothing is left go, and so do texts that are
+    null or without a word.  Rows without an id are kept whole; words are joined by one space in all rows."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substring_dedup(docs, row=F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]))
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(f"row.`{c}`") for c in others}
+    cut = substring_dedup(docs, row=F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in others]))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col("row." + quoted(c)) for c in others}
     return cut.where("kept <> ''").select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for."""
+    """Each document as often as its source's weight asks for.  A null source is a source of its own; a text without a
+    word costs nothing; rows that repeat are dealt each by itself."""
     mixed = mix_sources(docs, carry=True)
     return mixed.select(F.explode(F.expr("array_repeat(row, cast(copies as int))")).alias("r")).select("r.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 2048 tokens."""
+    """The places of all documents' pieces in sequences of 2048 tokens.  A null or empty text is its end mark alone."""
     return pack(docs, tokenizer_path=tokenizer_path())
 
 
@@ -64,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is a written table that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            drop_stored(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.quality_rules import STOP_WORDS
+
 # Notices and short licence texts that are in public use.
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -125,12 +127,12 @@ def bigrams(text: str) -> list[str]:
 
 def key_words(pairs: list[str], threshold: float) -> set[str]:
     """Words of a template of which every match has one: together they stand in more of its bigrams than a match can
-    miss.  Longer words come first, as they are rarer."""
+    miss.  Longer words come first and stop words last, as that is how rare they are."""
     b = len(pairs)
     least = math.ceil(b * threshold / (2 - threshold) - 1e-9)
     missed = b - math.ceil(threshold * (least + b) / 2 - 1e-9)
     picked, covered = set(), set()
-    for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
+    for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w in STOP_WORDS, -len(w), w)):
         if len(covered) > missed:
             break
         picked.add(word)
@@ -155,7 +157,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     paragraphs = F.transform(F.split("_text", r"\n[\x20\t\r]*\n"), lambda u, i: unit("paragraph", i, u))
     several = F.filter(paragraphs, lambda u: F.contains(F.trim(u.body, F.lit("\n\r\t ")), F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, F.array(unit("text", F.lit(0), F.col("_text")))).otherwise(F.array().cast("array<struct<unit_kind:string,unit:int,body:string>>"))
-    units = rows.select("id", F.explode(F.concat(lines, sentences, several, whole)).alias("u")).select("id", "u.*")
+    units = rows.select("id", F.explode_outer(F.concat(lines, sentences, several, whole)).alias("u")).select("id", "u.*")
     words = units.withColumn("_w", split("body")).drop("body")
     fewest = min((len(b) * least for *_, b, _ in known), default=0.0)  # distinct bigrams are fewer than words
     fit = F.arrays_overlap("_w", keys) & (F.size("_w") - 1 >= fewest)

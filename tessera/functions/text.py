@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 # Fixed patterns: what a Latin token and a CJK run are.
 LATIN_TOKEN = r"[A-Za-z0-9][A-Za-z0-9_.+-]*"
-CJK_RUN = r"[㐀-䶿一-鿿]+"
-CJK_CHAR = r"[㐀-䶿一-鿿\uF900-\uFAFF]"
+CJK_RUN = r"[\u3400-\u4DBF\u4E00-\u9FFF]+"
+CJK_CHAR = r"[\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"
 WORD = r"[A-Za-z0-9]+(?:[._+/-][A-Za-z0-9]+)*"
 SENTENCE_END = r"(?<=[。！？!?；;.])"
 CASE_NUMBER = r"\((\d{4})\)([一-鿿A-Za-z0-9]{1,30}?)第?(\d{1,10})号"
@@ -79,11 +79,12 @@ def collapsed(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def identity_hash(text: Column) -> Column:
-    return F.sha2(F.encode(collapsed(text), "UTF-8"), 256)
+    """SHA-256 of the text in compatibility form, white space collapsed."""
+    return F.sha2(F.encode(collapsed(nfkc(text)), "UTF-8"), 256)
 
 
 def case_number(text: Column) -> Column:
@@ -110,3 +111,53 @@ def strip_citations(text: Column, available: Column) -> Column:
 
 def questions(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^\n。！？?!]*[？?]"), F.lit(0)), lambda q: F.trim(q)), lambda q: F.length(q) > 1)
+
+
+# Fixed pattern: authority references in square brackets, which are numbered, and references to materials.
+NUMBERED = r"\[(?:L[a-zA-Z0-9-]+:C\d+|C[a-zA-Z0-9-]+:S\d+)\]"
+
+
+def numbered_citations(text: Column, *, markdown: bool = False) -> Column:
+    """Authority references as numbers in order of first appearance; in markdown, these and material references as code."""
+    marks = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0))
+    order, between = F.array_distinct(marks), F.split(text, NUMBERED, -1)
+    shown = F.transform(marks, lambda m: F.concat(F.lit("["), F.array_position(order, m).cast("string"), F.lit("]")))
+    out = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.regexp_replace(out, r"\[(\d+|M\d+:C\d+)\]", "`[$1]`") if markdown else out
+
+
+def cited_only(text: Column, references: Column) -> Column:
+    """Those of ``references`` (an array, in its order) that the text cites in square brackets."""
+    marks = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0))
+    return F.filter(references, lambda r: F.array_contains(marks, F.concat(F.lit("["), r, F.lit("]"))))
+
+
+def issue(text: Column) -> Column:
+    """A charge without its closing word."""
+    return F.regexp_replace(F.regexp_replace(text, UNICODE_ENDS, ""), "罪$", "")
+
+
+def preview(text: Column, n: int) -> Column:
+    return F.substring(collapsed(text), 1, n)
+
+
+# The tools that search, and what they search.
+SEARCHES = {"search_case_materials": "案件材料", "search_legal_authorities": "法规依据", "search_guiding_cases": "相关案例"}
+
+
+def search_description(tool: Column, query: Column) -> Column:
+    """What a search is about, in 80 characters of its query; null for other tools or without a query."""
+    what = F.lit(None).cast("string")
+    for name, label in SEARCHES.items():
+        what = F.when(tool == name, label).otherwise(what)
+    return F.when(query != "", F.concat(F.lit("检索“"), preview(query, 80), F.lit("”相关的"), what))
+
+
+def joined(*parts: Column) -> Column:
+    """Non-empty parts, each a text or an array of texts, joined by a blank."""
+    arrays = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
+    return F.array_join(F.filter(F.flatten(F.array(*arrays)), lambda x: x.isNotNull() & (x != "")), " ")
+
+
+def one(text: Column) -> Column:
+    return F.array(text)

@@ -34,6 +34,19 @@ def cross_source_groups(df: DataFrame, *, key: str, source: str, member: str, or
     return groups.where(F.col("sources") >= least_sources).orderBy(key).limit(k)
 
 
+def shared_identities(df: DataFrame, *, key: str, source: str, member: Column, order: str, k: int, content: str | None = None) -> DataFrame:
+    """The first k keys that several sources have (and, with ``content``, with several contents), and their members in order.
+
+    Which keys these are comes from counts; only their rows are gathered, for a report of k lines.
+    """
+    rows = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    many = [F.min(c) < F.max(c) for c in (source, *([content] if content else []))]  # two at least
+    keys = rows.groupBy(key).agg(*[m.alias(f"_m{i}") for i, m in enumerate(many)])
+    first = keys.where(" and ".join(f"_m{i}" for i in range(len(many)))).orderBy(key).limit(k).select(key)
+    found = rows.withColumn("_member", member).join(F.broadcast(first), key)
+    return found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "_member"))), lambda x: x["_member"]).alias("members"))
+
+
 def sampling_rank(seed: int, stratum: Column, identity: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), stratum, identity), 256)
 
@@ -48,38 +61,83 @@ def stratified_round_robin(df: DataFrame, *, stratum: str, identity: str, seed:
     return placed.orderBy("position", stratum).limit(k).withColumn("ordinal", F.row_number().over(W.orderBy("position", stratum)))
 
 
+def split_sizes(available: Column, *, discovery: int, evaluation: int, most: int) -> tuple[Column, Column]:
+    """How many of a sample go to either part: all that is asked for, else in proportion, halves to even."""
+    chosen = F.least(available, F.lit(discovery + evaluation), F.lit(most)).cast("int")
+    share = F.bround(chosen * F.lit(discovery / max(discovery + evaluation, 1))).cast("int")
+    first = F.least(chosen, F.lit(discovery), F.greatest(share, F.lit(1)))
+    return first, F.least(F.lit(evaluation), chosen - first)
+
+
 def split_counts(available: int, discovery: int, evaluation: int, most: int) -> tuple[int, int]:
-    """How many of a sample go to either part: all that is asked for, else in proportion."""
-    wanted = discovery + evaluation
-    chosen = min(available, wanted, most)
-    if chosen in (0, wanted):
-        return (discovery, evaluation) if chosen else (0, 0)
-    first = min(discovery, max(1, round(chosen * discovery / wanted)))
+    """``split_sizes`` of a number that the driver knows."""
+    chosen = min(available, discovery + evaluation, most)
+    first = min(chosen, discovery, max(1, round(chosen * discovery / max(discovery + evaluation, 1))))
     return first, min(evaluation, chosen - first)
 
 
+def _in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """All rows in one partition, in order; its tasks stream it."""
+    return df.repartition(1).sortWithinPartitions(*order)
+
+
 def greedy_pack(sample: DataFrame, *, ordinal: str, tokens: str, budget: int) -> DataFrame:
     """Adds ``batch`` (from 0): rows in order, a new batch where the budget would be passed.
 
-    A fold over a bounded sample (the result of a sampling operator): each batch starts its sum anew, so it isn't a prefix sum.
+    Each batch starts its sum anew, so it isn't a prefix sum: the rows (of a bounded sample) are streamed in order.
     """
-    rows = sample.agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:int,b:int>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fresh = (acc.batch < 0) | (acc.used + r.t > budget)
-        batch = F.when(fresh, acc.batch + 1).otherwise(acc.batch)
-        return F.struct(batch.alias("batch"), F.when(fresh, r.t).otherwise(acc.used + r.t).alias("used"), F.concat(acc.out, F.array(F.struct(r.o.cast("int").alias("o"), batch.alias("b")))).alias("out"))
-
-    placed = rows.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc.out)).alias("p")).select(F.col("p.o").alias(ordinal), F.col("p.b").alias("batch"))
-    return sample.join(placed, ordinal)
-
-
-def identity_of(df: DataFrame, parts: Sequence[str], order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """SHA-256 of the rows' parts, joined in order; of a bounded plan, or of each of its groups."""
-    line = F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
-    lines = F.sort_array(F.collect_list(F.struct(*order, line.alias("_line"))))
-    return df.groupBy(*group).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n"), 256).alias("identity"))
+    import pyarrow as pa
+
+    def number(batches):
+        batch, used = -1, 0
+        for rows in batches:
+            out = []
+            for n in rows.column(tokens).to_pylist():
+                if batch < 0 or used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield rows.append_column("batch", pa.array(out, pa.int32()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema.fields)
+    return _in_order(sample, [ordinal]).mapInArrow(number, f"{schema}, batch int")
+
+
+def identity_of(df: DataFrame, parts: Sequence[str], order: Sequence[str], group: Sequence[str] = (), *, head: str = "", between: str = "\n", tail: str = "", separator: str = "|") -> DataFrame:
+    """SHA-256 of the rows' parts, joined in order between ``head`` and ``tail``; of a plan, or of each of its groups."""
+    import hashlib
+
+    import pyarrow as pa
+
+    line = F.concat_ws(separator, *[F.col(p).cast("string") for p in parts])
+    rows = df.select(*group, *[c for c in order if c not in group], line.alias("_line"))
+    rows = rows.repartition(*group).sortWithinPartitions(*group, *order) if group else _in_order(rows, order)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def digest(batches):
+        now, sums, types = None, None, {}
+        for batch in batches:
+            types = {g: batch.schema.field(g).type for g in group}
+            keys = list(zip(*[batch.column(g).to_pylist() for g in group])) if group else [()] * batch.num_rows
+            done = []
+            for key, text in zip(keys, batch.column("_line").to_pylist()):
+                if sums is not None and key == now:
+                    sums.update(between.encode())
+                else:
+                    done += [(now, sums)] if sums is not None else []
+                    now, sums = key, hashlib.sha256(head.encode())
+                sums.update(text.encode())
+            yield from _digests(done, types)
+        yield from _digests([(now, sums)] if sums is not None else [], types)
+
+    def _digests(done, types):
+        for _, s in done:
+            s.update(tail.encode())
+        cols = {g: pa.array([k[i] for k, _ in done], types[g]) for i, g in enumerate(group)} | {"identity": pa.array([s.hexdigest() for _, s in done], pa.string())}
+        if done:
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.mapInArrow(digest, ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "identity string"]))
 
 
 def ledger_snapshot(df: DataFrame, *, scope: str, status: str, tokens: Column, limit: int) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def compensation(df: DataFrame, *, years: str, months: str, wage: str, average: str) -> DataFrame:
-    """Termination compensation N and 2N in DECIMAL, half up to 2 places.
+    """Termination compensation N and 2N in DECIMAL; both are rounded half up to 2 places from the exact product.
 
     One month's wage for each year, half a one for 1 to 5 further months, a whole one for 6 or more.  Where the wage
     is over three times the local average, that is the basis and at most 12 months count; without an average the flag is null.
+    Without service or a positive wage all results are null.
     """
     money = "decimal(18,2)"
     credit = F.when(F.col(months).between(1, 5), F.lit(0.5)).when(F.col(months) >= 6, F.lit(1.0)).otherwise(F.lit(0.0)).cast("decimal(3,1)")
@@ -20,8 +21,10 @@ def compensation(df: DataFrame, *, years: str, months: str, wage: str, average:
     count = F.when(F.coalesce(capped, F.lit(False)), F.least(count, F.lit(12).cast("decimal(6,1)"))).otherwise(count)
     basis = F.when(F.coalesce(capped, F.lit(False)), cap).otherwise(F.col(wage).cast(money))
     out = df.withColumn("compensation_months", count.cast("decimal(8,2)")).withColumn("wage_basis", basis.cast(money)).withColumn("cap_applied", capped)
-    out = out.withColumn("n1", F.round(F.col("wage_basis") * F.col("compensation_months"), 2).cast("decimal(20,2)"))
-    return out.withColumn("n2", (F.col("n1") * 2).cast("decimal(20,2)"))
+    exact = F.col("wage_basis") * F.col("compensation_months")
+    out = out.withColumn("n1", F.round(exact, 2).cast("decimal(20,2)")).withColumn("n2", F.round(exact * 2, 2).cast("decimal(20,2)"))
+    valid = (F.col(wage) > 0) & (F.col(years) + F.col(months) > 0)
+    return out.withColumns({c: F.when(valid, F.col(c)) for c in ("compensation_months", "wage_basis", "cap_applied", "n1", "n2")})
 
 
 def outcome_bucket(months: Column, *, life: Column | None = None, death: Column | None = None) -> Column:

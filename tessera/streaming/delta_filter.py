@@ -16,33 +16,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.functions.text import CITATION
 
 _MARK = re.compile(CITATION)
-_OPEN = re.compile(r"[\[【]")
-HELD = 160  # fixed value: a marker longer than this is no marker
+HELD = 160  # fixed value: what is longer and not closed is no marker
+_OPEN = rf"(?:[LC][^{{}}]{{{{0,{HELD - 2}}}}})?\Z"
+_TOKEN = re.compile(r"\[[LC][^\]]*\]|【[LC][^】]*】|(?P<held>\[" + _OPEN.format(r"\]") + "|【" + _OPEN.format("】") + ")")
 
 
 def feed(held: str, delta: str, known: Set[str]) -> tuple[str, str]:
-    """What may be shown now, and what is still held back."""
-    text, shown, at = held + delta, [], 0
-    while m := _OPEN.search(text, at):
-        shown.append(text[at : m.start()])
-        at = m.start()
-        kind = text[at + 1 : at + 2]
-        if not kind:
-            return "".join(shown), text[at:]
-        end = text.find("]" if m[0] == "[" else "】", at + 2) if kind in "LC" else -1
-        if kind not in "LC" or end < 0 and len(text) - at > HELD:
-            shown.append(text[at])
-            at += 1
-        elif end < 0:
-            return "".join(shown), text[at:]
-        else:
-            whole = text[at : end + 1]
-            if not _MARK.fullmatch(whole):
-                shown.append(whole)
-            elif whole[1:-1] in known:
-                shown.append(f"[{whole[1:-1]}]")
-            at = end + 1
-    return "".join(shown) + text[at:], ""
+    """What may be shown now, and what is still held back: a suffix that may become a marker."""
+    rest = ""
+
+    def shown(token: re.Match) -> str:
+        nonlocal rest
+        if token["held"]:
+            rest = token["held"]
+            return ""
+        if not _MARK.fullmatch(token[0]):
+            return token[0]
+        return f"[{token[0][1:-1]}]" if token[0][1:-1] in known else ""
+
+    return _TOKEN.sub(shown, held + delta), rest
 
 
 def fold_deltas(deltas: DataFrame, known: Set[str]) -> DataFrame:

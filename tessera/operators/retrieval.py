@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import cut
 
 QUERY_BLOCK = 1000
 
@@ -21,57 +22,97 @@ def top_by(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
 
 
-def _block_scores(batches: Iterator[pa.RecordBatch], terms: list[str], weights: np.ndarray, query_ids: list, k: int) -> Iterator[pa.RecordBatch]:
-    """One pass of an automaton over each text; keeps the k best texts of the batch for each query, which no other batch can change."""
-    import ahocorasick
+class _Best:
+    """The k best of each query among the rows of a task, which no other task can change."""
 
-    automaton = ahocorasick.Automaton()
-    for i, term in enumerate(terms):
-        automaton.add_word(term, i)
-    automaton.make_automaton()
+    def __init__(self, k: int):
+        self.k, self.parts, self.size, self.limit = k, [], 0, 200_000
+
+    def add(self, query: np.ndarray, *columns: np.ndarray) -> None:
+        """Columns in the order of rank: each ascending."""
+        self.parts.append((query, *columns))
+        self.size += len(query)
+        if self.size > self.limit:
+            self.limit = 2 * max(100_000, len(self.rows()[0]))
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return ()
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        order = np.lexsort(columns[::-1])
+        query = columns[0][order]
+        new = np.ones(len(query), bool)
+        new[1:] = query[1:] != query[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+        keep = order[np.arange(len(query)) - first < self.k]
+        self.parts, self.size = [tuple(c[keep] for c in columns)], len(keep)
+        return self.parts[0]
+
+
+class _Terms:
+    """A block of queries: an automaton of their terms, and the queries and weights of each term."""
+
+    def __init__(self, rows: list, base: int):
+        import ahocorasick
+
+        self.base, self.n = base, len(rows)
+        of: dict[str, list[tuple[int, int]]] = {}
+        for j, r in enumerate(rows):
+            for t in r.terms or ():
+                of.setdefault(t, []).append((j, 2 if len(t) >= 3 else 1))
+        self.automaton = ahocorasick.Automaton()
+        for i, t in enumerate(of):
+            self.automaton.add_word(t, i)
+        self.empty = not of
+        if of:
+            self.automaton.make_automaton()
+        self.queries = [np.array([j for j, _ in v]) for v in of.values()]
+        self.weights = [np.array([w for _, w in v], float) for v in of.values()]
+
+    def scores(self, text: str) -> np.ndarray:
+        found = {i for _, i in self.automaton.iter(text)}
+        if not found:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.queries[i] for i in found]), np.concatenate([self.weights[i] for i in found]), self.n)
+
+
+def _rank_texts(batches: Iterator[pa.RecordBatch], rows: list, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts of a task for all blocks of queries."""
+    blocks = [_Terms(rows[lo : lo + QUERY_BLOCK], lo) for lo in range(0, len(rows), QUERY_BLOCK)]
+    best = _Best(k)
     for batch in batches:
-        ids, length = batch.column("doc_id").to_numpy(), np.zeros(batch.num_rows, np.int64)
-        found = np.zeros((batch.num_rows, len(terms)), np.float32)
-        for row, text in enumerate(batch.column("content").to_pylist()):
-            if text:
-                length[row] = len(text)
-                found[row, list({i for _, i in automaton.iter(text.lower())})] = 1
-        scores = found @ weights
-        order = np.lexsort((ids, length))
-        ranked = np.argsort(-scores[order], axis=0, kind="stable")[:k]
-        rows = order[ranked]
-        best = np.take_along_axis(scores, rows, axis=0)
-        keep = best > 0
-        q = np.broadcast_to(np.arange(len(query_ids)), keep.shape)[keep]
-        picked = rows[keep]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(query_ids)[q]), "doc_id": pa.array(ids[picked]), "score": pa.array(best[keep].astype(np.float64)), "length": pa.array(length[picked])})
+        doc = batch.column("doc_id").to_numpy()
+        for block in blocks:
+            if block.empty:
+                continue
+            q, score, length, at = [], [], [], []
+            for row, text in enumerate(batch.column("content").to_pylist()):
+                if text:
+                    s = block.scores(text.lower())
+                    hit = np.flatnonzero(s)
+                    q.append(hit + block.base)
+                    score.append(-s[hit])
+                    length.append(np.full(len(hit), len(text)))
+                    at.append(np.full(len(hit), doc[row]))
+            if q:
+                best.add(*map(np.concatenate, (q, score, length, at)))
+    if got := best.rows():
+        q, score, length, at = got
+        yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(q)), "doc_id": pa.array(at), "score": pa.array(-score), "length": pa.array(length)})
 
 
 def lexical_rank(queries: DataFrame, docs: DataFrame, *, k: int, stop_terms: Sequence[str] = (), cjk_sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
     """(query_id, doc_id, score, rank): weights of the query's terms that a document contains as substrings.
 
-    ``queries`` (query_id, query) is a stated set that is compared with all ``docs`` (doc_id, content) in blocks of
-    queries; documents are read once a block and never shuffled.  Ties: shorter content, then smaller doc_id.
+    ``queries`` (query_id, query) is a stated set that goes to every task and is compared with all ``docs`` (doc_id,
+    content) in blocks of queries; documents are read once and never shuffled.  Ties: shorter content, then smaller doc_id.
     """
     terms = queries.select("query_id", tx.query_terms(F.col("query"), stop_terms=stop_terms, cjk_sizes=cjk_sizes).alias("terms"))
     rows = sorted(terms.toLocalIterator(), key=lambda r: r.query_id)
     kind = queries.schema["query_id"].dataType.simpleString()
-    parts = []
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        block = rows[lo : lo + QUERY_BLOCK]
-        names = sorted({t for r in block for t in r.terms or ()})
-        at = {t: i for i, t in enumerate(names)}
-        weights = np.zeros((len(names), len(block)), np.float32)
-        for j, r in enumerate(block):
-            for t in r.terms or ():
-                weights[at[t], j] = 2 if len(t) >= 3 else 1
-        ids = [r.query_id for r in block]
-        if names:
-            parts.append(docs.select("doc_id", "content").mapInArrow(lambda b, n=names, w=weights, q=ids: _block_scores(b, n, w, q, k), f"query_id {kind}, doc_id long, score double, length long"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"query_id {kind}, doc_id long, score double, rank int")
-    scored = reduce(DataFrame.unionByName, parts)
-    return top_by(scored, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
+    ids = pa.array([r.query_id for r in rows])
+    found = docs.select("doc_id", "content").mapInArrow(lambda b: _rank_texts(b, rows, ids, k), f"query_id {kind}, doc_id long, score double, length long")
+    return top_by(found, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -82,50 +123,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot / norms)
 
 
-def _block_cosines(batches: Iterator[pa.RecordBatch], query_ids: list, queries: np.ndarray, k: int, positive: bool) -> Iterator[pa.RecordBatch]:
-    norms = np.sqrt((queries**2).sum(axis=1))
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        under = np.outer(np.sqrt((x**2).sum(axis=1)), norms)
-        score = np.round(np.divide(x @ queries.T, under, out=np.zeros_like(under), where=under > 0), 6)
-        order = np.argsort(ids, kind="stable")
-        rows = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
-        best = np.take_along_axis(score, rows, axis=0)
-        keep = best > 0 if positive else np.ones_like(best, bool)
-        q = np.broadcast_to(np.arange(len(query_ids)), keep.shape)[keep]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(query_ids)[q]), "doc_id": pa.array(ids[rows[keep]]), "score": pa.array(best[keep])})
-
-
-def vector_rank(queries: DataFrame, docs: DataFrame, *, k: int, positive: bool = True) -> DataFrame:
+def _rank_vectors(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.ndarray, labels: np.ndarray | None, k: int, positive: bool) -> Iterator[pa.RecordBatch]:
+    norms, best = np.sqrt((queries**2).sum(axis=1)), _Best(k)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            doc, length = batch.column("doc_id").to_numpy(), batch.column("length").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
+            mine = np.sqrt((x**2).sum(axis=1))
+            for lo in range(0, len(queries), QUERY_BLOCK):
+                q = slice(lo, lo + QUERY_BLOCK)
+                under = np.outer(mine, norms[q])
+                score = np.round(np.divide(x @ queries[q].T, under, out=np.zeros_like(under), where=under > 0), 6)
+                ok = score > 0 if positive else np.ones_like(score, bool)
+                if labels is not None:
+                    ok &= batch.column("label").to_numpy(zero_copy_only=False)[:, None] == labels[q][None, :]
+                r, c = np.nonzero(ok)
+                best.add(c + lo, -score[r, c], length[r], doc[r])
+    if got := best.rows():
+        c, score, _, doc = got
+        yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(c)), "doc_id": pa.array(doc), "score": pa.array(-score), "length": pa.array(got[2])})
+
+
+def vector_rank(queries: DataFrame, docs: DataFrame, *, k: int, positive: bool = True, label: str | None = None, strict: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine to 6 places; ``queries`` (query_id, embedding) are compared in blocks.
 
-    Only vectors of the queries' length that are whole take part; scores of 0 or less are dropped if ``positive``.
+    Only vectors of the queries' length that are whole take part, or, if ``strict``, others are an error; scores of 0 or
+    less are dropped if ``positive``.  With ``label`` a query meets documents of its own label only.  Ties: shorter
+    ``content`` where documents have one, then smaller doc_id.
     """
     rows = sorted(queries.where("embedding is not null").toLocalIterator(), key=lambda r: r.query_id)
-    parts = []
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        block = rows[lo : lo + QUERY_BLOCK]
-        x = np.array([r.embedding for r in block], np.float64)
-        whole = docs.where((F.size("embedding") == x.shape[1]) & ~F.exists("embedding", lambda v: v.isNull()))
-        ids = [r.query_id for r in block]
-        parts.append(whole.select("doc_id", "embedding").mapInArrow(lambda b, q=ids, m=x: _block_cosines(b, q, m, k, positive), "query_id long, doc_id long, score double"))
-    if not parts:
+    if not rows:
         return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top_by(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    x = np.array([r.embedding for r in rows], np.float64)
+    labels = np.array([r[label] for r in rows]) if label else None
+    fits = (F.size("embedding") == x.shape[1]) & ~F.exists("embedding", lambda v: v.isNull())
+    whole = docs.where(F.col("embedding").isNotNull() & (F.when(fits, True).otherwise(F.raise_error(F.lit("vectors differ in length"))) if strict else fits))
+    length = F.length("content").cast("long") if "content" in docs.columns else F.lit(0).cast("long")
+    ids = pa.array([r.query_id for r in rows])
+    columns = [F.col("doc_id"), F.col("embedding"), length.alias("length"), *([F.col(label).alias("label")] if label else [])]
+    found = whole.select(*columns).mapInArrow(lambda b: _rank_vectors(b, ids, x, labels, k, positive), "query_id long, doc_id long, score double, length long")
+    return top_by(found, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
 def fuse(rankings: Sequence[DataFrame], *, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion.  Terms are added in the order of ``rankings``; ties: best rank, then first seen."""
-    tagged = [r.select("query_id", "doc_id", "rank", F.lit(i).alias("which")) for i, r in enumerate(rankings)]
+    """Reciprocal rank fusion.  Terms are added in the order of ``rankings``; ties: best rank, then first seen.  Where all
+    rankings have ``matched_terms``, their union in that order goes along."""
+    with_terms = all("matched_terms" in r.columns for r in rankings)
+    tagged = [r.select("query_id", "doc_id", "rank", F.lit(i).alias("which"), *(["matched_terms"] if with_terms else [])) for i, r in enumerate(rankings)]
+    terms = [F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("which", "matched_terms"))), lambda x: x["matched_terms"]))).alias("matched_terms")] if with_terms else []
     one = reduce(DataFrame.unionByName, tagged).groupBy("query_id", "doc_id").agg(
         *[F.max(F.when(F.col("which") == i, 1.0 / (constant + F.col("rank")))).alias(f"s{i}") for i in range(len(rankings))],
         F.min("rank").alias("best_rank"),
         F.min(F.struct("which", "rank")).alias("seen"),
+        *terms,
     )
     score = reduce(lambda a, b: a + b, [F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(rankings))])
     fused = one.withColumn("score", score)
-    return top_by(fused, ["query_id"], [F.desc("score"), F.col("best_rank"), F.col("seen"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "best_rank", "rank")
+    return top_by(fused, ["query_id"], [F.desc("score"), F.col("best_rank"), F.col("seen"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "best_rank", "rank", *(["matched_terms"] if with_terms else []))
 
 
 def cap_per_source(ranked: DataFrame, *, cap: int, k: int) -> DataFrame:
@@ -142,74 +197,231 @@ def two_phase(queries: DataFrame, docs: DataFrame, first: Sequence[DataFrame], *
     return top_by(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def _phrase_hits(batches: Iterator[pa.RecordBatch], phrases: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _phrase_hits(batches: Iterator[pa.RecordBatch], phrases: list[str]) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
-    by_phrase: dict[str, list] = {}
-    for q, p in phrases:
-        by_phrase.setdefault(p, []).append(q)
     automaton = ahocorasick.Automaton()
-    for p, q in by_phrase.items():
-        automaton.add_word(p, q)
+    for i, p in enumerate(phrases):
+        automaton.add_word(p, i)
     automaton.make_automaton()
     for batch in batches:
-        found = [(q, d) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if t for q in {q for _, qs in automaton.iter(t) for q in qs}]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array([q for q, _ in found], pa.int64()), "doc_id": pa.array([d for _, d in found], pa.int64())})
+        found = [(i, d) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if t for i in {i for _, i in automaton.iter(t)}]
+        yield pa.RecordBatch.from_pydict({"phrase": pa.array([phrases[i] for i, _ in found], pa.string()), "doc_id": pa.array([d for _, d in found], pa.int64())})
 
 
 def phrase_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where a document holds the query's phrase; a stated set of phrases in blocks, documents unshuffled."""
-    rows = [(r.query_id, r.phrase) for r in phrases.where("phrase <> ''").toLocalIterator()]
-    parts = [docs.select("doc_id", "content").mapInArrow(lambda b, p=rows[lo : lo + QUERY_BLOCK]: _phrase_hits(b, p), "query_id long, doc_id long") for lo in range(0, max(len(rows), 1), QUERY_BLOCK)]
-    return reduce(DataFrame.unionByName, parts)
+    """(query_id, phrase, doc_id) where a document holds a query's phrase; a stated set of phrases goes to every task, the
+    documents are read once and stay where they are."""
+    known = sorted({r.phrase for r in phrases.where("phrase <> ''").select("phrase").distinct().toLocalIterator()})
+    if not known:
+        return docs.sparkSession.createDataFrame([], "query_id long, phrase string, doc_id long")
+    hits = docs.select("doc_id", "content").mapInArrow(lambda b: _phrase_hits(b, known), "phrase string, doc_id long")
+    return hits.join(phrases.select("query_id", "phrase").distinct(), "phrase").select("query_id", "phrase", "doc_id")
 
 
 def promote(ranked: DataFrame, direct: DataFrame, *, k: int) -> DataFrame:
-    """Direct hits (query_id, doc_id, exact_rank) first, the rest in order, then the first k."""
-    both = ranked.withColumnRenamed("rank", "old_rank").join(direct, ["query_id", "doc_id"], "left")
+    """Direct hits (query_id, doc_id, exact_rank) first, ranked or not, then the rest in order; the first k."""
+    both = ranked.withColumnRenamed("rank", "old_rank").join(direct, ["query_id", "doc_id"], "full")
     return top_by(both, ["query_id"], [F.col("exact_rank").isNull(), F.col("exact_rank"), F.col("old_rank")], k).drop("exact_rank", "old_rank")
 
 
+# What counts as a quoted phrase, and the colloquial terms whose statutory words are looked for as they stand.
+QUOTED = "[\"“”']([^\"“”']{2,80})[\"“”']"
+EXACT_EXPANSIONS = {"拖欠工资": "未及时足额支付劳动报酬"}
+STATE = "中华人民共和国"
+
+
+def names_title(query: Column, title: Column) -> Column:
+    """Whether a query names a law, with or without the state's name before it."""
+    short = F.regexp_replace(title, f"^{STATE}", "")
+    return F.coalesce(F.contains(query, title) | (short != title) & F.contains(query, short), F.lit(False))
+
+
+def exact_terms(query: Column, pattern: str) -> Column:
+    """References, quoted phrases and statutory words of a query."""
+    references, quoted = (F.array_distinct(F.regexp_extract_all(query, F.lit(p), F.lit(i))) for p, i in ((pattern, 0), (QUOTED, 1)))
+    return F.concat(references, quoted, F.array_compact(F.array(*[F.when(F.contains(query, F.lit(k)), F.lit(v)) for k, v in EXACT_EXPANSIONS.items()])))
+
+
 def exact_rank(queries: DataFrame, chunks: DataFrame, *, k: int, pattern: str) -> DataFrame:
-    """References that a query names: 5 for each that is a chunk's label, 2 for one its content holds, 3 more if the
-    query names the chunk's title, with or without the state's name before it.  ``queries`` (query_id, query); ``chunks`` (doc_id, label, title, content).
-    """
-    wanted = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit(pattern), F.lit(0)))).alias("ref"))
-    held = chunks.select("doc_id", "label", "title", F.explode(F.array_distinct(F.concat(F.array("label"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))))).alias("ref"))
-    hits = wanted.join(held, "ref").groupBy("query_id", "doc_id", "query", "title").agg(F.sum(F.when(F.col("ref") == F.col("label"), 5).otherwise(2)).alias("points"))
-    short = F.regexp_replace("title", "^中华人民共和国", "")
-    named = F.contains("query", "title") | (short != F.col("title")) & F.contains("query", short)
-    score = (F.col("points") + F.when(named, 3).otherwise(0)).cast("double")
-    return top_by(hits.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
+    """(query_id, doc_id, score, rank): for each exact term of the query 5 if it is a chunk's label, else 2 if the chunk's
+    content holds it, and 3 more if the query names the chunk's title.  ``chunks`` (doc_id, label, title, content)."""
+    terms = queries.select("query_id", "query", F.explode(exact_terms(F.col("query"), pattern)).alias("phrase"))
+    held = phrase_matches(terms, chunks)
+    labelled = terms.join(chunks.select("doc_id", F.col("label").alias("phrase")), "phrase").select("query_id", "phrase", "doc_id")
+    # a term can stand among the references and the quoted phrases, and then counts twice
+    points = held.withColumn("p", F.lit(2)).unionByName(labelled.distinct().withColumn("p", F.lit(5))).groupBy("query_id", "doc_id", "phrase").agg(F.max("p").alias("p"))
+    times = terms.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+    scored = points.join(times, ["query_id", "phrase"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("p") * F.col("times")).alias("points"))
+    named = scored.join(queries.select("query_id", "query"), "query_id").join(chunks.select("doc_id", "title"), "doc_id")
+    score = (F.col("points") + F.when(names_title(F.col("query"), F.col("title")), 3).otherwise(0)).cast("double")
+    return top_by(named.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
+
+
+class Bm25Statistics:
+    """What a stated set of queries needs of a corpus: vocabulary, phrases and their inverse document frequencies."""
+
+    def __init__(self, wanted: list, k1: float, b: float):
+        self.k1, self.b = k1, b
+        self.phrases = sorted({tuple(r.p) for r in wanted})
+        at = {p: i for i, p in enumerate(self.phrases)}
+        self.words = sorted({w for p in self.phrases for w in p})
+        place = {w: i for i, w in enumerate(self.words)}
+        self.numbers = [np.array([place[w] for w in p]) for p in self.phrases]
+        self.single = np.full(len(self.words), -1)
+        self.longer = []
+        for i, n in enumerate(self.numbers):
+            if len(n) == 1:
+                self.single[n[0]] = i
+            else:
+                self.longer.append(i)
+        self.query_ids = sorted({r.query_id for r in wanted})
+        row = {q: j for j, q in enumerate(self.query_ids)}
+        uses: dict[int, dict[int, int]] = {}
+        for r in wanted:
+            mine = uses.setdefault(at[tuple(r.p)], {})
+            mine[row[r.query_id]] = mine.get(row[r.query_id], 0) + 1
+        self.queries = [np.array(list(uses[i])) for i in range(len(self.phrases))]
+        self.times = [np.array(list(uses[i].values()), float) for i in range(len(self.phrases))]
+
+    def frequencies(self, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases a document has, and how often."""
+        known, n = np.unique(words, return_counts=True)
+        mine = self.single[known]
+        found, counts = list(mine[mine >= 0]), list(n[mine >= 0])
+        have = set(known.tolist())
+        for i in self.longer:
+            if have.issuperset(self.numbers[i].tolist()):
+                starts = set(places[words == self.numbers[i][0]].tolist())
+                for j, w in enumerate(self.numbers[i][1:], 1):
+                    starts &= set((places[words == w] - j).tolist())
+                if starts:
+                    found.append(i)
+                    counts.append(len(starts))
+        return np.array(found, int), np.array(counts, float)
+
+
+def _kept_words(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, len, words, places): the parts that the vocabulary has, as numbers, with their places."""
+    import pyarrow.compute as pc
+
+    known = pa.array(words, pa.string())
+    for batch in batches:
+        parts = batch.column("parts")
+        n = np.asarray(pc.fill_null(pc.list_value_length(parts), 0), np.int64)
+        at = pc.index_in(parts.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+        row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        hit = at >= 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(n)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (at[hit], (np.arange(len(row)) - first[row])[hit])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *lists], ["doc_id", "len", "words", "places"])
 
 
-def _phrase_postings(parts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(term, doc_id, len, tf) of the phrases (term, p) in documents (doc_id, parts): starts at which all parts follow one another."""
-    wanted = phrases.select(F.col("term").alias("phrase"), F.size("p").alias("n"), F.posexplode("p").alias("i", "part"))
-    held = parts.select("doc_id", F.size("parts").alias("len"), F.posexplode("parts").alias("pos", "part")).join(wanted, "part")
-    starts = held.groupBy("phrase", "n", "doc_id", "len", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
-    return starts.groupBy(F.col("phrase").alias("term"), "doc_id", "len").agg(F.count("*").alias("tf"))
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for i, (w, p) in enumerate(zip(batch.column("words"), batch.column("places"), strict=True)):
+        yield i, np.array(w.values.to_numpy()), np.array(p.values.to_numpy())
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(stats.phrases), np.int64)
+    for batch in batches:
+        for _, words, places in _each(batch):
+            if len(words):
+                total[stats.frequencies(words, places)[0]] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"phrase": pa.array(at), "df": pa.array(total[at])})
+
+
+def _rank_bm25(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    best = _Best(k)
+    for batch in batches:
+        doc, size = batch.column("doc_id").to_numpy(), batch.column("len").to_numpy()
+        q, score, name, at = [], [], [], []
+        for i, words, places in _each(batch):
+            if not len(words):
+                continue
+            found, tf = stats.frequencies(words, places)
+            if not len(found):
+                continue
+            gain = idf[found] * tf * (stats.k1 + 1) / (tf + stats.k1 * (1 - stats.b + stats.b * size[i] / mean))
+            s = np.bincount(np.concatenate([stats.queries[f] for f in found]), np.concatenate([stats.times[f] * g for f, g in zip(found, gain)]), len(stats.query_ids))
+            hit = np.flatnonzero(s)
+            q.append(hit)
+            score.append(-np.round(s[hit], 10))
+            name.append(np.full(len(hit), str(doc[i]).encode().ljust(24, b"\0"), "S24"))
+            at.append(np.full(len(hit), doc[i]))
+        if q:
+            best.add(*map(np.concatenate, (q, score, name, at)))
+    if got := best.rows():
+        q, score, _, at = got
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(stats.query_ids)[q]), "doc_id": pa.array(at), "score": pa.array(-score)})
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """(doc_id, parts) of documents (doc_id, content): what a full-text index holds of them."""
+    return docs.select("doc_id", tx.index_parts(F.col("content")).alias("parts"))
 
 
 def bm25_rank(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 by postings.  Each distinct query term counts once, so ``a`` and ``a.`` both score.  A Latin term of several
-    index parts (``covid-19``) is a phrase: its parts side by side, with a document frequency of its own.
+    """(query_id, doc_id, score, rank) by BM25; ``docs`` are (doc_id, content) or what ``indexed`` made of them.
+
+    Each distinct query term counts once, so ``a`` and ``a.`` both score.  A Latin term of several index parts
+    (``covid-19``) is a phrase: its parts side by side, with a document frequency of its own.  Inverse document
+    frequencies are floored at 1e-6; scores are rounded to 10 places; ties by doc_id as text.
 
-    Inverse document frequencies are floored at 1e-6; scores are rounded to 10 places; ties by doc_id as text.
+    Texts are cut into parts once; of these only the stated queries' vocabulary is kept, as numbers, and both the
+    statistics and the scores come from that small table, one pass over it each.
     """
-    parts = docs.select("doc_id", tx.index_parts(F.col("content")).alias("parts"))
-    sizes = parts.agg(F.count("*").alias("n"), F.avg(F.size("parts")).alias("mean")).first()
-    postings = parts.select("doc_id", F.size("parts").alias("len"), F.explode("parts").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     wanted = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), cjk_sizes=(2, 3))).alias("raw"))
-    wanted = wanted.withColumn("p", F.array_remove(F.split("raw", r"[_.+-]+"), "")).where(F.size("p") > 0).select("query_id", "p", F.array_join("p", " ").alias("term"))
-    phrases = wanted.where(F.size("p") > 1).select("term", "p").distinct()
-    wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    used = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    if not phrases.isEmpty():
-        used = used.unionByName(_phrase_postings(parts, phrases))
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(float(sizes.n))
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(sizes.mean or 1.0)))
-    scored = used.join(df, "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * gain), 10).alias("score"))
-    return top_by(scored, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k)
+    wanted = wanted.select("query_id", F.array_remove(F.split("raw", r"[_.+-]+"), "").alias("p")).where(F.size("p") > 0)
+    stats = Bm25Statistics(list(wanted.toLocalIterator()), k1, b)
+    parts = docs if "parts" in docs.columns else indexed(docs)
+    small = cut(parts.mapInArrow(lambda x: _kept_words(x, stats.words), "doc_id long, len long, words array<int>, places array<int>"))
+    sizes = small.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    df = np.zeros(len(stats.phrases))
+    for r in small.mapInArrow(lambda x: _document_frequencies(x, stats), "phrase long, df long").groupBy("phrase").agg(F.sum("df").alias("df")).collect():
+        df[r.phrase] = r.df
+    idf = np.maximum(np.log((sizes.n - df + 0.5) / (df + 0.5)), 1e-6)
+    mean = sizes.mean or 1.0
+    found = small.mapInArrow(lambda x: _rank_bm25(x, stats, idf, mean, k), "query_id long, doc_id long, score double")
+    return top_by(found, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k)
+
+
+def build_index(docs: DataFrame, path: str, *, identity: str, most_documents: int = 60_000, most_chars: int = 20_000, most_total: int = 64 << 20) -> bool:
+    """Writes the index parts of documents (doc_id, content) under ``path`` with the corpus's identity and statistics;
+    False if an index of that identity is there already.  Another identity, repeated ids, blank or too long texts
+    and too large a corpus are errors, and nothing is written."""
+    spark = docs.sparkSession
+    if not identity.strip():
+        raise ValueError("an identity is required")
+    if _exists(spark, f"{path}/about"):
+        if spark.read.json(f"{path}/about").first().identity != identity:
+            raise ValueError("the index there has another identity")
+        return False
+    length = F.length("content")
+    about = docs.agg(F.count("*").alias("documents"), F.sum(length).alias("chars"), F.count_if(F.coalesce(F.trim("content") == "", F.lit(True)) | (length > most_chars)).alias("bad")).first()
+    if not about.documents or about.documents > most_documents or about.bad or about.chars > most_total:
+        raise ValueError("the corpus is empty, too large, or holds blank or too long texts")
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        raise ValueError("ids must be unique")
+    indexed(docs).write.parquet(f"{path}/parts")
+    spark.createDataFrame([(identity, about.documents, about.chars)], "identity string, documents long, chars long").coalesce(1).write.json(f"{path}/about")
+    return True
+
+
+def read_index(spark: SparkSession, path: str, *, identity: str) -> DataFrame:
+    if spark.read.json(f"{path}/about").first().identity != identity:
+        raise ValueError("the index there has another identity")
+    return spark.read.parquet(f"{path}/parts")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    java = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark._jsc.hadoopConfiguration()).exists(java)
+
+
+def guarded(df: DataFrame, *, limit: int) -> DataFrame:
+    """The rows, or an error if there are more than ``limit``."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows")
+    return df

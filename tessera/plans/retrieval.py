@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import composites
 from tessera.operators import evaluation as ev
 from tessera.operators import retrieval as rt
 from tessera.plans.base import query, table
@@ -97,9 +98,7 @@ def two_phase_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     q, d = _vector_queries(spark, sf), _vectors(spark, sf)
     half = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
     light = rt.vector_rank(half(q), half(d), k=3 * K)
-    score = F.round(rt.cosine(F.col("q.embedding").cast("array<double>"), F.col("d.embedding").cast("array<double>")), 6)
-    own = q.alias("q").join(d.alias("d"), F.col("query_label") == F.col("label")).select("query_id", "doc_id", score.alias("score")).where("score > 0")
-    own = rt.top_by(own, ["query_id"], [F.desc("score"), F.col("doc_id")], 3 * K)
+    own = rt.vector_rank(q.withColumnRenamed("query_label", "label"), d, k=3 * K, label="label")
     return rt.two_phase(q, d, [light, own], k=K)
 
 
@@ -129,28 +128,61 @@ def rrf_per_source_cap(spark: SparkSession, sf: str) -> DataFrame:
     return rt.cap_per_source(ranked.select("query_id", "doc_id", "source", "rank"), cap=2, k=K)
 
 
-ARTICLE = "第[0-9零〇一二三四五六七八九十百千万亿两]+条(?:之[0-9零〇一二三四五六七八九十百千万亿两]+)?"
-_CHUNKS = "(1, '第四十七条', '劳动合同法', '经济补偿按劳动者在本单位工作的年限'), (2, '第三十九条', '劳动合同法', '依照第四十七条规定'), (3, '第四十七条', '公司法', '董事会'), (4, '第八条', '民法典', '民事主体')"
-_ASKED = "(1, '劳动合同法第四十七条规定'), (2, '第八条是什么'), (3, '没有引用')"
+# A statute made of the tables: a document is a chunk of the law of its source, with a number of its own and a reference to another.
+NUM = "[0-9零〇一二三四五六七八九十百千万亿两]+"
+ARTICLE = f"第{NUM}条(?:之{NUM})?"
+CHUNKS = "(SELECT doc_id, '第' || (doc_id % 37 + 1) || '条' AS label, '中华人民共和国' || source || '法' AS title, text || ' 第' || (doc_id * 7 % 37 + 1) || '条' AS content FROM documents)"
+ASKED = """(SELECT item_id AS query_id, (SELECT min(source) FROM documents) || '法第' || (item_id % 37 + 1) || '条' || CASE WHEN item_id % 2 = 0 THEN '规定' ELSE '' END || ' 依照第' || (item_id % 5 + 1) || '条 “' || substr(text, 21, 30) || '”' AS query FROM benchmark)"""
+TERMS = f"""terms AS (SELECT query_id, query, unnest(list_distinct(regexp_extract_all(query, '{ARTICLE}')) || list_distinct(regexp_extract_all(query, '["“”'']([^"“”'']{{2,80}})["“”'']', 1))) AS term FROM asked)"""
+EXACT = f"""asked AS {ASKED}, chunks AS {CHUNKS}, {TERMS},
+scored AS (SELECT query_id, doc_id, any_value(query) AS query, any_value(title) AS title, any_value(label) AS label, sum(CASE WHEN term = label THEN 5 ELSE 2 END)::DOUBLE AS points FROM terms JOIN chunks ON term = label OR contains(content, term) GROUP BY query_id, doc_id),
+titled AS (SELECT *, contains(query, title) OR contains(query, regexp_replace(title, '^中华人民共和国', '')) AS named FROM scored),
+exact AS (SELECT query_id, doc_id, query, label, named, points + CASE WHEN named THEN 3 ELSE 0 END AS score, row_number() OVER (PARTITION BY query_id ORDER BY points + CASE WHEN named THEN 3 ELSE 0 END DESC, doc_id) AS rank FROM titled QUALIFY rank <= 15)"""
 
 
-def _exact(spark: SparkSession) -> DataFrame:
-    chunks = spark.sql(f"SELECT CAST(doc_id AS BIGINT) doc_id, label, title, content FROM VALUES {_CHUNKS} t(doc_id, label, title, content)")
-    asked = spark.sql(f"SELECT CAST(query_id AS BIGINT) query_id, query FROM VALUES {_ASKED} t(query_id, query)")
-    return rt.exact_rank(asked, chunks, k=3 * K, pattern=ARTICLE)
+def _statute(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents")
+    article = lambda n: F.concat(F.lit("第"), (n + 1).cast("string"), F.lit("条"))
+    chunks = docs.select("doc_id", article(F.col("doc_id") % 37).alias("label"), F.concat(F.lit("中华人民共和国"), "source", F.lit("法")).alias("title"), F.concat("text", F.lit(" "), article(F.col("doc_id") * 7 % 37)).alias("content"))
+    law, i = F.broadcast(docs.agg(F.min("source").alias("law"))), F.col("item_id")
+    query = F.concat("law", F.lit("法"), article(i % 37), F.when(i % 2 == 0, "规定").otherwise(""), F.lit(" 依照"), article(i % 5), F.lit(" “"), F.substring("text", 21, 30), F.lit("”"))
+    return table(spark, sf, "benchmark").join(law).select(i.alias("query_id"), query.alias("query")), chunks
 
 
-@query("SELECT * FROM (VALUES (1, 1, 8.0::DOUBLE, 1), (1, 2, 5.0::DOUBLE, 2), (1, 3, 5.0::DOUBLE, 3), (2, 4, 5.0::DOUBLE, 1)) t(query_id, doc_id, score, rank)")
+@query(f"WITH {EXACT} SELECT query_id, doc_id, score, rank FROM exact")
 def exact_reference_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return _exact(spark)
+    """Scores 5 for a label, 2 for content that holds a reference or a quoted phrase, 3 more for the law that is named."""
+    return rt.exact_rank(*_statute(spark, sf), k=3 * K, pattern=ARTICLE)
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 3, 2), (1, 4, 3), (2, 4, 1), (2, 1, 2)) t(query_id, doc_id, rank)")
+_WHOLE = "title || ' ' || label || ' ' || content"
+_TERM_LIST = "list_distinct(list_transform(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9_.+-]*'), lambda x: lower(x)))"
+_RUNS = "regexp_extract_all(query, '[\u3400-\u4DBF\u4E00-\u9FFF]+')"
+_GRAMS = f"flatten(list_transform({_RUNS}, lambda r: flatten(list_transform([2, 3, 4], lambda n: CASE WHEN length(r) >= n THEN list_transform(range(1, length(r) - n + 2), lambda i: substr(r, i, n)) ELSE [] END))))"
+_STOPS = "['一下', '什么', '应该', '怎么', '怎样', '情况', '怎么办', '这个']"
+RETRIEVED = f"""{EXACT},
+lt AS (SELECT query_id, unnest(list_distinct({_TERM_LIST} || {_GRAMS})) AS term FROM asked),
+ls AS (SELECT query_id, doc_id, sum(CASE WHEN length(term) >= 3 THEN 2 ELSE 1 END) AS score, any_value(length(whole)) AS len FROM (SELECT * FROM lt WHERE NOT list_contains({_STOPS}, term)) JOIN (SELECT doc_id, {_WHOLE} AS whole, lower({_WHOLE}) AS low FROM chunks) ON contains(low, term) GROUP BY query_id, doc_id),
+lexical AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len, doc_id) AS rank FROM ls QUALIFY rank <= 15),
+u AS (SELECT query_id, doc_id, rank, 0 AS which FROM exact UNION ALL SELECT query_id, doc_id, rank, 1 FROM lexical),
+f AS (SELECT query_id, doc_id, coalesce(max(CASE WHEN which = 0 THEN 1.0::DOUBLE / (60 + rank) END), 0) + coalesce(max(CASE WHEN which = 1 THEN 1.0::DOUBLE / (60 + rank) END), 0) AS score, min(rank) AS best, min(which * 1000 + rank) AS seen FROM u GROUP BY query_id, doc_id),
+fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, seen, doc_id) AS rank FROM f QUALIFY rank <= 5),
+direct AS (SELECT query_id, doc_id, rank AS exact_rank FROM exact WHERE named AND regexp_matches(query, '{ARTICLE}.{{0,8}}(?:规定|内容|全文|是什么|怎么说)') AND list_contains(regexp_extract_all(query, '{ARTICLE}'), label)),
+both_ AS (SELECT coalesce(f.query_id, d.query_id) AS query_id, coalesce(f.doc_id, d.doc_id) AS doc_id, exact_rank, f.rank AS old FROM fused f FULL JOIN direct d ON f.query_id = d.query_id AND f.doc_id = d.doc_id)"""
+
+
+@query(f"WITH {RETRIEVED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY exact_rank IS NULL, exact_rank, old) AS rank FROM both_ QUALIFY rank <= 5")
+def statute_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact and lexical rankings fused; where a query asks what an article says, that article of the law it names goes first."""
+    return composites.statute_retrieval(*_statute(spark, sf), k=K)
+
+
+@query(f"""WITH {EXACT} SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY (score < 8), CASE WHEN score >= 8 THEN rank END, doc_id DESC) AS rank FROM exact) WHERE rank <= 3""")
 def promote_direct(spark: SparkSession, sf: str) -> DataFrame:
-    """A lexical order (4, 1, 2, 3) for query 1 and (1, 4) for query 2; chunks whose label the query names go first."""
-    order = spark.sql("SELECT CAST(q AS BIGINT) query_id, CAST(d AS BIGINT) doc_id, r AS rank FROM VALUES (1, 4, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 1), (2, 4, 2) t(q, d, r)")
-    direct = _exact(spark).where("doc_id <> 2").select("query_id", "doc_id", F.col("rank").alias("exact_rank"))
-    return rt.promote(order, direct, k=3).select("query_id", "doc_id", "rank")
+    """An order by falling ids, in which hits of 8 points or more go first."""
+    exact = rt.exact_rank(*_statute(spark, sf), k=3 * K, pattern=ARTICLE)
+    order = rt.top_by(exact.select("query_id", "doc_id"), ["query_id"], [F.desc("doc_id")], 3 * K)
+    return rt.promote(order, exact.where("score >= 8").select("query_id", "doc_id", F.col("rank").alias("exact_rank")), k=3).select("query_id", "doc_id", "rank")
 
 
 PARTS = f"list_filter(flatten(list_transform(regexp_extract_all(text, '{LATIN}'), lambda t: regexp_split_to_array(lower(t), '[_.+-]+'))), lambda x: x <> '')"
@@ -175,7 +207,7 @@ QREL = "qrel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN docume
 def _qrels(spark: SparkSession, sf: str) -> DataFrame:
     """A document is relevant to an item if it holds the item's 60 characters from the 21st on."""
     phrases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 21, 60).alias("phrase"))
-    return rt.phrase_matches(phrases, _docs(spark, sf))
+    return rt.phrase_matches(phrases, _docs(spark, sf)).select("query_id", "doc_id")
 
 
 @query("WITH " + QREL + "," + _lexical_cte("r", "text", 10) + """,

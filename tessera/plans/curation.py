@@ -13,23 +13,30 @@ from tessera.plans.base import query, table
 HASH = r"sha256(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g')))"
 
 
+# Every tenth document once more in full-width letters, which identify the same text.
+NARROW, WIDE = "abcdefghijklmnopqrstuvwxyz0123456789", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
+DOCUMENTS = "(SELECT doc_id, source, text FROM documents UNION ALL SELECT doc_id + 10000000, 'wide', text FROM documents WHERE doc_id % 10 = 0)"
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumn("content_hash", tx.identity_hash(F.col("text")))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    wide = docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.lit("wide").alias("source"), F.translate("text", NARROW, WIDE).alias("text"))
+    return docs.unionByName(wide).withColumn("content_hash", tx.identity_hash(F.col("text")))
 
 
-@query(f"SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY {HASH}) < doc_id THEN 'content' END AS duplicate_by FROM documents")
+@query(f"SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY {HASH}) < doc_id THEN 'content' END AS duplicate_by FROM {DOCUMENTS}")
 def dedup_first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
     return curation.first_occurrence(_records(spark, sf).select("doc_id", "content_hash"), {"content": F.col("content_hash")}, F.col("doc_id")).select("doc_id", "duplicate_by")
 
 
-@query(f"""WITH d AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY {HASH}) AS first FROM documents)
+@query(f"""WITH d AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY {HASH}) AS first FROM {DOCUMENTS})
 SELECT source, count(*) AS scanned, count(*) FILTER (first = doc_id) AS unique_records, count(*) FILTER (first < doc_id) AS duplicates FROM d GROUP BY source""")
 def dedup_accounting(spark: SparkSession, sf: str) -> DataFrame:
     marked = curation.first_occurrence(_records(spark, sf).select("doc_id", "source", "content_hash"), {"content": F.col("content_hash")}, F.col("doc_id"))
     return marked.groupBy("source").agg(F.count("*").alias("scanned"), F.count_if(F.col("duplicate_by").isNull()).alias("unique_records"), F.count("duplicate_by").alias("duplicates"))
 
 
-@query(f"""SELECT * FROM (SELECT {HASH} AS content_hash, count(*) AS members, count(DISTINCT source) AS sources, min(doc_id) AS first_member FROM documents GROUP BY {HASH})
+@query(f"""SELECT * FROM (SELECT {HASH} AS content_hash, count(*) AS members, count(DISTINCT source) AS sources, min(doc_id) AS first_member FROM {DOCUMENTS} GROUP BY {HASH})
 WHERE sources >= 2 ORDER BY content_hash LIMIT 50""")
 def cross_source_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The first 50 groups, a report as the plan that it feeds asks for."""
@@ -63,8 +70,10 @@ def stratified_round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + _SAMPLE + " SELECT CASE WHEN ordinal <= 160 THEN 'discovery' ELSE 'evaluation' END AS stage, count(*) AS cases FROM o GROUP BY 1")
 def split_counts(spark: SparkSession, sf: str) -> DataFrame:
-    first, second = curation.split_counts(SAMPLE, 160, 40, SAMPLE)
-    return _sample(spark, sf).where(F.col("ordinal") <= first + second).groupBy(F.when(F.col("ordinal") <= first, "discovery").otherwise("evaluation").alias("stage")).agg(F.count("*").alias("cases"))
+    sample = _sample(spark, sf)
+    first, second = curation.split_sizes(F.col("available"), discovery=160, evaluation=40, most=SAMPLE)
+    sizes = sample.agg(F.count("*").alias("available")).select(first.alias("first"), second.alias("second"))
+    return sample.join(F.broadcast(sizes)).where(F.col("ordinal") <= F.col("first") + F.col("second")).groupBy(F.when(F.col("ordinal") <= F.col("first"), "discovery").otherwise("evaluation").alias("stage")).agg(F.count("*").alias("cases"))
 
 
 @query("""SELECT CASE WHEN l_quantity <= 0 THEN 'none' WHEN l_quantity <= 12 THEN 'up_to_1y' WHEN l_quantity <= 36 THEN '1y_to_3y' ELSE 'over_3y' END AS bucket, count(*) AS cases FROM lineitem GROUP BY 1""")
@@ -128,9 +137,9 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def chunk_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks are the lines of a text, all of one section."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "content"))
-    blocks = lines.where("trim(content) <> ''").select("doc_id", "ord", F.concat_ws(":", "doc_id", "ord").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("text").alias("block_type"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), "content")
-    return chunking.chunk_hierarchical(blocks.withColumn("heading", F.lit("")))
+    block = lambda line, i: F.struct(F.concat_ws(":", "doc_id", i).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("heading"), F.lit("text").alias("block_type"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), line.alias("content"))
+    blocks = F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.trim(b["content"]) != "")
+    return chunking.chunk_hierarchical(table(spark, sf, "documents").select("doc_id", blocks.alias("blocks")))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as tx
 from tessera.operators import rules
 from tessera.plans.base import query, table
-from tessera.streaming.delta_filter import fold_deltas
 
 
-@query("""WITH i AS (SELECT c_custkey, (c_custkey % 20)::INT AS years, (c_custkey % 12)::INT AS months, c_acctbal::DECIMAL(18,2) AS wage, CASE WHEN c_nationkey < 5 THEN NULL ELSE 1500.00 END::DECIMAL(18,2) AS average FROM customer WHERE c_acctbal > 0),
-c AS (SELECT *, wage > average * 3 AS capped, years + CASE WHEN months BETWEEN 1 AND 5 THEN 0.5 WHEN months >= 6 THEN 1 ELSE 0 END AS m FROM i),
+@query("""WITH i AS (SELECT c_custkey, (c_custkey % 20)::INT AS years, (c_custkey % 12)::INT AS months, c_acctbal::DECIMAL(18,2) AS wage, CASE WHEN c_nationkey < 5 THEN NULL ELSE 1500.00 END::DECIMAL(18,2) AS average FROM customer),
+c AS (SELECT *, wage > average * 3 AS capped, years + CASE WHEN months BETWEEN 1 AND 5 THEN 0.5 WHEN months >= 6 THEN 1 ELSE 0 END AS m, wage > 0 AND years + months > 0 AS ok FROM i),
 b AS (SELECT *, CASE WHEN coalesce(capped, false) THEN least(m, 12) ELSE m END AS mm, CASE WHEN coalesce(capped, false) THEN average * 3 ELSE wage END AS basis FROM c)
-SELECT c_custkey, mm::DECIMAL(8,2) AS compensation_months, basis::DECIMAL(18,2) AS wage_basis, capped AS cap_applied, round(basis * mm, 2)::DECIMAL(20,2) AS n1, (2 * round(basis * mm, 2))::DECIMAL(20,2) AS n2 FROM b""")
+SELECT c_custkey, CASE WHEN ok THEN mm::DECIMAL(8,2) END AS compensation_months, CASE WHEN ok THEN basis::DECIMAL(18,2) END AS wage_basis, CASE WHEN ok THEN capped END AS cap_applied,
+CASE WHEN ok THEN round(basis * mm, 2)::DECIMAL(20,2) END AS n1, CASE WHEN ok THEN round(2 * basis * mm, 2)::DECIMAL(20,2) END AS n2 FROM b""")
 def compensation_calc(spark: SparkSession, sf: str) -> DataFrame:
-    people = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", (F.col("c_custkey") % 20).cast("int").alias("years"), (F.col("c_custkey") % 12).cast("int").alias("months"), F.col("c_acctbal").alias("wage"), F.when(F.col("c_nationkey") >= 5, F.lit(1500.0)).alias("average"))
+    people = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 20).cast("int").alias("years"), (F.col("c_custkey") % 12).cast("int").alias("months"), F.col("c_acctbal").alias("wage"), F.when(F.col("c_nationkey") >= 5, F.lit(1500.0)).alias("average"))
     return rules.compensation(people, years="years", months="months", wage="wage", average="average").select("c_custkey", "compensation_months", "wage_basis", "cap_applied", "n1", "n2")
 
 
@@ -34,32 +33,3 @@ def factor_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The last value of each factor, and the event that first named it (which gives their order)."""
     order = F.struct("ts", "event_id")
     return table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("factor")).agg(F.max_by("value", order).alias("value"), F.min_by("event_id", order).alias("first_event"))
-
-
-_ANSWERS = "(1, '见[La-1:C2]与【Cb:S3】，再见[La-1:C2]。'), (2, '[Lx:C9] 未知 [Link](u) [M1:C1]'), (3, '')"
-_KNOWN = "array('La-1:C2', 'Cb:S3')"
-
-
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT id, text, {_KNOWN} AS known FROM VALUES {_ANSWERS} t(id, text)")
-
-
-@query("SELECT * FROM (VALUES (1, 'La-1:C2,Cb:S3'), (2, ''), (3, '')) t(id, cited)")
-def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark).select("id", F.array_join(F.array_intersect(tx.citations(F.col("text")), F.col("known")), ",").alias("cited"))
-
-
-@query("SELECT * FROM (VALUES (1, '见[La-1:C2]与[Cb:S3]，再见[La-1:C2]。'), (2, ' 未知 [Link](u) [M1:C1]'), (3, '')) t(id, clean)")
-def citation_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark).select("id", tx.strip_citations(F.col("text"), F.col("known")).alias("clean"))
-
-
-@query("SELECT * FROM (VALUES (1, '(2020)京0101刑初1号'), (2, NULL), (3, '(2019)沪02民终77号')) t(id, case_number)")
-def case_number_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1, '案号 （２０２０） 京0101刑初第001号 判决'), (2, '没有'), (3, '(2019)沪02民终0077号') t(id, text)").select("id", tx.case_number(F.col("text")).alias("case_number"))
-
-
-@query("SELECT * FROM (VALUES ('a', '依据[L1:C2]与[Link](x)'), ('b', '尾[L')) t(run_id, text)")
-def delta_filter(spark: SparkSession, sf: str) -> DataFrame:
-    deltas = spark.sql("SELECT run_id, CAST(seq AS BIGINT) seq, delta FROM VALUES ('a', 1, '依据[L1'), ('a', 2, ':C2]与【C9'), ('a', 3, ':S1】[Li'), ('a', 4, 'nk](x)'), ('b', 1, '尾[L') t(run_id, seq, delta)")
-    return fold_deltas(deltas, known={"L1:C2"})

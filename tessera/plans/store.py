@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import composites, store
+from tessera.operators import store
 from tessera.plans.base import query, table
 
 
@@ -78,55 +78,27 @@ def review_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return store.coverage_check(table(spark, sf, "documents"), table(spark, sf, "labels"), key="doc_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 'done', 2, 1), ('b', 'queued', 0, 1)) t(run_id, status, applied, refused)")
-def run_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.sql("SELECT * FROM VALUES ('a', 1, 'running'), ('a', 2, 'done'), ('a', 3, 'running'), ('b', 1, 'done') t(run_id, seq, status)")
-    return store.transitions(e, allowed={"running": ["queued"], "done": ["running"], "failed": ["queued", "running"]}, start="queued")
-
-
-@query("""SELECT * FROM (VALUES ('s', 1, 'ok'), ('s', 2, 'repeat'), ('s', 3, 'over_limit'), ('s', 4, 'ok'), ('s', 5, 'conflict'), ('s', 6, 'ok'), ('s', 7, 'not_reserved'), ('s', 8, 'conflict'),
-('s', 9, 'ok'), ('s', 10, 'ok'), ('u', 1, 'ok')) t(scope, seq, outcome)""")
+LEDGER_LIMIT = 600
+_STATE = "list_transform([1, 2, 3], lambda i: CASE WHEN i = k AND ({now}) THEN {value} ELSE {name}[i] END)"
+_OUTCOME = f"""CASE WHEN op = 'reserve' THEN CASE WHEN st[k] = 'none' OR es[k] = tokens THEN CASE WHEN st[k] IN ('reserved', 'settled') THEN 'unchanged' WHEN tokens <= {LEDGER_LIMIT} - used THEN 'reserved' ELSE 'over_limit' END ELSE 'conflict' END
+ WHEN st[k] = 'none' THEN 'unknown'
+ WHEN op = 'settle' THEN CASE WHEN st[k] = 'settled' THEN CASE WHEN us[k] = spent THEN 'unchanged' ELSE 'conflict' END WHEN st[k] = 'released' THEN 'released' WHEN spent > {LEDGER_LIMIT} - used + es[k] THEN 'over_limit' ELSE 'settled' END
+ ELSE CASE st[k] WHEN 'settled' THEN 'conflict' WHEN 'reserved' THEN 'released' ELSE 'unchanged' END END"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS scope, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE event_type WHEN 'click' THEN 'settle' WHEN 'purchase' THEN 'release' ELSE 'reserve' END AS op,
+  (event_id % 3 + 1)::INT AS k, (event_id % 4 * 50 + 50)::BIGINT AS tokens, (event_id % 5 * 60)::BIGINT AS spent FROM events),
+s(scope, n, seq, outcome, st, es, us) AS (
+  SELECT DISTINCT scope, 0::BIGINT, 0::BIGINT, '', ['none', 'none', 'none'], [0, 0, 0]::BIGINT[], [0, 0, 0]::BIGINT[] FROM e
+  UNION ALL
+  SELECT scope, n, seq, outcome, {_STATE.format(now="outcome IN ('reserved', 'settled') OR (op = 'release' AND outcome = 'released')", value="outcome", name="st")},
+         {_STATE.format(now="outcome = 'reserved'", value="tokens", name="es")}, {_STATE.format(now="outcome = 'settled'", value="spent", name="us")}
+  FROM (SELECT *, {_OUTCOME} AS outcome FROM (SELECT s.scope, e.n, e.seq, e.op, e.k, e.tokens, e.spent, s.st, s.es, s.us,
+        list_sum(list_transform([1, 2, 3], lambda i: CASE s.st[i] WHEN 'settled' THEN s.us[i] WHEN 'reserved' THEN s.es[i] ELSE 0 END)) AS used FROM s JOIN e ON e.scope = s.scope AND e.n = s.n + 1)))
+SELECT scope, seq, outcome FROM s WHERE n > 0""")
 def token_ledger_fold(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.sql("""SELECT scope, CAST(seq AS BIGINT) seq, op, key, CAST(tokens AS BIGINT) tokens FROM VALUES ('s', 1, 'reserve', 'a', 60), ('s', 2, 'reserve', 'a', 60), ('s', 3, 'reserve', 'b', 50), ('s', 4, 'settle', 'a', 70),
-    ('s', 5, 'release', 'a', 0), ('s', 6, 'reserve', 'c', 30), ('s', 7, 'settle', 'd', 5), ('s', 8, 'settle', 'a', 71), ('s', 9, 'release', 'c', 0), ('s', 10, 'reserve', 'c', 20), ('u', 1, 'reserve', 'a', 100) t(scope, seq, op, key, tokens)""")
-    return store.ledger(e, limit=100)
-
-
-@query("SELECT * FROM (VALUES (1, 'b', 1), (1, 'd', 2), (2, 'a', 1)) t(case_id, key, rank)")
-def sufficiency_gate(spark: SparkSession, sf: str) -> DataFrame:
-    c = spark.sql("SELECT * FROM VALUES (1, 'a', 1), (1, 'b', 2), (1, 'c', 3), (1, 'd', 4), (1, 'e', 5), (2, 'a', 1) t(case_id, key, ord)")
-    f = spark.sql("SELECT * FROM VALUES (1, 'a', 'known'), (1, 'b', 'unknown') t(case_id, key, state)")
-    r = spark.sql("SELECT * FROM VALUES (1, 'a', true), (1, 'b', true), (1, 'c', false), (1, 'd', true), (1, 'e', true), (2, 'a', true) t(case_id, key, admitted)")
-    return store.sufficiency(c, f, r)
-
-
-_STATUTE = "第一编 总则\\n第一章 目的\\n第一条 为了保护\\n　　权益。\\n第二章 范围\\n第二条　适用本法。\\n第二编 附则\\n第三条之一 施行。"
-
-
-@query("""SELECT * FROM (VALUES (1, 1, '第一条', '第一编 总则', '第一章 目的', '第一条 为了保护' || chr(10) || '权益。'), (1, 2, '第二条', '第一编 总则', '第二章 范围', '第二条　适用本法。'),
-(1, 3, '第三条之一', '第二编 附则', NULL, '第三条之一 施行。')) t(doc_id, section, label, part, chapter, content)""")
-def statute_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return composites.statute_sections(spark.sql(f"SELECT 1 AS doc_id, '{_STATUTE}' AS content"))
-
-
-@query("SELECT * FROM (VALUES (1, 0, '正文', '开头'), (1, 1, '基本案情', '甲' || chr(10) || '乙'), (1, 2, '裁判理由', '丙')) t(doc_id, section, label, content)")
-def decision_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return composites.label_sections(spark.sql("SELECT 1 AS doc_id, '开头\\n基本案情\\n甲\\n乙\\n裁判理由\\n丙' AS content"), ["基本案情", "裁判理由"], "正文")
-
-
-_LAWS = "(1, '第四十七条', '劳动合同法', '经济补偿按年限支付'), (2, '第三十条', '劳动合同法', '用人单位应当及时足额支付劳动报酬'), (3, '第四十七条', '公司法', '董事会'), (4, '第八条', '民法典', '公平')"
-
-
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 3, 2), (2, 2, 1), (2, 1, 2)) t(query_id, doc_id, rank)")
-def statute_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    """A named article comes first; a colloquial question finds the statute's words."""
-    chunks = spark.sql(f"SELECT CAST(d AS BIGINT) doc_id, label, title, content FROM VALUES {_LAWS} t(d, label, title, content)")
-    asked = spark.sql("SELECT CAST(q AS BIGINT) query_id, query FROM VALUES (1, '劳动合同法第四十七条'), (2, '拖欠工资怎么办') t(q, query)")
-    return composites.statute_retrieval(asked, chunks, k=2)
-
-
-@query("SELECT * FROM (VALUES (1, 11, 's', 1), (1, 12, 's', 2), (1, 14, 't', 3)) t(query_id, doc_id, source, rank)")
-def decision_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = spark.sql("SELECT CAST(d AS BIGINT) doc_id, source, content FROM VALUES (11, 's', '工伤认定'), (12, 's', '工伤认定x'), (13, 's', '工伤认定xy'), (14, 't', '工伤认定xyz'), (15, 't', '工伤') t(d, source, content)")
-    asked = spark.sql("SELECT CAST(1 AS BIGINT) query_id, '工伤认定' AS query")
-    return composites.decision_retrieval(asked, chunks, k=5)
+    """Every user's events as requests for three keys."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    op = F.when(kind == "click", "settle").when(kind == "purchase", "release").otherwise("reserve")
+    requests = table(spark, sf, "events").select(F.col("user_id").alias("scope"), i.alias("seq"), op.alias("op"), (i % 3).cast("string").alias("key"), (i % 4 * 50 + 50).alias("tokens"), (i % 5 * 40).alias("input_tokens"), (i % 5 * 20).alias("output_tokens"))
+    return store.ledger(requests, limit=LEDGER_LIMIT)

@@ -258,3 +258,58 @@ def test_journal_stream(spark, tmp_path):
     journal_sink.run_journal(stream, str(tmp_path / "out"), str(tmp_path / "ck"), publish=publish).awaitTermination()
     [row] = spark.read.parquet(str(tmp_path / "out")).collect()
     assert row.payload == {"runtime_event": "tool.started", "tool_name": "search_guiding_cases", "description": "检索“q”相关的相关案例"}
+
+
+def plain_split(text, target, most):
+    """Sentence by sentence, estimating anew each time."""
+    import re
+
+    from tessera.functions.text import SENTENCE_END
+
+    if plain_estimate(text) <= most:
+        return [text.strip()] if text.strip() else []
+    out = [""]
+    for s in filter(None, (s.strip() for s in re.split(SENTENCE_END, text))):
+        if plain_estimate(s) > most:
+            while s:
+                n = max([1, *(i for i in range(1, len(s) + 1) if plain_estimate(s[:i]) <= most)])
+                out.append(s[:n].strip())
+                s = s[n:].lstrip()
+            out.append("")
+        elif out[-1] and plain_estimate(out[-1] + s) > target:
+            out.append(s)
+        else:
+            out[-1] += s
+    return [x for x in out if x]
+
+
+def test_chunks_against_a_plain_split(spark):
+    import random
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["word ", "中文字", "x. ", "! ", "\n", "12-3 ", "a_b；", "long" * 9]) for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id int, content string")
+    got = {}
+    for r in chunking.chunk_recursive(docs, target=15, most=22).orderBy("doc_id", "chunk_index").collect():
+        assert r.estimated_tokens == plain_estimate(r.content)
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert got == {i: plain_split(t, 15, 22) for i, t in enumerate(texts) if t.strip()}
+
+
+def test_merged_blocks_against_a_plain_merge():
+    import random
+
+    rnd = random.Random(9)
+    policy = chunking.Policy(target=12, most=18)
+    for _ in range(80):
+        blocks = [{"id": str(i), "parent_id": rnd.choice([None, None, "0", "1"]), "heading": rnd.choice("aab"), "block_type": rnd.choice(["text"] * 5 + ["table"]), "page_start": rnd.choice([None, 1, 2]), "page_end": rnd.choice([None, 1, 2]), "content": "word " * rnd.randint(1, 6) + "x"} for i in range(rnd.randint(1, 12))]
+        groups = []
+        for b in blocks:
+            last = groups[-1][-1] if groups else None
+            fits = last is not None and last["heading"] == b["heading"] and (None in (last["page_end"], b["page_start"]) or last["page_end"] == b["page_start"]) and "table" not in (last["block_type"], b["block_type"])
+            fits = fits and (last["parent_id"] == b["parent_id"] or b["parent_id"] == last["id"] or last["parent_id"] == b["id"])
+            if fits and plain_estimate("\n\n".join(x["content"] for x in [*groups[-1], b])) <= policy.target:
+                groups[-1].append(b)
+            else:
+                groups.append([b])
+        assert chunking.merge_blocks(blocks, policy) == groups

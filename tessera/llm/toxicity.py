@@ -150,8 +150,23 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(bad), pa.array(n.astype(np.int64))], ["hash", "bad", "n"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch], width: int = 5) -> Iterator[pa.RecordBatch]:
+    """(sketch, y, text): the smallest hash of a text's windows, which near-copies mostly share."""
+    for batch in batches:
+        sketch = np.zeros(batch.num_rows, _U)
+        for c in chunks(batch.column("text"), word_bytes=_WORD, table=_PLAIN):
+            sizes = np.diff(c.first)
+            hashes, whole = c.windows(width)
+            hashes = np.where(whole | (np.repeat(sizes, sizes) < width), hashes, ~_U(0))
+            if len(hashes):
+                sketch[c.lo + np.flatnonzero(sizes)] = np.minimum.reduceat(hashes, c.first[:-1][sizes > 0])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(sketch)), batch.column("y"), batch.column("text")], ["sketch", "y", "text"])
+
+
 def learn_lexicon(sample: DataFrame, *, least_rows: int = 4, least_log_odds: float = 2.0, most: int = 4096) -> Lexicon:
-    """From rows (text, y): what toxic rows hold far more often than others, the ``most`` strongest of it."""
+    """From rows (text, y): what toxic rows hold far more often than others, the ``most`` strongest of it.  Near-copies of one
+    label count once, so that the words of one much-copied text don't pass for toxic ones."""
+    sample = sample.select("text", "y").mapInArrow(_sketched, "sketch long, y int, text string").groupBy("sketch", "y").agg(F.min("text").alias("text"))
     sizes = sample.agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).first()
     counts = sample.select("text", "y").mapInArrow(_seen, "hash long, bad long, n long").groupBy("hash").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(sizes.bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(sizes.good + 1.0))

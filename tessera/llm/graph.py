@@ -12,8 +12,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the smallest node reachable.
 
     Each round hangs every node under the smallest neighbour it has, so that the depth of a tree shrinks
-    geometrically.  Minima are aggregated before they are shuffled, and each round's links are a written table,
-    so neither a node with very many links nor a long lineage gathers in one place.  Self links and nulls are
+    geometrically.  Minima are aggregated before they are shuffled, and each round's links are a written table.  The join
+    of a node with very many links to its minimum is one key, which adaptive execution splits.  Self links and nulls are
     ignored.
     """
     links = links.where("a is not null and b is not null and a <> b")

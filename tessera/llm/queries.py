@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production parameters."""
+"""The operators as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, license_scan, mixing
+from tessera.llm import fill_middle, language_id, license_scan, mixing
 from tessera.llm import quality_rules as rules
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.embedding_dedup import oracle as embedding_dedup_oracle
@@ -74,6 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def fill_in_middle_digests(docs: DataFrame) -> DataFrame:
+    """``fill_in_middle`` with the digests of its outputs and of the texts rebuilt from them."""
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    made = fill_middle.fill_in_middle(docs)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -85,10 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.oracle(),
     "op3_quality_rules": rules.oracle(),
     "op5_embedding_dedup": embedding_dedup_oracle(),
     "op8_license_scan": license_scan.oracle(),
+    "op13_fill_in_middle": fill_middle.oracle(),
 }

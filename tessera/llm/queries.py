@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fill_middle, language_id, license_scan, mixing
+from tessera.llm import fill_middle, language_id, license_scan, mixing, personal_data
 from tessera.llm import quality_rules as rules
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.embedding_dedup import oracle as embedding_dedup_oracle
@@ -17,6 +17,8 @@ from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.tables import table
 from tessera.llm.toxicity import score_toxicity, train
+from tessera.llm.vector_codes import oracle as vector_codes_oracle
+from tessera.llm.vector_codes import vector_codes
 
 
 def _fold(col: str, folds: int) -> Column:
@@ -74,6 +76,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def personal_data_digests(docs: DataFrame, model: dict) -> DataFrame:
+    """Counts and a digest of the base spans, and all spans as one string."""
+    found = personal_data.find_personal_data(docs, model)
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = map(of_kind, personal_data.KINDS)
+    listed = personal_data.span_list
+    return found.select("doc_id", *counts, F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), listed(F.col("base"), F.col("added")).alias("spans"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data_digests(docs, personal_data.train(docs))
+
+
 def fill_in_middle_digests(docs: DataFrame) -> DataFrame:
     """``fill_in_middle`` with the digests of its outputs and of the texts rebuilt from them."""
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
@@ -97,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
@@ -104,5 +126,6 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": rules.oracle(),
     "op5_embedding_dedup": embedding_dedup_oracle(),
     "op8_license_scan": license_scan.oracle(),
+    "op11_vector_codes": vector_codes_oracle(),
     "op13_fill_in_middle": fill_middle.oracle(),
 }

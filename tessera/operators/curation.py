@@ -7,19 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_occurrence(df: DataFrame, keys: dict[str, Column], order: Column) -> DataFrame:
     """Adds ``duplicate_by``: the first of ``keys`` (in their order of priority) that an earlier row shares, else null.
 
-    A key's earliest row is an aggregate that is joined back, so a key of very many rows never meets in one task.
+    A key may be an array, of which any item that an earlier row has counts; ``order`` must be unique then.  A key's earliest
+    row is an aggregate that combines before its shuffle; the join back of a key of very many rows is split by adaptive
+    execution.
     """
     out = df.withColumn("_ord", order)
     tests = []
     for name, key in keys.items():
         out = out.withColumn(f"_{name}", key)
-        least = out.where(F.col(f"_{name}").isNotNull()).groupBy(f"_{name}").agg(F.min("_ord").alias(f"_first_{name}"))
-        out = out.join(least, f"_{name}", "left")
+        if isinstance(out.schema[f"_{name}"].dataType, T.ArrayType):
+            each = out.select("_ord", F.explode(F.array_distinct(f"_{name}")).alias("_item")).where("_item is not null")
+            least = each.groupBy("_item").agg(F.min("_ord").alias("_least"))
+            mine = each.join(least, "_item").groupBy("_ord").agg(F.min("_least").alias(f"_first_{name}"))
+            out = out.join(mine, "_ord", "left")
+        else:
+            least = out.where(F.col(f"_{name}").isNotNull()).groupBy(f"_{name}").agg(F.min("_ord").alias(f"_first_{name}"))
+            out = out.join(least, f"_{name}", "left")
         tests.append(F.when(F.col(f"_first_{name}") < F.col("_ord"), F.lit(name)))
     return out.withColumn("duplicate_by", F.coalesce(*tests)).drop("_ord", *[f"_{n}" for n in keys], *[f"_first_{n}" for n in keys])
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,27 @@ from tessera.functions import text as tx
 from tessera.session import cut
 
 QUERY_BLOCK = 1000
+STATED_BYTES = 64 << 20
+
+
+def stated(queries: DataFrame, most_bytes: int = STATED_BYTES) -> list[Row]:
+    """The rows of a stated set of queries, which go to every task once; a set of more than ``most_bytes`` is an error."""
+    rows, held = [], 0
+    for r in queries.toLocalIterator():
+        held += sum(len(x) * (1 if isinstance(x, str) else 8) if hasattr(x, "__len__") else 8 for x in r)
+        if held > most_bytes:
+            raise ValueError(f"a stated set of queries has at most {most_bytes} bytes; search in several sets")
+        rows.append(r)
+    return rows
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark does."""
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy()
 
 
 def top_by(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -81,7 +102,7 @@ def _rank_texts(batches: Iterator[pa.RecordBatch], rows: list, ids: pa.Array, k:
     blocks = [_Terms(rows[lo : lo + QUERY_BLOCK], lo) for lo in range(0, len(rows), QUERY_BLOCK)]
     best = _Best(k)
     for batch in batches:
-        doc = batch.column("doc_id").to_numpy()
+        doc = _ids(batch.column("doc_id"))
         for block in blocks:
             if block.empty:
                 continue
@@ -108,10 +129,9 @@ def lexical_rank(queries: DataFrame, docs: DataFrame, *, k: int, stop_terms: Seq
     content) in blocks of queries; documents are read once and never shuffled.  Ties: shorter content, then smaller doc_id.
     """
     terms = queries.select("query_id", tx.query_terms(F.col("query"), stop_terms=stop_terms, cjk_sizes=cjk_sizes).alias("terms"))
-    rows = sorted(terms.toLocalIterator(), key=lambda r: r.query_id)
-    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = sorted(stated(terms), key=lambda r: r.query_id)
     ids = pa.array([r.query_id for r in rows])
-    found = docs.select("doc_id", "content").mapInArrow(lambda b: _rank_texts(b, rows, ids, k), f"query_id {kind}, doc_id long, score double, length long")
+    found = docs.select("doc_id", "content").mapInArrow(lambda b: _rank_texts(b, rows, ids, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double, length long")
     return top_by(found, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -128,7 +148,7 @@ def _rank_vectors(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
-            doc, length = batch.column("doc_id").to_numpy(), batch.column("length").to_numpy()
+            doc, length = _ids(batch.column("doc_id")), batch.column("length").to_numpy()
             x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
             mine = np.sqrt((x**2).sum(axis=1))
             for lo in range(0, len(queries), QUERY_BLOCK):
@@ -152,9 +172,10 @@ def vector_rank(queries: DataFrame, docs: DataFrame, *, k: int, positive: bool =
     less are dropped if ``positive``.  With ``label`` a query meets documents of its own label only.  Ties: shorter
     ``content`` where documents have one, then smaller doc_id.
     """
-    rows = sorted(queries.where("embedding is not null").toLocalIterator(), key=lambda r: r.query_id)
+    rows = sorted(stated(queries.where("embedding is not null")), key=lambda r: r.query_id)
+    kinds = f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}"
     if not rows:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+        return docs.sparkSession.createDataFrame([], f"{kinds}, score double, rank int")
     x = np.array([r.embedding for r in rows], np.float64)
     labels = np.array([r[label] for r in rows]) if label else None
     fits = (F.size("embedding") == x.shape[1]) & ~F.exists("embedding", lambda v: v.isNull())
@@ -162,7 +183,7 @@ def vector_rank(queries: DataFrame, docs: DataFrame, *, k: int, positive: bool =
     length = F.length("content").cast("long") if "content" in docs.columns else F.lit(0).cast("long")
     ids = pa.array([r.query_id for r in rows])
     columns = [F.col("doc_id"), F.col("embedding"), length.alias("length"), *([F.col(label).alias("label")] if label else [])]
-    found = whole.select(*columns).mapInArrow(lambda b: _rank_vectors(b, ids, x, labels, k, positive), "query_id long, doc_id long, score double, length long")
+    found = whole.select(*columns).mapInArrow(lambda b: _rank_vectors(b, ids, x, labels, k, positive), f"{kinds}, score double, length long")
     return top_by(found, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -198,6 +219,7 @@ def two_phase(queries: DataFrame, docs: DataFrame, first: Sequence[DataFrame], *
 
 
 def _phrase_hits(batches: Iterator[pa.RecordBatch], phrases: list[str]) -> Iterator[pa.RecordBatch]:
+    """(phrase, doc_id) where a text holds a phrase."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -206,16 +228,16 @@ def _phrase_hits(batches: Iterator[pa.RecordBatch], phrases: list[str]) -> Itera
     automaton.make_automaton()
     for batch in batches:
         found = [(i, d) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if t for i in {i for _, i in automaton.iter(t)}]
-        yield pa.RecordBatch.from_pydict({"phrase": pa.array([phrases[i] for i, _ in found], pa.string()), "doc_id": pa.array([d for _, d in found], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"phrase": pa.array([phrases[i] for i, _ in found], pa.string()), "doc_id": pa.array([d for _, d in found], batch.column("doc_id").type)})
 
 
 def phrase_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, phrase, doc_id) where a document holds a query's phrase; a stated set of phrases goes to every task, the
     documents are read once and stay where they are."""
-    known = sorted({r.phrase for r in phrases.where("phrase <> ''").select("phrase").distinct().toLocalIterator()})
+    known = sorted(r.phrase for r in stated(phrases.where("phrase <> ''").select("phrase").distinct()))
     if not known:
-        return docs.sparkSession.createDataFrame([], "query_id long, phrase string, doc_id long")
-    hits = docs.select("doc_id", "content").mapInArrow(lambda b: _phrase_hits(b, known), "phrase string, doc_id long")
+        return docs.sparkSession.createDataFrame([], f"query_id {_kind(phrases, 'query_id')}, phrase string, doc_id {_kind(docs, 'doc_id')}")
+    hits = docs.select("doc_id", "content").mapInArrow(lambda b: _phrase_hits(b, known), f"phrase string, doc_id {_kind(docs, 'doc_id')}")
     return hits.join(phrases.select("query_id", "phrase").distinct(), "phrase").select("query_id", "phrase", "doc_id")
 
 
@@ -335,7 +357,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch], stats: Bm25Statisti
 def _rank_bm25(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
     best = _Best(k)
     for batch in batches:
-        doc, size = batch.column("doc_id").to_numpy(), batch.column("len").to_numpy()
+        doc, size = _ids(batch.column("doc_id")), batch.column("len").to_numpy()
         q, score, name, at = [], [], [], []
         for i, words, places in _each(batch):
             if not len(words):
@@ -348,7 +370,7 @@ def _rank_bm25(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics, idf: np
             hit = np.flatnonzero(s)
             q.append(hit)
             score.append(-np.round(s[hit], 10))
-            name.append(np.full(len(hit), str(doc[i]).encode().ljust(24, b"\0"), "S24"))
+            name.append(np.full(len(hit), str(doc[i])))
             at.append(np.full(len(hit), doc[i]))
         if q:
             best.add(*map(np.concatenate, (q, score, name, at)))
@@ -374,16 +396,16 @@ def bm25_rank(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = 1.2, b
     """
     wanted = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), cjk_sizes=(2, 3))).alias("raw"))
     wanted = wanted.select("query_id", F.array_remove(F.split("raw", r"[_.+-]+"), "").alias("p")).where(F.size("p") > 0)
-    stats = Bm25Statistics(list(wanted.toLocalIterator()), k1, b)
+    stats = Bm25Statistics(stated(wanted), k1, b)
     parts = docs if "parts" in docs.columns else indexed(docs)
-    small = cut(parts.mapInArrow(lambda x: _kept_words(x, stats.words), "doc_id long, len long, words array<int>, places array<int>"))
+    small = cut(parts.mapInArrow(lambda x: _kept_words(x, stats.words), f"doc_id {_kind(parts, 'doc_id')}, len long, words array<int>, places array<int>"))
     sizes = small.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     df = np.zeros(len(stats.phrases))
     for r in small.mapInArrow(lambda x: _document_frequencies(x, stats), "phrase long, df long").groupBy("phrase").agg(F.sum("df").alias("df")).collect():
         df[r.phrase] = r.df
     idf = np.maximum(np.log((sizes.n - df + 0.5) / (df + 0.5)), 1e-6)
     mean = sizes.mean or 1.0
-    found = small.mapInArrow(lambda x: _rank_bm25(x, stats, idf, mean, k), "query_id long, doc_id long, score double")
+    found = small.mapInArrow(lambda x: _rank_bm25(x, stats, idf, mean, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(parts, 'doc_id')}, score double")
     return top_by(found, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k)
 
 

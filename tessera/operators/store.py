@@ -118,6 +118,37 @@ def latencies(df: DataFrame, *, stream: str, ts: str, is_token: Column) -> DataF
     return df.groupBy(stream).agg((ms(first) - ms(F.min(ts))).alias("first_token_ms"), (ms(F.max(ts)) - ms(F.min(ts))).alias("total_ms"))
 
 
+Entry = tuple[str, int, int, int]  # of a key: status, estimate, used input and output
+NO_ENTRY: Entry = ("none", 0, 0, 0)
+
+
+def ledger_step(entry: Entry, free: int, op: str, key: str | None, tokens: int, used_in: int, used_out: int) -> tuple[str, Entry, int]:
+    """The outcome of a request, and its key's entry and the scope's free tokens after it."""
+    status, estimate, *used = entry
+    if not key or not key.strip() or (op == "reserve" and tokens <= 0) or (op == "settle" and min(used_in, used_out) < 0):
+        return "invalid", entry, free
+    if op == "reserve":
+        if status != "none" and estimate != tokens:
+            return "conflict", entry, free
+        if status in ("reserved", "settled"):
+            return "unchanged", entry, free
+        return ("reserved", ("reserved", tokens, 0, 0), free - tokens) if tokens <= free else ("over_limit", entry, free)
+    if status == "none":
+        return "unknown", entry, free
+    if op == "settle":
+        if status == "settled":
+            return "unchanged" if used == [used_in, used_out] else "conflict", entry, free
+        if status == "released":
+            return "released", entry, free
+        after = free + estimate - used_in - used_out
+        return ("settled", ("settled", estimate, used_in, used_out), after) if after >= 0 else ("over_limit", entry, free)
+    outcome = {"settled": "conflict", "reserved": "released", "released": "unchanged"}[status]
+    return (outcome, ("released", *entry[1:]), free + estimate) if outcome == "released" else (outcome, entry, free)
+
+
+REQUEST = ["seq", "op", "key", "tokens", "input_tokens", "output_tokens"]
+
+
 def ledger(events: DataFrame, *, limit: int) -> DataFrame:
     """(scope, seq, outcome): reserve, settle and release requests (scope, seq, op, key, tokens, input_tokens, output_tokens).
 
@@ -128,35 +159,10 @@ def ledger(events: DataFrame, *, limit: int) -> DataFrame:
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        book: dict[str, list] = {}  # key: status, estimate, input, output
+        book: dict[str, Entry] = {}
         free, out = limit, []
-        for seq, op, key, tokens, used_in, used_out in pdf.sort_values("seq")[["seq", "op", "key", "tokens", "input_tokens", "output_tokens"]].itertuples(index=False):
-            status, estimate, *used = book.get(key, ("none", 0, 0, 0))
-            if not key or not key.strip() or (op == "reserve" and tokens <= 0) or (op == "settle" and min(used_in, used_out) < 0):
-                outcome = "invalid"
-            elif op == "reserve":
-                fits = tokens <= free
-                same = status == "none" or estimate == tokens
-                outcome = "conflict" if not same else "unchanged" if status in ("reserved", "settled") else "reserved" if fits else "over_limit"
-                if outcome == "reserved":
-                    free -= tokens
-                    book[key] = ["reserved", tokens, 0, 0]
-            elif status == "none":
-                outcome = "unknown"
-            elif op == "settle":
-                total = used_in + used_out
-                if status == "settled":
-                    outcome = "unchanged" if used == [used_in, used_out] else "conflict"
-                else:
-                    outcome = "released" if status == "released" else "over_limit" if total > free + estimate else "settled"
-                if outcome == "settled":
-                    free += estimate - total
-                    book[key] = ["settled", estimate, used_in, used_out]
-            else:
-                outcome = {"settled": "conflict", "reserved": "released", "released": "unchanged"}[status]
-                if outcome == "released":
-                    free += estimate
-                    book[key][0] = "released"
+        for seq, op, key, *amounts in pdf.sort_values("seq")[REQUEST].itertuples(index=False):
+            outcome, book[key], free = ledger_step(book.get(key, NO_ENTRY), free, op, key, *amounts)
             out.append((pdf.scope.iloc[0], seq, outcome))
         return pd.DataFrame(out, columns=["scope", "seq", "outcome"])
 

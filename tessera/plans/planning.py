@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import curation, planning
+from tessera.operators.positions import concatenated, positioned, zipped
 from tessera.plans.base import query, table
 from tessera.plans.curation import _PACKED, _packed
 from tessera.sources import records
@@ -55,7 +56,7 @@ k AS (SELECT ord, s, h, months, stop IS NOT NULL AS stopped FROM d, stop WHERE s
 CASE WHEN s IN ('candidate', 'duplicate') THEN h END AS source_hash, stopped FROM k""")
 def candidate_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A scan that ends when the pool is full; the limits are the operator's own."""
-    docs = table(spark, sf, "documents")
+    docs = records.up_to(table(spark, sf, "documents"), order="doc_id", most=SCANNED)
     body = F.struct(F.col("text").alias("fact"), F.concat(F.col("lang"), F.lit("罪")).alias("charge"), (F.col("n_chars") % 50).alias("label_months"))
     rows = records.candidates(docs.select(F.col("doc_id").alias("ord"), _json(body).alias("payload")), nested=False, target="en", most_chars=1500)
     return records.pooled(rows, most_scanned=SCANNED, pool=POOL).select("ord", "status", "outcome_bucket", "source_hash", "stopped")
@@ -67,13 +68,12 @@ c AS (SELECT *, min(CASE WHEN reason IS NULL THEN ord END) OVER (PARTITION BY id
 SELECT coalesce(reason, CASE WHEN first < ord THEN 'candidate ID is duplicated' END, 'admitted') AS outcome, count(*) AS records FROM c GROUP BY 1""")
 def candidate_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, and every seventh again; those of one source have no name."""
-    from pyspark.sql import Window as W
-
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     every = docs.withColumn("rep", F.lit(0)).unionByName(docs.where("doc_id % 7 = 0").withColumn("rep", F.lit(1)))
     least = docs.agg(F.min("source").alias("least"))
     body = F.struct((F.col("doc_id") % 900).alias("id"), F.when(F.col("source") != F.col("least"), F.col("source")).otherwise(" ").alias("name"), F.col("text").alias("content"))
-    payloads = every.join(F.broadcast(least)).select(F.row_number().over(W.orderBy("rep", "doc_id")).alias("ord"), _json(body).alias("payload"))
+    placed, _ = positioned(every, order=["rep", "doc_id"], name="ord")
+    payloads = placed.join(F.broadcast(least)).select("ord", _json(body).alias("payload"))
     return records.inventory(payloads, most_chars=3000).groupBy(F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count("*").alias("records"))
 
 
@@ -136,6 +136,38 @@ def normalization_plan(spark: SparkSession, sf: str) -> DataFrame:
     return marked.groupBy(F.coalesce("duplicate_by", F.lit("unique")).alias("outcome")).agg(F.count("*").alias("records"), F.count_if(case & number.isNull()).alias("cases_without_number"), F.count_if(~case).alias("consultations"))
 
 
+@query(f"""WITH {_NORMAL}, k AS (SELECT doc_id, unnest([source || ':' || sid] || CASE WHEN doc_id % 4 = 0 THEN [source || ':a' || (doc_id % 300), source || ':a' || (doc_id % 170)] ELSE [] END) AS key FROM r),
+m AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key), s AS (SELECT k.doc_id, min(first) AS first FROM k JOIN m ON m.key = k.key GROUP BY k.doc_id),
+a AS (SELECT CASE WHEN s.first < r.doc_id THEN 'source_id' WHEN cn IS NOT NULL AND min(r.doc_id) OVER (PARTITION BY cn) < r.doc_id THEN 'case_number' WHEN min(r.doc_id) OVER (PARTITION BY kind, h) < r.doc_id THEN 'content_hash' ELSE 'unique' END AS outcome FROM r JOIN s ON s.doc_id = r.doc_id)
+SELECT outcome, count(*) AS records FROM a GROUP BY outcome""")
+def normalization_plan_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``normalization_plan``, but a record has aliases, and any source key of an earlier record counts."""
+    i = F.col("doc_id")
+    alias = lambda n: F.concat("dataset_name", F.lit(":a"), (i % n).cast("string"))
+    source = F.concat(F.array(F.concat_ws(":", "dataset_name", "sid")), F.when(i % 4 == 0, F.array(alias(300), alias(170))).otherwise(F.array().cast("array<string>")))
+    keys = {"source_id": source, "case_number": F.col("case_number"), "content_hash": F.concat_ws(":", "record_kind", "content_hash")}
+    marked = curation.first_occurrence(_normal(spark, sf), keys, i)
+    return marked.groupBy(F.coalesce("duplicate_by", F.lit("unique")).alias("outcome")).agg(F.count("*").alias("records"))
+
+
+@query("""SELECT a.doc_id AS by_id, b.doc_id AS by_size, a.position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) a
+JOIN (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents) b ON a.position = b.position""")
+def positional_zip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in order of id beside documents in order of size."""
+    docs = table(spark, sf, "documents")
+    by_size = docs.select("n_chars", F.col("doc_id").alias("by_size"))
+    return zipped(docs.select(F.col("doc_id").alias("by_id")), by_size, orders=[["by_id"], ["n_chars", "by_size"]]).select("by_id", "by_size", "position")
+
+
+@query("""SELECT 0 AS source, item_id AS id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM benchmark
+UNION ALL SELECT 1, doc_id, (SELECT count(*) FROM benchmark) + row_number() OVER (ORDER BY doc_id DESC) - 1 FROM documents""")
+def concatenated_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Items, then documents from the largest id down, with their places in the whole."""
+    items, docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    both = concatenated(items, docs, orders=[["id"], [F.desc("id")]])
+    return both.select("source", "id", "position")
+
+
 @query(f"WITH {_NORMAL} SELECT source AS dataset_name, count(*) AS records_normalized, count(cn) AS records_with_case_number, count(*) FILTER (kind = 'case') AS cases, count(*) FILTER (kind = 'consultation') AS consultations FROM r GROUP BY source")
 def source_summary(spark: SparkSession, sf: str) -> DataFrame:
     kinds = lambda k: F.coalesce(F.try_element_at("record_kinds", F.lit(k)), F.lit(0))

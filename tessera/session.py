@@ -27,13 +27,21 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where none is set, in local mode only, a
+    temporary one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get().rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the shared folder, so that what follows reads them once made; where no folder
-    is set, in local mode only, a temporary one is."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    """The rows as a reliable checkpoint in the shared folder, so that what follows reads them once made."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import cut
 
 _NO_TEXTS = "array<string>"
 
@@ -107,11 +108,18 @@ def parsed(lines: DataFrame, *, value: str = "value") -> DataFrame:
 
 
 def bounded(rows: DataFrame, *, order: str, most: int) -> tuple[DataFrame, bool]:
-    """The first ``most`` rows in order, and whether there were more."""
-    ranked = rows.orderBy(order).limit(most + 1)
+    """The first ``most`` rows in order, and whether there were more.  The rows are read once and stored."""
+    ranked = cut(rows.orderBy(order).limit(most + 1))
     return ranked.orderBy(order).limit(most), ranked.count() > most
 
 
+def up_to(table: DataFrame, *, order: str, most: int) -> DataFrame:
+    """Rows of a table of files that a scan of ``most`` rows in order can see, and no others.  Only the column of the order is
+    read to find where it ends; the end is a filter that Parquet skips row groups by."""
+    last = table.select(order).where(F.col(order).isNotNull()).orderBy(order).limit(most).agg(F.max(order).alias("last")).first().last
+    return table.where(F.lit(False)) if last is None else table.where(F.col(order) <= F.lit(last))
+
+
 def outcome(months: Column, life: Column, death: Column) -> Column:
     return F.when(death, "death").when(life, "life").when(months <= 0, "non_custodial").when(months <= 12, "up_to_12_months").when(months <= 36, "13_to_36_months").when(months.isNotNull(), "over_36_months")
 

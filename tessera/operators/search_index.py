@@ -1,8 +1,8 @@
 """Inverted index: postings by term and block of documents, written once, and rankings that read the queries' terms only.
 
 A block is up to ``BLOCK_DOCS`` documents that one task read together.  A row of postings holds what one term has in one
-block, so a term of very many documents is many rows, and each row says how many documents it has and the greatest gain that
-any of them can have.  Rows lie in ``segments`` folders by a hash of their term, sorted by term; a search reads the
+block, so a term of very many documents is many rows, and each row says how many documents it has, how often at most and how
+short they are at least: a bound of the gain that any of them can have.  Rows lie in ``segments`` folders by a hash of their term, sorted by term; a search reads the
 folders and columns that it needs.  Two families are written:
 
 - ``parts``: full-text parts with frequencies and places, for BM25;
@@ -49,13 +49,18 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType | None = No
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)) if kind is None else pa.array(values, kind))
 
 
+def _sizes(starts: np.ndarray, end: int) -> pa.Array:
+    return pa.array(np.diff(np.append(starts, end)).astype(np.int32))
+
+
 def _first_of_each(*columns: np.ndarray) -> np.ndarray:
     new = np.ones(len(columns[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     return np.flatnonzero(new)
 
 
-_COLUMNS = ["family", "term", "block", "docs", "counts", "lens", "places", "ids"]
+_ROW = "term string, block long, n int, most int, least int, docs array<int>, counts array<int>, lens array<int>, places array<array<int>>"
+_COLUMNS = ["family", *(c.split()[0] for c in _ROW.split(", ")), "ids"]
 
 
 def _posted_block(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
@@ -65,7 +70,7 @@ def _posted_block(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(parts.offsets.to_numpy())
     n = len(rows)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(["documents"]), pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, ints), _lists(chars.to_numpy(), np.array([0])), _lists(sizes, np.array([0])), pa.nulls(1, nested), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)],
+        [pa.array(["documents"]), pa.nulls(1, pa.string()), pa.array([number]), pa.array([n], pa.int32()), *[pa.nulls(1, pa.int32())] * 2, pa.nulls(1, ints), _lists(chars.to_numpy(), np.array([0])), _lists(sizes, np.array([0])), pa.nulls(1, nested), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)],
         _COLUMNS,
     )
     of_row = lambda lists: np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
@@ -75,7 +80,7 @@ def _posted_block(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
     at = _first_of_each(code)
     count = len(at)
     if count:
-        yield pa.RecordBatch.from_arrays([pa.array(["words"] * count), terms.take(pa.array(code[at])), pa.array([number] * count), _lists(row, at), pa.nulls(count, ints), pa.nulls(count, ints), pa.nulls(count, nested), pa.nulls(count, pa.list_(ids.type))], _COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(["words"] * count), terms.take(pa.array(code[at])), pa.array([number] * count), _sizes(at, len(row)), *[pa.nulls(count, pa.int32())] * 2, _lists(row, at), pa.nulls(count, ints), pa.nulls(count, ints), pa.nulls(count, nested), pa.nulls(count, pa.list_(ids.type))], _COLUMNS)
     terms, code = _number(parts.flatten())
     row = of_row(parts)
     place = np.arange(len(row)) - np.repeat(parts.offsets.to_numpy()[:-1] - parts.offsets.to_numpy()[0], sizes)
@@ -86,8 +91,9 @@ def _posted_block(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
     count = len(at)
     if count:
         counts = np.diff(np.append(pair, len(row)))
+        bounds = [pa.array(f.reduceat(v, at).astype(np.int32)) for f, v in ((np.maximum, counts), (np.minimum, sizes[row[pair]]))]
         places = pa.ListArray.from_arrays(pa.array(np.append(at, len(pair)).astype(np.int32)), _lists(place, pair))
-        yield pa.RecordBatch.from_arrays([pa.array(["parts"] * count), terms.take(pa.array(code[pair][at])), pa.array([number] * count), _lists(row[pair], at), _lists(counts, at), _lists(sizes[row[pair]], at), places, pa.nulls(count, pa.list_(ids.type))], _COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(["parts"] * count), terms.take(pa.array(code[pair][at])), pa.array([number] * count), _sizes(at, len(pair)), *bounds, _lists(row[pair], at), _lists(counts, at), _lists(sizes[row[pair]], at), places, pa.nulls(count, pa.list_(ids.type))], _COLUMNS)
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,32 +126,29 @@ def _java_path(spark: SparkSession, path: str):
     return java.getFileSystem(spark._jsc.hadoopConfiguration()), java
 
 
-def build(docs: DataFrame, path: str, *, segments: int = 64, k1: float = K1, b: float = B) -> SearchIndex:
-    """Writes the index of documents (doc_id, content) under ``path``.  Texts are read once; ``about`` is written last,
-    and an index without it is none."""
+def build(docs: DataFrame, path: str, *, segments: int | None = None, k1: float = K1, b: float = B) -> SearchIndex:
+    """Writes the index of documents (doc_id, content) under ``path``.  Texts are read once, postings are shuffled and written
+    once; ``about`` is written last, and an index without it is none.  ``segments`` is a folder for each 4 MB of the input's
+    files, 4096 at most, if not given."""
     spark = docs.sparkSession
+    segments = segments or 1 + min(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >> 22, 4095)
+    least = spark.sparkContext.defaultParallelism
+    docs = docs if docs.rdd.getNumPartitions() >= least else docs.repartition(least)  # one small file would be one task
     kind = docs.schema["doc_id"].dataType.simpleString()
     low, none = F.lower("content"), F.array().cast("array<string>")
     words = F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)), tx.cjk_grams(low, (2, 3, 4))))
     rows = docs.select("doc_id", F.coalesce(words, none).alias("words"), F.coalesce(tx.index_parts(F.col("content")), none).alias("parts"), F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
-    schema = f"family string, term string, block long, docs array<int>, counts array<int>, lens array<int>, places array<array<int>>, ids array<{kind}>"
-    raw = f"{path}/raw"
-    rows.mapInArrow(_posted, schema).write.mode("overwrite").partitionBy("family").parquet(raw)
-    made = spark.read.schema(schema).parquet(raw)
-    documents = made.where("family = 'documents'")
-    documents.select("block", "ids", F.col("counts").alias("chars"), "lens").write.mode("overwrite").parquet(f"{path}/documents")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    sums = documents.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("documents"), F.coalesce(F.sum(total(F.col("lens"))), F.lit(0)).alias("parts")).first()
+    made = rows.mapInArrow(_posted, f"family string, {_ROW}, ids array<{kind}>")
+    placed = made.withColumn("segment", F.coalesce(F.pmod(F.xxhash64("term"), F.lit(segments)).cast("int"), F.lit(0)))
+    placed.hint("rebalance", "family", "segment").sortWithinPartitions("family", "segment", "term", "block").write.mode("overwrite").partitionBy("family", "segment").parquet(f"{path}/postings")
+    index = SearchIndex(spark, path, kind)
+    index._family("words").groupBy("term").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/dictionary")
+    total = F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = index.documents.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("documents"), F.coalesce(F.sum(total), F.lit(0)).alias("parts")).first()
     mean = float(sums.parts) / sums.documents if sums.parts else 1.0
-    gain = F.array_max(F.zip_with("counts", "lens", lambda tf, size: _gain(tf, size, mean, k1, b)))
-    postings = made.where("family in ('words', 'parts')").select("family", F.pmod(F.xxhash64("term"), F.lit(segments)).cast("int").alias("segment"), "term", "block", F.size("docs").alias("n"), gain.alias("best"), "docs", "counts", "lens", "places")
-    postings.hint("rebalance", "family", "segment").sortWithinPartitions("family", "segment", "term", "block").write.mode("overwrite").partitionBy("family", "segment").parquet(f"{path}/postings")
-    made.where("family = 'words'").groupBy("term").agg(F.sum(F.size("docs")).alias("n")).write.mode("overwrite").parquet(f"{path}/dictionary")
-    fs, java = _java_path(spark, raw)
-    fs.delete(java, True)
     about = [(sums.documents, sums.blocks, mean, k1, b, segments, kind)]
     spark.createDataFrame(about, "documents long, blocks long, mean double, k1 double, b double, segments int, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
-    return SearchIndex(spark, path)
+    return index
 
 
 def _gain(tf: Column, size: Column, mean: float, k1: float, b: float) -> Column:
@@ -228,9 +231,12 @@ def _contained_block(rows: pa.Table, block: pa.Table, asked: _Asked, k: int) ->
         return _best_of_block(asked, np.zeros((len(asked.terms), 0)), ids, np.zeros(0), k, as_text=False, places=None)
     present = np.zeros((len(asked.terms), len(ids)), np.float32)
     row, doc = _spread(rows)
-    for i, numbers in enumerate(rows.column("terms").to_pylist()):
-        mine = doc[row == i] if len(rows) < 64 else doc[np.searchsorted(row, i) : np.searchsorted(row, i + 1)]
-        present[np.array(numbers)[:, None], mine[None, :]] = 1
+    terms = rows.column("terms").combine_chunks()
+    of = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))  # the row of each term
+    size = np.bincount(row, minlength=len(rows))
+    each = size[of]  # documents of each (row, term)
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(size) - size)[of], each)
+    present[np.repeat(terms.flatten().to_numpy(), each), doc[at]] = 1
     return _best_of_block(asked, present, ids, block.column("chars")[0].values.to_numpy(), k, as_text=False, places=None)
 
 
@@ -267,13 +273,19 @@ def _phrases_of_block(rows: pa.Table, phrases: list[tuple[str, ...]]) -> pa.Tabl
     return pa.table({"term": pa.array([r[0] for r in out], pa.string()), "block": pa.array([block] * len(out), pa.int64()), "n": pa.array([len(r[1]) for r in out], pa.int32()), "docs": pa.array([r[1] for r in out], ints), "counts": pa.array([r[2] for r in out], ints), "lens": pa.array([r[3] for r in out], ints)})
 
 
-_POSTINGS = "term string, block long, n int, best double, docs array<int>, counts array<int>, lens array<int>, places array<array<int>>, family string, segment int"
-
-
 @dataclass
 class SearchIndex:
     spark: SparkSession
     path: str
+    known_kind: str | None = None  # of document ids, while there is no ``about`` yet
+
+    @property
+    def kind(self) -> str:
+        return self.known_kind or self.about.kind
+
+    def _family(self, family: str) -> DataFrame:
+        rows = self.spark.read.schema(f"{_ROW}, ids array<{self.kind}>, family string, segment int").parquet(f"{self.path}/postings")
+        return rows.where(F.col("family") == family)
 
     @cached_property
     def about(self):
@@ -281,30 +293,28 @@ class SearchIndex:
 
     @property
     def documents(self) -> DataFrame:
-        return self._read("documents", f"block long, ids array<{self.about.kind}>, chars array<int>, lens array<int>")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        """A row a block: ids, characters and parts of its documents."""
+        return self._family("documents").select("block", "ids", F.col("counts").alias("chars"), "lens")
 
     def postings(self, family: str, terms: DataFrame) -> DataFrame:
         """Postings of the distinct ``terms`` (term, ...), with their other columns; only the terms' folders are read."""
         segment = F.pmod(F.xxhash64("term"), F.lit(int(self.about.segments))).cast("int")
         needed = [r.s for r in terms.select(segment.alias("s")).distinct().collect()]  # at most ``segments`` numbers
-        rows = self._read("postings", _POSTINGS).where((F.col("family") == family) & F.col("segment").isin(needed))
-        return rows.drop("family", "segment").join(terms, "term")
+        rows = self._family(family).where(F.col("segment").isin(needed))
+        return rows.drop("family", "segment", "ids").join(terms, "term")
 
     def contained(self, queries: DataFrame, *, k: int, **terms) -> DataFrame:
         """(query_id, doc_id, score, rank) as ``lexical_rank`` of the texts gives it, from postings of words."""
         pairs = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), **terms)).alias("term")).select("query_id", "term", tx.term_weight(F.col("term")).alias("w"))
         rows = [tuple(r) for r in stated(pairs)]
-        kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": self.about.kind}
+        kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": self.kind}
         if not rows:
             return self._nothing(kinds)
         asked = _Asked.of(rows, pa.array([rows[0][0]]).type)
-        words = self._read("dictionary", "term string").mapInArrow(partial(_holding, terms=asked.terms), "term string, terms array<int>")
+        words = self.spark.read.schema("term string").parquet(f"{self.path}/dictionary").mapInArrow(partial(_holding, terms=asked.terms), "term string, terms array<int>")
         matched = cut(words)
         found = self.postings("words", matched).select("block", "docs", "terms")
-        best = found.groupBy("block").cogroup(self.documents.groupBy("block")).applyInArrow(lambda rows, block: _contained_block(rows, block, asked, k), self._schema(kinds))
+        best = self._by_block(found, self.documents).applyInArrow(lambda rows, block: _contained_block(rows, block, asked, k), self._schema(kinds))
         return top_by(best, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
     def bm25(self, queries: DataFrame, *, k: int) -> DataFrame:
@@ -313,12 +323,13 @@ class SearchIndex:
         wanted = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), cjk_sizes=(2, 3))).alias("raw"))
         wanted = wanted.select("query_id", F.array_join(F.array_remove(F.split("raw", r"[_.+-]+"), ""), "\x1f").alias("term"), F.lit(1.0).alias("w")).where("term <> ''")
         rows = [tuple(r) for r in stated(wanted)]
-        kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": self.about.kind}
+        kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": self.kind}
         if not rows:
             return self._nothing(kinds)
         asked, about = _Asked.of(rows, pa.array([rows[0][0]]).type), self.about
         postings = self._of_terms(asked.terms)
-        light = cut(postings.select("term", "block", "n", "best"))
+        best = _gain(F.col("most"), F.col("least"), about.mean, about.k1, about.b)
+        light = cut(postings.select("term", "block", "n", best.alias("best")))
         df = {r.term: r.df for r in light.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # one row for a stated term
         held = np.array([df.get(t, 0) for t in asked.terms], float)
         idf = np.maximum(np.log((about.documents - held + 0.5) / (held + 0.5)), 1e-6)
@@ -329,7 +340,7 @@ class SearchIndex:
 
         def of_blocks(blocks: DataFrame) -> DataFrame:
             rows = postings.select("term", "block", "docs", "counts", "lens").join(blocks, "block", "left_semi")
-            return rows.groupBy("block").cogroup(self.documents.join(blocks, "block", "left_semi").groupBy("block")).applyInArrow(lambda rows, block: _scored_block(rows, block, asked, idf, k, mean, k1, b), self._schema(kinds))
+            return self._by_block(rows, self.documents.join(blocks, "block", "left_semi")).applyInArrow(lambda rows, block: _scored_block(rows, block, asked, idf, k, mean, k1, b), self._schema(kinds))
 
         first = cut(top_by(bounds, ["q"], [F.desc("bound"), F.col("block")], 1).select("block").distinct())
         found = cut(of_blocks(first))
@@ -342,6 +353,12 @@ class SearchIndex:
         out = found.unionByName(of_blocks(rest))
         return top_by(out, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k).select("query_id", "doc_id", "score", "rank")
 
+    def _by_block(self, *tables: DataFrame):
+        """The tables by block, side by side.  Their number of partitions is set, as what is few bytes is much work here."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        a, b = (df.repartition(n, "block").groupBy("block") for df in tables)
+        return a.cogroup(b)
+
     def _of_terms(self, terms: list[str]) -> DataFrame:
         """Postings of parts and of phrases (parts joined by a unit separator)."""
         named = lambda some: self.spark.createDataFrame([(t,) for t in sorted(some)], "term string")
@@ -350,10 +367,8 @@ class SearchIndex:
         if not phrases:
             return single
         of_parts = self.postings("parts", named({w for p in phrases for w in p})).select("term", "block", "docs", "lens", "places")
-        made = of_parts.groupBy("block").applyInArrow(lambda rows: _phrases_of_block(rows, phrases), "term string, block long, n int, docs array<int>, counts array<int>, lens array<int>")
-        about = self.about
-        best = F.array_max(F.zip_with("counts", "lens", lambda tf, size: _gain(tf, size, about.mean, about.k1, about.b)))
-        return single.unionByName(cut(made).withColumn("best", best))
+        made = cut(of_parts.groupBy("block").applyInArrow(lambda rows: _phrases_of_block(rows, phrases), "term string, block long, n int, docs array<int>, counts array<int>, lens array<int>"))
+        return single.unionByName(made.withColumns({"most": F.array_max("counts"), "least": F.array_min("lens")}))
 
     def _schema(self, kinds: dict[str, str]) -> str:
         return f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, length long"

@@ -9,6 +9,7 @@ from tessera.functions import text as tx
 from tessera.operators import composites
 from tessera.operators import evaluation as ev
 from tessera.operators import retrieval as rt
+from tessera.operators.search_index import SearchIndex, of_table
 from tessera.plans.base import query, table
 
 STOP = ["the", "of", "and", "to", "in", "is", "that"]
@@ -25,6 +26,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
 
 
+def _index(spark: SparkSession, sf: str) -> SearchIndex:
+    """The index of the documents' texts, which is written once and used by all queries of a table."""
+    return of_table(_docs(spark, sf))
+
+
 def _lexical_cte(name: str, text: str, k: int, stop: list[str] = ()) -> str:
     """CTEs that end in ``name`` (query_id, doc_id, score, rank)."""
     skip = f"WHERE term NOT IN ({', '.join(repr(s) for s in stop)})" if stop else ""
@@ -37,12 +43,12 @@ def _lexical_cte(name: str, text: str, k: int, stop: list[str] = ()) -> str:
 
 @query("WITH " + _lexical_cte("r", "text", K) + " SELECT * FROM r")
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.lexical_rank(_items(spark, sf), _docs(spark, sf), k=K)
+    return _index(spark, sf).contained(_items(spark, sf), k=K)
 
 
 @query("WITH " + _lexical_cte("r", "text", K, STOP) + " SELECT * FROM r")
 def lexical_topk_stop_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.lexical_rank(_items(spark, sf), _docs(spark, sf), k=K, stop_terms=STOP)
+    return _index(spark, sf).contained(_items(spark, sf), k=K, stop_terms=STOP)
 
 
 @query(f"""SELECT item_id AS query_id, unnest(range(0, len(ts))) AS pos, unnest(ts) AS term FROM
@@ -89,17 +95,61 @@ def vector_topk_model_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rt.vector_rank(_vector_queries(spark, sf), _vectors(spark, sf).where("label = 3"), k=K)
 
 
-@query("WITH " + _vector_cte("a", 3 * K, "true", 32) + "," + _vector_cte("b", 3 * K, "q.label = d.label") + "," + _vector_cte("e", 1_000_000) + """,
+def _lexical_over(name: str, asked: str, chunks: str, k: int) -> str:
+    """CTEs that end in ``name`` (query_id, doc_id, rank), of queries ``asked`` (query_id, query) over ``chunks`` (doc_id, content)."""
+    return f"""
+{name}_t AS (SELECT query_id, unnest(list_distinct(list_transform(regexp_extract_all(query, '{LATIN}'), lambda x: lower(x)))) AS term FROM {asked}),
+{name}_s AS (SELECT query_id, doc_id, sum(CASE WHEN length(term) >= 3 THEN 2 ELSE 1 END) AS score, any_value(length(content)) AS len
+             FROM {name}_t t JOIN (SELECT *, lower(content) AS low FROM {chunks}) d ON contains(d.low, t.term) GROUP BY query_id, doc_id),
+{name} AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len, doc_id) AS rank FROM {name}_s QUALIFY rank <= {k})"""
+
+
+_COSINE = "round(list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))), 6)"
+_BOTH = "d AS (SELECT doc_id, text AS content, source, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL), q AS (SELECT doc_id AS query_id, left(content, 120) AS query, v FROM d WHERE doc_id % 100 = 0)"
+
+
+def _embedded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that have a vector; every hundredth asks with its vector and the first 120 characters of its text."""
+    docs = table(spark, sf, "documents").where("text is not null").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    chunks = docs.select("doc_id", "source", F.col("text").alias("content"), "embedding")
+    return chunks.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("content", 1, 120).alias("query"), "embedding"), chunks
+
+
+@query("WITH " + _BOTH + "," + _lexical_over("a", "q", "d", 3 * K) + f""",
+s AS (SELECT query_id, d.doc_id, {_COSINE} AS score FROM q, d), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT s.*, length(content) AS len FROM s JOIN d ON d.doc_id = s.doc_id WHERE score > 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len, doc_id) <= {3 * K}),
 c AS (SELECT query_id, doc_id FROM a UNION SELECT query_id, doc_id FROM b)
-SELECT query_id, doc_id, score, rank FROM (SELECT c.query_id, c.doc_id, s.score, row_number() OVER (PARTITION BY c.query_id ORDER BY s.score DESC, c.doc_id) AS rank
-FROM c JOIN e_s s ON c.query_id = s.query_id AND c.doc_id = s.doc_id WHERE s.score > 0) WHERE rank <= 5""")
+SELECT s.query_id, s.doc_id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.doc_id) AS rank FROM c JOIN s ON s.query_id = c.query_id AND s.doc_id = c.doc_id WHERE score > 0 QUALIFY rank <= {K}""")
 def two_phase_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by half of the dimensions and, within the query's label, by all; ranked again in full."""
-    q, d = _vector_queries(spark, sf), _vectors(spark, sf)
-    half = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
-    light = rt.vector_rank(half(q), half(d), k=3 * K)
-    own = rt.vector_rank(q.withColumnRenamed("query_label", "label"), d, k=3 * K, label="label")
-    return rt.two_phase(q, d, [light, own], k=K)
+    """Candidates of a lexical and a vector ranking, both over all texts and all dimensions; only they are ranked again."""
+    q, d = _embedded(spark, sf)
+    first = [rt.lexical_rank(q, d, k=3 * K), rt.vector_rank(q, d, k=3 * K)]
+    return rt.two_phase(q, d, first, k=K)
+
+
+_RRF = """
+u AS (SELECT query_id, doc_id, rank, 0 AS which FROM a UNION ALL SELECT query_id, doc_id, rank, 1 FROM b),
+f AS (SELECT query_id, doc_id, coalesce(max(CASE WHEN which = 0 THEN 1.0::DOUBLE / (60 + rank) END), 0) + coalesce(max(CASE WHEN which = 1 THEN 1.0::DOUBLE / (60 + rank) END), 0) AS score, min(rank) AS best, min(which * 1000 + rank) AS seen FROM u GROUP BY query_id, doc_id)"""
+_BY_VECTOR = "b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len, doc_id) AS rank FROM (SELECT query_id, d.doc_id, length(d.content) AS len, {cosine} AS score FROM q, d) WHERE score > 0 {floor} QUALIFY rank <= {k})"
+
+
+@query("WITH " + _BOTH + "," + _lexical_over("a", "q", "d", 8) + "," + _BY_VECTOR.format(cosine=_COSINE, floor="", k=8) + "," + _RRF + """
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, seen, doc_id) AS rank FROM f QUALIFY rank <= 8""")
+def material_retrieval_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical and vector rankings of materials, fused."""
+    return composites.material_retrieval(*_embedded(spark, sf), k=8)
+
+
+@query("WITH " + _BOTH + "," + _lexical_over("l", "q", "d", 3 * K) + f""",
+n AS (SELECT query_id, count(*) AS terms FROM l_t GROUP BY query_id),
+a AS (SELECT l.query_id, l.doc_id, l.rank FROM l JOIN l_s s ON s.query_id = l.query_id AND s.doc_id = l.doc_id JOIN n ON n.query_id = l.query_id WHERE s.score >= CASE WHEN terms <= 2 THEN 1 ELSE 3 END),
+""" + _BY_VECTOR.format(cosine=_COSINE, floor="", k=3 * K).replace("b AS (SELECT query_id, doc_id,", "b0 AS (SELECT query_id, doc_id, score,") + ", b AS (SELECT query_id, doc_id, rank FROM b0 WHERE score >= 0.55)," + _RRF + f""",
+r AS (SELECT f.query_id, f.doc_id, d.source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, seen, f.doc_id) AS rank FROM f JOIN d ON d.doc_id = f.doc_id QUALIFY rank <= {3 * K}),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM r)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM c WHERE n <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {K}""")
+def decision_retrieval_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical above its floor and vectors from 0.55 on, fused, two of a source."""
+    q, d = _embedded(spark, sf)
+    return composites.decision_retrieval(q, d, k=K, stop_terms=[]).select("query_id", "doc_id", "rank")
 
 
 FIRST8 = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
@@ -111,8 +161,8 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 
 def _fused(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    docs = _docs(spark, sf)
-    return rt.fuse([rt.lexical_rank(_items(spark, sf), docs, k=3 * K), rt.lexical_rank(_items(spark, sf, 8), docs, k=3 * K)], k=k)
+    index = _index(spark, sf)
+    return rt.fuse([index.contained(_items(spark, sf), k=3 * K), index.contained(_items(spark, sf, 8), k=3 * K)], k=k)
 
 
 @query("WITH " + _lexical_cte("a", "text", 3 * K) + "," + _lexical_cte("b", FIRST8, 3 * K) + "," + _FUSED + " SELECT query_id, doc_id, round(score, 9) AS score, best_rank, rank FROM fused WHERE rank <= 5")
@@ -198,7 +248,7 @@ s AS (SELECT w.query_id, tf.doc_id, round(sum(w.times * greatest(ln((n.n - df.df
       FROM w JOIN tf ON tf.term = w.term JOIN df ON df.term = w.term, n GROUP BY w.query_id, tf.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM s) WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.bm25_rank(_items(spark, sf), _docs(spark, sf), k=K).withColumn("score", F.round("score", 6))
+    return _index(spark, sf).bm25(_items(spark, sf), k=K).withColumn("score", F.round("score", 6))
 
 
 QREL = "qrel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON length(substr(b.text, 21, 60)) > 0 AND contains(d.text, substr(b.text, 21, 60)))"
@@ -215,14 +265,14 @@ j AS (SELECT q.query_id, min(r.rank) AS first FROM (SELECT DISTINCT query_id FRO
 SELECT count(*) AS queries, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 4) AS recall_3,
 round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr FROM j""")
 def recall_mrr_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.recall_and_mrr(rt.lexical_rank(_items(spark, sf), _docs(spark, sf), k=10), _qrels(spark, sf))
+    return ev.recall_and_mrr(_index(spark, sf).contained(_items(spark, sf), k=10), _qrels(spark, sf))
 
 
 @query("WITH " + QREL + "," + _lexical_cte("r", "text", 10) + """,
 j AS (SELECT q.query_id, count(*) AS relevant, count(r.doc_id) AS found FROM qrel q LEFT JOIN r ON r.query_id = q.query_id AND r.doc_id = q.doc_id GROUP BY q.query_id)
 SELECT count(*) AS queries, round(avg(CASE WHEN found > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(avg(found / relevant), 4) AS macro_recall FROM j""")
 def hit_macro_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.hit_and_macro_recall(rt.lexical_rank(_items(spark, sf), _docs(spark, sf), k=10), _qrels(spark, sf), k=10)
+    return ev.hit_and_macro_recall(_index(spark, sf).contained(_items(spark, sf), k=10), _qrels(spark, sf), k=10)
 
 
 @query("WITH " + QREL + " SELECT b.item_id AS query_id, count(q.doc_id) AS evidence FROM benchmark b LEFT JOIN qrel q ON q.query_id = b.item_id GROUP BY b.item_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tessera.operators import activity, composites, profile, store
 from tessera.operators import retrieval as rt
 from tessera.plans.base import query, table
 from tessera.sources import pages, sinks
+from tessera.session import shared_folder
 from tessera.streaming import frames
 
 KIND = "CASE event_type WHEN 'view' THEN 'tool.started' WHEN 'click' THEN 'tool.completed' WHEN 'error' THEN 'model.error' WHEN 'purchase' THEN 'subagent.end' ELSE 'internal.note' END"
@@ -408,8 +411,25 @@ def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", (F.size("embedding") == 16).alias("fresh"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+p AS (SELECT page_id, a, list_filter(list_transform(regexp_split_to_array(a, '</?p>|<br>|</?h1>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM a)
+SELECT page_id, len(p) AS paragraphs, len(string_split(array_to_string(p, ' '), ' ')) AS words, len(string_split(trim(regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)), ' ')) AS title_words FROM p""")
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Title and paragraphs of pages by their containers; tested on pages whose sections are known."""
-    got = pages.page_sections(table(spark, sf, "pages").select("page_id", "html"), containers=pages.Containers(detail="x", tag="div"))
-    return got.select("page_id", F.size("paragraphs").alias("paragraphs"))
+    """Headings and paragraphs of pages by their containers."""
+    named = pages.Containers(detail="<body>", title="<h1>", content="<article>")
+    got = pages.page_sections(table(spark, sf, "pages").select("page_id", "html"), containers=named)
+    words = lambda c: F.size(F.split(c, " "))
+    return got.select("page_id", F.size("paragraphs").alias("paragraphs"), words(F.array_join("paragraphs", " ")).alias("words"), words(F.col("title")).alias("title_words"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT 'chunks' AS kind, count(*) AS records, min('L' || o_custkey || ':C' || n) AS first FROM o UNION ALL SELECT 'sources', count(DISTINCT o_custkey), min('L' || o_custkey) FROM o""")
+def committed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as sources whose orders are chunks, written as one batch, twice, and read back."""
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("source_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("chunks"))
+    path = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_sources(rows, path)
+    kept = sinks.Committed(spark, path)
+    chunks = kept.read("chunks").agg(F.lit("chunks").alias("kind"), F.count("*").alias("records"), F.min("reference").alias("first"))
+    return chunks.unionByName(kept.read("sources").agg(F.lit("sources").alias("kind"), F.count("*").alias("records"), F.min(F.concat(F.lit("L"), "source_id")).alias("first")))

@@ -138,15 +138,36 @@ def test_registry_and_manifest(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     sources = spark.createDataFrame([("7", "t", ["a", "b"])], "source_id string, title string, chunks array<string>")
-    for _ in range(2):
-        sinks.write_sources(sources, str(tmp_path / "s"))
-    assert sorted((r.chunk_index, r.content, r.reference) for r in spark.read.parquet(str(tmp_path / "s/chunks")).collect()) == [(1, "a", "L7:C1"), (2, "b", "L7:C2")]
+    path = str(tmp_path / "s")
+    first = {sinks.write_sources(sources, path) for _ in range(2)}
+    stored = sinks.Committed(spark, path)
+    assert len(first) == 1 and stored.names() == sorted(first)
+    assert sorted((r.chunk_index, r.content, r.reference) for r in stored.read("chunks").collect()) == [(1, "a", "L7:C1"), (2, "b", "L7:C2")]
     report = spark.createDataFrame([(1, False)], "n int, passed boolean")
     assert sinks.write_report(report, str(tmp_path / "r"), failed=~F.col("passed")) == 2 and spark.read.json(str(tmp_path / "r")).first().n == 1
     got = sinks.touched(spark.createDataFrame([(1, "old"), (2, "old")], "id int, updated_at string"), spark.createDataFrame([(2,), (2,)], "id int"), key="id", at=F.lit("now"))
     assert {tuple(r) for r in got.select("id", "updated_at").collect()} == {(1, "old"), (2, "now")}
 
 
+def test_committed_batches(spark, tmp_path):
+    """Ids that repeat, equal ids with other content, and a writer that breaks off."""
+    path = str(tmp_path / "s")
+    of = lambda *rows: spark.createDataFrame(list(rows), "source_id long, title string, chunks array<string>")
+    batches = [of((1, "a", ["x"]), (1, "a", ["x"])), of((2, "b", ["y"]), (2, "b", ["y"])), of((1, "a", ["x"])), of((1, "a", ["z"])), of((1, None, ["x"])), of((1, "a", []))]
+    names = [sinks.write_sources(b, path) for b in batches]
+    assert len(set(names)) == len(batches)
+    assert sinks.write_sources(batches[0].repartition(3).orderBy("title"), path) == names[0]
+    stored = sinks.Committed(spark, path)
+    assert stored.read("sources").count() == 8 and stored.read("chunks").count() == 7
+    assert stored.read("sources", [names[1]]).count() == 2
+    broken = of((9, "q", ["w"])).withColumn("bad", F.when(F.col("source_id") == 9, F.raise_error(F.lit("broken"))).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_sources(broken, path)
+    assert stored.read("sources").count() == 8
+    with pytest.raises(FileNotFoundError):
+        sinks.Committed(spark, str(tmp_path / "none")).read("sources")
+
+
 def test_embeddings(spark):
     class Broken(embedding.HashEmbedder):
         def embed(self, texts):

@@ -14,7 +14,7 @@ from tessera.operators import retrieval as rt
 from tessera.plans.base import query, table
 from tessera.sources import pages, sinks
 from tessera.session import shared_folder
-from tessera.streaming import frames
+from tessera.streaming import frames, run_source
 
 KIND = "CASE event_type WHEN 'view' THEN 'tool.started' WHEN 'click' THEN 'tool.completed' WHEN 'error' THEN 'model.error' WHEN 'purchase' THEN 'subagent.end' ELSE 'internal.note' END"
 STATUS = "CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'timed_out' ELSE 'odd' END"
@@ -286,6 +286,22 @@ def resume_stream(spark: SparkSession, sf: str) -> DataFrame:
     return store.resumed(e, last_event_id="500-0", retained=40).select("run_id", "event", "place")
 
 
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events), l AS (SELECT user_id, event_id FROM k WHERE back <= 40 AND event_id > 500),
+g AS (SELECT e.user_id FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id > 500 GROUP BY user_id) e LEFT JOIN (SELECT user_id, count(*) AS n FROM l GROUP BY user_id) g ON g.user_id = e.user_id WHERE e.n > coalesce(g.n, 0))
+SELECT l.user_id::VARCHAR AS run_id, l.event_id || '-0' AS id, event_type AS event FROM l JOIN events e ON e.event_id = l.event_id UNION ALL SELECT user_id::VARCHAR, NULL, 'gap' FROM g""")
+def resume_from_journal(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stream: events are two batches of a journal, and a reader of it comes back with an id."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ms"), F.lit(0).cast("long").alias("n"), F.col("event_type").alias("event"), F.lit("{}").alias("data"))
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for number, part in enumerate((e.where("ms % 2 = 0"), e.where("ms % 2 = 1"))):
+        run_source.append_batch(part, f"{folder}/journal", number)
+    stream = run_source.register(spark).readStream.format("run_events").options(path=f"{folder}/journal", last_event_id="500-0", retained="40").load()
+    reader = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    reader.processAllAvailable()
+    reader.stop()
+    return spark.read.parquet(f"{folder}/out").select("run_id", "id", "event")
+
+
 @query("""WITH h AS (SELECT conv_id AS c, max(turn) AS most FROM conversations WHERE turn < 2 GROUP BY conv_id) SELECT conv_id, turn, (coalesce(most, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS reference_index FROM conversations LEFT JOIN h ON c = conv_id WHERE turn >= 2""")
 def material_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Later turns as new materials of a conversation, numbered on from its first ones."""

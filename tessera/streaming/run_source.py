@@ -1,12 +1,13 @@
 """Runs as a stream source whose offsets are event ids.
 
-A run writes its events (run_id, ms, n, event, data) to a journal, a folder of ``batch=...`` folders as ``write_journal`` leaves
-them, and goes on whether or not anyone reads.  A reader is a streaming query of its own: ``format("run_events")`` with the
+A run writes its events (run_id, ms, n, event, data) to a journal in batches (``write_runs``), and goes on whether or not
+anyone reads.  A reader is a streaming query of its own: ``format("run_events")`` with the
 journal's ``path``, maybe one ``run``, the ``last_event_id`` (digits-digits) that it has seen, how many events of a run are
 ``retained``, and ``heartbeat`` seconds.  Its checkpoint holds the last id of each run, so it goes on where it stopped.
 
 Where events after a reader's id are no longer retained it gets a ``gap`` first.  A reader that hears nothing for ``heartbeat``
-seconds gets one row of that name.  Batches count from when their writer marked them as complete.
+seconds gets one row of that name.  A batch counts once its writer has written what ids it holds; that small table is what the
+driver reads.  A reader's share of a micro-batch, the events of a few runs since its last one, is held by one task.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 Id = tuple[int, int]
 NEVER: Id = (-1, -1)
@@ -43,34 +48,50 @@ class RunRange(InputPartition):
     """Events of some runs, each after one id and up to another, and the batches that may hold them."""
 
     runs: dict[str, tuple[Id, Id]]
-    files: list[str]
+    batches: list[str]
     heartbeat: bool = False
 
 
+def append_batch(events: DataFrame, path: str, number: int) -> None:
+    """Writes events (run_id, ms, n, event, data) as a batch of the journal, and then which ids of which runs it holds, by which
+    it is complete; under the same number it replaces itself."""
+    events.select(F.col("run_id").cast("string").alias("run_id"), "ms", "n", "event", "data").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+    held = events.sparkSession.read.parquet(f"{path}/events/batch={number}").groupBy("run_id").agg(F.min(F.struct("ms", "n")).alias("lo"), F.max(F.struct("ms", "n")).alias("hi"))
+    held.select("run_id", "lo.ms", "lo.n", F.col("hi.ms").alias("hi_ms"), F.col("hi.n").alias("hi_n")).write.mode("overwrite").parquet(f"{path}/ids/batch={number}")
+
+
+def write_runs(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream of events as batches of a journal; takes all there is and ends."""
+    return events.writeStream.foreachBatch(lambda batch, number: append_batch(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Journal:
-    """What complete batches of a journal hold; a batch's ids are read once."""
+    """The runs and ids of a journal's complete batches, each read once: a row a run and batch."""
 
     def __init__(self, path: str):
         from pyarrow import fs
 
         self.files, self.root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        self.ids: dict[str, dict[str, tuple[Id, Id]]] = {}  # by file: each run's smallest and largest id
+        self.ids: dict[str, dict[str, tuple[Id, Id]]] = {}  # by batch: each run's smallest and largest id
 
-    def refresh(self) -> None:
-        import pyarrow.parquet as pq
+    def listed(self, folder: str) -> list[str]:
         from pyarrow import fs
 
-        found = self.files.get_file_info(fs.FileSelector(self.root, recursive=True, allow_not_found=True))
-        complete = {f.path.rpartition("/")[0] for f in found if f.base_name == "_SUCCESS"}
-        for f in found:
-            if f.base_name.endswith(".parquet") and f.path.rpartition("/")[0] in complete and f.path not in self.ids:
-                mine: dict[str, tuple[Id, Id]] = {}
-                with self.files.open_input_file(f.path) as source:
-                    for batch in pq.ParquetFile(source).iter_batches(columns=["run_id", "ms", "n"]):
-                        for run, *i in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                            lo, hi = mine.get(str(run), (tuple(i), tuple(i)))
-                            mine[str(run)] = (min(lo, tuple(i)), max(hi, tuple(i)))
-                self.ids[f.path] = mine
+        return sorted(f.path for f in self.files.get_file_info(fs.FileSelector(f"{self.root}/{folder}", recursive=True, allow_not_found=True)))
+
+    def rows(self, path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        with self.files.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(columns=columns)
+
+    def refresh(self) -> None:
+        found = self.listed("ids")
+        for done in (f.rpartition("/")[0] for f in found if f.endswith("/_SUCCESS")):
+            name = done.rpartition("/")[2]
+            if name not in self.ids:
+                parts = [b for f in found if f.startswith(done + "/") and f.endswith(".parquet") for b in self.rows(f, ["run_id", "ms", "n", "hi_ms", "hi_n"])]
+                self.ids[name] = {run: ((ms, n), (hi_ms, hi_n)) for b in parts for run, ms, n, hi_ms, hi_n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
 
     def latest(self) -> dict[str, Id]:
         out: dict[str, Id] = {}
@@ -113,30 +134,25 @@ class RunReader(DataSourceStreamReader):
         for part in range(self.parallel):
             runs = dict(list(wanted.items())[part :: self.parallel])
             if runs:
-                # a run's retained events may reach back before the reader's id, never past it in what is read
-                files = [f for f, held in self.journal.ids.items() if any(run in held and held[run][1] > after and held[run][0] <= until for run, (after, until) in runs.items())]
-                out.append(RunRange(runs, files))
+                batches = [b for b, held in self.journal.ids.items() if any(run in held and held[run][1] > after and held[run][0] <= until for run, (after, until) in runs.items())]
+                out.append(RunRange(runs, batches))
         if not out and end.get("beat", 0) > start.get("beat", 0):
             return [RunRange({}, [], True)]
         return out
 
     def read(self, partition: RunRange) -> Iterator[tuple]:
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
         if partition.heartbeat:
             yield None, None, "heartbeat", "{}"
             return
         journal, events = Journal(self.path), {run: [] for run in partition.runs}
-        for path in partition.files:
-            with journal.files.open_input_file(path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(columns=["run_id", "ms", "n", "event", "data"]):
-                    held = pc.cast(batch.column(0), "string")
-                    rows = batch.filter(pc.is_in(held, value_set=_strings(partition.runs)))
-                    for run, ms, n, event, data in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                        after, until = partition.runs[str(run)]
-                        if after < (ms, n) <= until:
-                            events[str(run)].append(((ms, n), event, data))
+        wanted = pa.array(list(partition.runs), pa.string())
+        for path in (f for b in partition.batches for f in journal.listed(f"events/{b}") if f.endswith(".parquet")):
+            for batch in journal.rows(path, ["run_id", "ms", "n", "event", "data"]):
+                rows = batch.filter(pc.is_in(batch.column(0), value_set=wanted))
+                for run, ms, n, event, data in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    after, until = partition.runs[run]
+                    if after < (ms, n) <= until:
+                        events[run].append(((ms, n), event, data))
         for run, found in sorted(events.items()):
             found.sort()
             if len(found) > self.retained and partition.runs[run][0] != NEVER:
@@ -148,12 +164,6 @@ class RunReader(DataSourceStreamReader):
         pass
 
 
-def _strings(values) -> object:
-    import pyarrow as pa
-
-    return pa.array(list(values), pa.string())
-
-
 class RunEvents(DataSource):
     """(run_id, id, event, data) of runs; see the module."""
 

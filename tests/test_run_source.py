@@ -5,14 +5,13 @@ import time
 import pytest
 
 from tessera.operators import store
-from tessera.streaming import journal_sink
 from tessera.streaming import run_source as rs
 
 SCHEMA = "run_id string, ms long, n long, event string, data string"
 
 
 def batch(spark, path, number, rows):
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{path}/batch={number}")
+    rs.append_batch(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(path), number)
 
 
 def reader(spark, journal, folder, **options):
@@ -55,7 +54,7 @@ def test_an_unfinished_batch_is_invisible(spark, tmp_path):
     journal = tmp_path / "journal"
     batch(spark, journal, 0, [("a", 1, 0, "seen", "{}")])
     batch(spark, journal, 1, [("a", 2, 0, "unfinished", "{}")])
-    (journal / "batch=1" / "_SUCCESS").unlink()
+    (journal / "ids" / "batch=1" / "_SUCCESS").unlink()
     drain(reader(spark, journal, tmp_path / "r").start())
     assert got(spark, tmp_path / "r") == [("a", "1-0", "seen")]
 
@@ -74,7 +73,7 @@ def test_heartbeat(spark, tmp_path):
 def test_a_run_goes_on_without_readers(spark, tmp_path):
     source, journal = tmp_path / "in", tmp_path / "journal"
     spark.createDataFrame([("a", 1, 0, "first", "{}")], SCHEMA).coalesce(1).write.parquet(f"{source}/0")
-    run = lambda: journal_sink.write_journal(spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(source)), str(journal), f"{tmp_path}/run").awaitTermination()
+    run = lambda: rs.write_runs(spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(source)), str(journal), f"{tmp_path}/run").awaitTermination()
     run()
     drain(reader(spark, journal, tmp_path / "r").start())
     spark.createDataFrame([("a", 2, 0, "second", "{}")], SCHEMA).coalesce(1).write.parquet(f"{source}/1")

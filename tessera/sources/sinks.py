@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,11 +49,18 @@ class Committed:
         folder = self._java(f"{self.path}/commits")
         return sorted(f.getPath().getName() for f in self._fs.listStatus(folder) if "." not in f.getPath().getName()) if self._fs.exists(folder) else []
 
-    def write(self, **tables: DataFrame) -> str:
-        """The batch's name."""
+    def write(self, *, check: Callable[[], None] | None = None, **tables: DataFrame) -> str:
+        """The batch's name.  ``check`` is called once the tables are staged; if it raises, or a table can't be written, nothing
+        is left."""
         stage = f"{self.path}/staged/{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{stage}/{name}")
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{stage}/{name}")
+            if check:
+                check()
+        except BaseException:
+            self._fs.delete(self._java(stage), True)
+            raise
         written = {name: self.spark.read.schema(df.schema).parquet(f"{stage}/{name}") for name, df in tables.items()}
         batch = _content_name(*written.values())
         manifest, target = self._java(f"{self.path}/commits/{batch}"), self._java(f"{self.path}/batches/{batch}")

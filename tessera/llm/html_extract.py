@@ -5,12 +5,12 @@ distinct pages (copies of a page count once) two distributions are counted for e
 of its text) and that of its presentation (a hash of its children's labels).  Their normalised entropies are 0 where
 all pages agree and 1 where all differ.  Two importances decide which branches go from every page of the host:
 
-- a content node whose text hardly varies (both entropies weighed together, below ``threshold``) is boilerplate,
-  wherever it stands;
+- a content node whose text hardly varies (both entropies weighed together, below ``threshold``) is boilerplate; inside
+  the article, where headings may repeat, only if it also has the name of another part (a box to share or subscribe);
 - outside the article, the children of one presentation node compete by information, the entropy of their content
-  times their mean length.  Beside a branch that holds the article all others go; else one that is labelled as a
-  menu, footer, sidebar or the like goes unless it is the most informative, and in a template (a presentation
-  node whose own children hardly vary) so does one with less than ``least_share`` of the greatest information.
+  times their mean length.  In a template (a presentation node whose own children hardly vary) one with less than
+  ``least_share`` of the greatest information goes.  Of the others those beside a branch that holds the article, and
+  those labelled as a menu, footer, sidebar or the like, go unless they are the most informative.
 
 The tree judges nodes that stand in at least ``least_pages`` and ``least_part`` of a host's distinct pages, so the list
 of a host's low nodes is at most the nodes of 1 / ``least_part`` pages, however many pages there are.  Where it has no
@@ -47,10 +47,10 @@ from tessera.llm.tables import broadcast_if_small, stored
 
 # HTML's element kinds, and labels of page parts that are not the article.
 RAW = frozenset("script style noscript iframe textarea".split())  # content is no markup
-MEDIA = frozenset("template svg object select button canvas math video audio".split())  # content is markup, never the article
+MEDIA = frozenset("template svg object select button canvas video audio annotation annotation-xml".split())  # content is markup, never the article
 HEAD = frozenset("base link meta title script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 FLOWING = INLINE | MEDIA
 LANDMARKS = frozenset("nav footer aside header dialog menu".split())
 FORMS = frozenset("form fieldset".split())
@@ -75,10 +75,10 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 @lru_cache(8192)
-def _label(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
-    """An element's label in the style tree, and its kind: '' for content, 'part' for a part of the page that is not the
-    article, 'never' for what is no part of any.  ``inside`` an article names say little."""
-    label = tag
+def _label(tag: str, attributes: str, inside: bool) -> tuple[str, str, bool]:
+    """An element's label in the style tree, its kind: '' for content, 'part' for a part of the page that is not the
+    article, 'never' for what is no part of any; and whether it has a part's name ``inside`` an article, which says little."""
+    label, named = tag, False
     part, never = tag in LANDMARKS and not (inside and tag == "header"), tag in FORMS
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
@@ -91,14 +91,15 @@ def _label(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
             names = value.lower().split()
             if inside:
                 never = never or not SURE.isdisjoint(names)
+                named = named or any(PARTS.fullmatch(n) or VARYING.fullmatch(n) for n in names)
             elif tag not in INLINE:
                 never = never or any(VARYING.fullmatch(n) for n in names)
                 part = part or any(PARTS.fullmatch(n) for n in names)
     if tag in ("html", "body"):
-        return label, ""
+        return label, "", False
     if tag in ("article", "main") and not SECONDARY.search(label):  # comments and teasers are often articles themselves
-        return label, ""
-    return label, "never" if never or part and inside else "part" if part else ""
+        return label, "", False
+    return label, "never" if never or part and inside else "part" if part else "", named
 
 
 def _hash(text: str) -> int:
@@ -175,11 +176,12 @@ def _dropped(parts: list[_Part], blocks: list[list[tuple]]) -> set[int]:
 @dataclass
 class Page:
     """What may be main text: blocks (path, text, whether labels alone would keep it), and the labels of each node's
-    children.  ``parts`` are the nodes of page parts that aren't the article."""
+    children.  ``parts`` are the nodes of page parts that aren't the article, ``named`` those inside it that have such a name."""
 
     blocks: list[tuple[tuple[str, ...], str, bool]] = field(default_factory=list)
     children: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
     parts: set[tuple[str, ...]] = field(default_factory=set)
+    named: set[tuple[str, ...]] = field(default_factory=set)
 
 
 def parse_page(page: str) -> Page:
@@ -258,7 +260,9 @@ def parse_page(page: str) -> Page:
         if tag not in FLOWING:
             flush()
         chain, holders = stack[-1][1:] if stack else ((), None)
-        label, kind = _label(tag, attributes, holders is not None)
+        label, kind, named = _label(tag, attributes, holders is not None)
+        if named:
+            out.named.add((*paths[-1], label))
         if tag in MEDIA or tag == "head":
             kind = "never"
         if kind:
@@ -313,14 +317,15 @@ def _depth(path: tuple[str, ...], part: str) -> int:
     return next((i + 1 for i, x in enumerate(path) if _is(x, part)), 0)
 
 
-INSIDE, PART, HOLDS, NO_BRANCH = 1, 2, 4, 8
+INSIDE, PART, HOLDS, NO_BRANCH, NAMED = 1, 2, 4, 8, 16
 _NO_BRANCH = re.compile(rf"(?:h[1-6]|{'|'.join(sorted(INLINE))})(?:[.#]|\Z)", re.S)
 
 
 def tree_of(page: Page) -> tuple[list[bool], dict[tuple[str, ...], tuple[list[str], int]]]:
     """Which blocks labels alone make the main text, and the texts and flags of every node.
 
-    Flags: inside the article, labelled as another part, holding the article, a heading or an inline element.
+    Flags: inside the article, labelled as another part, holding the article, a heading or an inline element, inside the
+    article with the name of another part.
     """
     kept = [b for b in page.blocks if b[2]]
     region = next((part for part in ("article", "main") if any(_depth(b[0], part) for b in kept)), None)
@@ -335,6 +340,8 @@ def tree_of(page: Page) -> tuple[list[bool], dict[tuple[str, ...], tuple[list[st
                 flags |= HOLDS if i <= depth else INSIDE
             if path[:i] in page.parts:
                 flags |= PART
+            if path[:i] in page.named:
+                flags |= NAMED
             if _NO_BRANCH.match(path[i - 1]):
                 flags |= NO_BRANCH
             nodes[path[:i]] = (texts, flags)
@@ -388,8 +395,8 @@ def low_nodes(once: DataFrame, *, threshold: float, style_weight: float, least_p
     judged = judged.join(family, ["host", "parent"]).join(above, ["host", "parent"], "left")
     repeated = (1 - style_weight) * F.col("content") + style_weight * F.col("style") < threshold
     small = (F.coalesce("template", F.lit(0.0)) < 0.5) & (F.col("information") < least_share * F.col("best")) & ~flag(NO_BRANCH)
-    loses = F.col("beside_article") | flag(PART) & (F.col("information") < F.col("best")) | small
-    goes = repeated | ~flag(INSIDE) & ~flag(HOLDS) & loses
+    unclear = (F.col("beside_article") | flag(PART)) & (F.col("information") < F.col("best"))
+    goes = F.when(flag(HOLDS), False).when(flag(INSIDE), repeated & flag(NAMED)).otherwise(repeated | small | unclear)
     lists = judged.groupBy("host").agg(F.collect_list(F.when(goes, F.col("node"))).alias("low"), F.collect_list(F.when(flag(PART), F.col("node"))).alias("parts"))
     return hosts.select("host").join(lists, "host", "left").select("host", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("low", "parts")])
 

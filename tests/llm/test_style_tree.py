@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import html_extract
-from tessera.llm.html_extract import HOLDS, INSIDE, NO_BRANCH, PART
+from tessera.llm.html_extract import HOLDS, INSIDE, NAMED, NO_BRANCH, PART
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -41,20 +41,21 @@ def brute(pages, threshold=0.1, style_weight=0.1, least_pages=3, least_part=0.01
                 seen[path].append(("\n".join(texts), " ".join(page.children.get(path, ())), sum(map(len, texts)), flags))
         content = {p: entropy([r[0] for r in rows]) for p, rows in seen.items()}
         style = {p: entropy([r[1] for r in rows]) for p, rows in seen.items()}
-        flags = {p: [any(r[3] & bit for r in rows) for bit in (INSIDE, PART, HOLDS, NO_BRANCH)] for p, rows in seen.items()}
+        flags = {p: [any(r[3] & bit for r in rows) for bit in (INSIDE, PART, HOLDS, NO_BRANCH, NAMED)] for p, rows in seen.items()}
         information = {p: content[p] * sum(r[2] for r in rows) / len(rows) for p, rows in seen.items()}
         low[host], parts[host] = set(), set()
         for p, rows in seen.items():
             if len(rows) < least_pages or len(rows) < least_part * len(distinct):
                 continue
             family = [q for q in seen if q[:-1] == p[:-1]]
-            inside, part, holds, no_branch = flags[p]
+            inside, part, holds, no_branch, named = flags[p]
             if part:
                 parts[host].add(p)
             best = max(information[q] for q in family)
             small = style.get(p[:-1], 0.0) < 0.5 and information[p] < least_share * best and not no_branch
-            loses = any(flags[q][2] for q in family) or part and information[p] < best or small
-            if (1 - style_weight) * content[p] + style_weight * style[p] < threshold or not inside and not holds and loses:
+            unclear = (any(flags[q][2] for q in family) or part) and information[p] < best
+            repeated = (1 - style_weight) * content[p] + style_weight * style[p] < threshold
+            if not holds and (repeated and named if inside else repeated or small or unclear):
                 low[host].add(p)
     out = []
     for host, page, plain, _ in parsed:
@@ -106,7 +107,7 @@ def test_the_tree_decides(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "low_nodes", lambda once, **k: low_nodes(once, **k).withColumn("low", F.array().cast("array<bigint>")))
     without = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
     changed = [i for i, (h, p) in enumerate(pages) if h != "lone" and p and with_tree[i] != without[i]]
-    assert len(changed) > 0.9 * len(pages)
+    assert len(changed) > 0.5 * len(pages)
     assert "Share this story" not in " ".join(with_tree[i] for i, (h, _) in enumerate(pages) if h == "h0")
 
 
@@ -120,7 +121,31 @@ def test_names_and_attributes_do_not_cut_an_article(spark):
     assert got[11] == "Title one 1 two 1 three four five 1 six w" and " x" not in got[12]
 
 
-def test_text_that_a_whole_host_repeats_goes_even_from_articles(spark):
-    rows = [(i, f"http://a/{i}", f"<body><article><p>Story {i}</p><div class=box><p>Follow us for more.</p></div><p>of {i * i}</p></article></body>") for i in range(8)]
+def test_repeated_text_stays_in_articles_unless_it_has_a_parts_name(spark):
+    rows = [(i, f"http://a/{i}", f"<body><article><h2>Introduction</h2><p>Story {i}</p><div class=box><p>As always.</p></div><div class=share><p>Follow us for more.</p></div><p>of <math><mi>x</mi><mo>=</mo><mn>{i * i}</mn></math></p></article></body>") for i in range(8)]
     got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[3] == "Story 3 of 9"
+    assert got[3] == "Introduction Story 3 As always. of x=9"
+
+
+def plain_divs(n=60):
+    """Pages without landmarks, article tags or telling names: a menu that repeats, a line that varies, a text, a foot."""
+    rnd = random.Random(6)
+    words = [f"{a}{b}" for a in "bcdfgl" for b in ("an", "ei", "or", "um", "yst")]
+    some = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    rows, texts = [], {}
+    for i in range(n):
+        paragraphs = [some(rnd.randint(20, 60)) for _ in range(rnd.randint(2, 6))]
+        texts[i] = " ".join(paragraphs)
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        rows.append((i, f"http://plain/{i}", f"<body><div class=c1><a href=/>Home</a> <a href=/n>News</a></div><div class=c2>{some(3)}</div><div class=c3>{body}</div><div class=c4>page {i} {some(2)}</div></body>"))
+    return rows, texts
+
+
+def test_entropy_decides_where_no_label_helps(spark):
+    """Labels alone fail on such pages, and each of the two entropy tests is needed."""
+    rows, texts = plain_divs()
+    df = spark.createDataFrame(rows, SCHEMA)
+    of = lambda **how: {r.page_id: r.text for r in html_extract.extract_main_text(df, **how).collect()}
+    assert of() == texts
+    changed = lambda **how: sum(t != texts[i] for i, t in of(**how).items())
+    assert changed(least_pages=10**9) == changed(threshold=-1, least_share=-1) == changed(least_share=-1) == len(rows)

@@ -137,7 +137,7 @@ def plain_divs(n=60):
         paragraphs = [some(rnd.randint(20, 60)) for _ in range(rnd.randint(2, 6))]
         texts[i] = " ".join(paragraphs)
         body = "".join(f"<p>{p}</p>" for p in paragraphs)
-        rows.append((i, f"http://plain/{i}", f"<body><div class=c1><a href=/>Home</a> <a href=/n>News</a></div><div class=c2>{some(3)}</div><div class=c3>{body}</div><div class=c4>page {i} {some(2)}</div></body>"))
+        rows.append((i, f"http://plain/{i}", f"<body><div class=qa><a href=/>Home</a> <a href=/n>News</a></div><div class=qb>{some(3)}</div><div class=qc>{body}</div><div class=qd>page {i} {some(2)}</div></body>"))
     return rows, texts
 
 

@@ -12,8 +12,8 @@ radius r = sqrt(2 - 2t).
 4. Cells join independently: members against members and replicas.  Each member meets every partner in its own
    cell exactly once, so its links are counted there alone.  Large cells are dealt in blocks of ``block`` members by
    ``block`` candidates, so a task holds one pair of blocks at a time.
-5. A block pair returns link counts and only a spanning forest of the links it found; forests are merged to
-   components.
+5. A block pair returns link counts and only a spanning forest of the links it found, which grows while the pair is
+   compared, so links that join nothing are never held; forests are merged to components.
 
 How many pivots, and R, are what costs least by the replicas and pairs that the sample measures, so the number of
 cells grows with a label that falls into clusters; where all vectors of a label are about equally far from each
@@ -119,48 +119,48 @@ def _place_group(t: pa.Table, chosen: pa.Table, radius: float) -> pa.Table:
     return rows.append_column("cell", pa.array(cell.astype(np.int32))).append_column("native", pa.array(home[row] == cell))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which links join parts that earlier links had not joined."""
-    parent: dict[int, int] = {}
-    keep = np.zeros(len(a), bool)
+class _Forest:
+    """Which links join what earlier links had not joined; parts are labels in an array, so that a row that links with
+    thousands of one part costs a few operations on arrays."""
 
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = parent[x]
-        return x
+    def __init__(self, size: int):
+        self.part = np.arange(size)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
 
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
+    def add(self, node: int, others: np.ndarray) -> None:
+        """Links of one node."""
+        open_ = others[self.part[others] != self.part[node]]
+        if not len(open_):
+            return
+        parts, first = np.unique(self.part[open_], return_index=True)
+        self.a.append(np.full(len(first), node))
+        self.b.append(open_[first])
+        self.part[np.isin(self.part, parts)] = self.part[node]
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (self.a, self.b))
 
-def _join_blocks(t: pa.Table, threshold: float) -> pa.Table:
+
+def _join_blocks(t: pa.Table, threshold: float, step: int = 512) -> pa.Table:
+    """Link counts of a block's members, and a spanning forest of the links; ``step`` members are compared at a time."""
     mine = t.column("member").to_numpy(zero_copy_only=False)
     ids, n = t.column("cid").to_numpy(), t.column("n").to_numpy()
     x = _matrix(t.column("v"))
     norm = np.sqrt((x * x).sum(axis=1))
     left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-    out_a, out_n, link_a, link_b = [], [], [], []
-    for lo in range(0, len(left), 512):
-        a = left[lo : lo + 512]
+    known, number = np.unique(ids, return_inverse=True)  # a class can be a member and a candidate
+    forest, counts = _Forest(len(known)), np.zeros(len(left), np.int64)
+    for lo in range(0, len(left), step):
+        a = left[lo : lo + step]
         cosine = (x[a] @ x[right].T) / np.outer(norm[a], norm[right])
         linked = (cosine >= threshold) & (ids[a][:, None] != ids[right][None, :])
-        out_a.append(ids[a])
-        out_n.append(linked @ n[right])
-        i, j = np.nonzero(linked)
-        link_a.append(ids[a][i])
-        link_b.append(ids[right][j])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (link_a, link_b))
-    keep = _forest(a, b)
-    cid = np.concatenate([*out_a, a[keep]])
-    count = np.concatenate([*out_n, np.zeros(keep.sum(), np.int64)])
-    counted = len(cid) - keep.sum()
-    other = pa.array(np.concatenate([np.zeros(counted, np.int64), b[keep]]), mask=np.arange(len(cid)) < counted)
-    return pa.table({"cid": pa.array(cid, pa.int64()), "n_links": pa.array(count.astype(np.int64)), "other": other})
+        counts[lo : lo + step] = linked @ n[right]
+        for i in np.flatnonzero(linked.any(axis=1)):
+            forest.add(number[a[i]], number[right[linked[i]]])
+    a, b = (known[z] for z in forest.links())
+    other = pa.array(np.concatenate([np.zeros(len(left), np.int64), b]), mask=np.arange(len(left) + len(a)) < len(left))
+    return pa.table({"cid": pa.array(np.concatenate([ids[left], a]), pa.int64()), "n_links": pa.array(np.concatenate([counts, np.zeros(len(a), np.int64)])), "other": other})
 
 
 def placed_classes(classes: DataFrame, *, radius: float, sample: int) -> DataFrame:

@@ -72,3 +72,23 @@ def test_text_ids_and_double_vectors(spark):
     got = ed.embedding_dedup(df).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id) == brute_links(rows[:-1])
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
+def test_a_dense_group_holds_no_links(spark):
+    """Thousands of near-equal vectors in one block: every pair links, a spanning forest comes back."""
+    import resource
+    import time
+
+    import pyarrow as pa
+
+    from tessera.llm.embedding_dedup import _join_blocks
+
+    n = 4000
+    rnd = np.random.RandomState(1)
+    x = rnd.normal(size=16) + rnd.normal(size=(n, 16)) * 0.02
+    flat, ids = np.concatenate([x, x]).ravel(), np.tile(np.arange(n), 2)
+    t = pa.table({"member": pa.array(np.arange(2 * n) < n), "cid": pa.array(ids), "n": pa.array(np.ones(2 * n, np.int64)), "v": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 16).astype(np.int32)), pa.array(flat))})
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = _join_blocks(t, 0.93)
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    assert out.num_rows == 2 * n - 1 and set(out.column("n_links").to_numpy()[:n]) == {n - 1}

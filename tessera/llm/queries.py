@@ -25,6 +25,11 @@ def _fold(col: str, folds: int) -> Column:
     return F.crc32(F.col(col).cast("string")) % folds
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    """Whether a document is in the fold that nothing is learned from; one without an id isn't."""
+    return F.coalesce(_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
@@ -32,7 +37,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.train(docs, allowed=_fold("id", 3) != 1)
-    return language_id.identify(docs, profiles).select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, profiles).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, allowed=_fold("id", 5) != 0)
-    return score_toxicity(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def find_exponent(shares: DataFrame, *, entropy_share: float, most_repeats: floa
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float = 0.98, most_repeats: float = 2.0, budget_factor: float = 1.0, seed: int = 1, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, source, n_words, weight (of its source), copies (times to read it), last_block (its
-    block in the last epoch).  With ``carry`` the input row comes along as a struct ``row``.
+    block in the last epoch).  With ``carry`` the input row comes along as a struct ``row``, and what ``readings`` needs.
     """
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
     rows = docs.select(F.col(id_col).alias("id"), name.alias("name"), F.col(source_col).alias("source"), word_count(text_col).alias("n_words"), *([F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")] if carry else []))
@@ -73,7 +73,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sums = stored(rows.groupBy("source").agg(F.sum("n_words").alias("words"), F.count("*").alias("docs")), "sources")
     total = sums.agg(F.sum("words")).first()[0] or 0
     if total == 0:
-        return rows.select(F.col("id").alias(id_col), "source", "n_words", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("last_block"), *(["row"] if carry else []))
+        return rows.select(F.col("id").alias(id_col), "source", "n_words", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("last_block"), *(["row", "name", F.lit(1.0).alias("span"), F.lit(1).cast("long").alias("blocks")] if carry else []))
     shares = sums.where("words > 0").select((F.col("words") / F.lit(total)).alias("p"))
     power = find_exponent(shares, entropy_share=entropy_share, most_repeats=most_repeats, budget_factor=budget_factor)
     z = shares.agg(F.sum(F.pow("p", F.lit(power)))).first()[0]
@@ -83,18 +83,42 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     plan = plan.withColumn("epochs", F.when(F.col("words") > 0, F.expr("budget div words")).otherwise(1))
     plan = plan.withColumn("rest", F.when(F.col("words") > 0, F.col("budget") - F.col("epochs") * F.col("words")).otherwise(0))
     plan = plan.withColumn("blocks", F.ceil(F.sqrt("docs")))
-    plan = stored(plan.select("source", "words", "weight", "epochs", "rest", "blocks"), "plan")
+    plan = plan.withColumn("span", F.col("epochs") + F.when(F.col("words") > 0, F.col("rest") / F.col("words")).otherwise(0.0))
+    plan = stored(plan.select("source", "words", "weight", "epochs", "rest", "blocks", "span"), "plan")
 
-    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("name")).cast("binary"))
     dealt = rows.join(plan, rows.source.eqNullSafe(plan.source)).drop(plan.source)
-    dealt = dealt.withColumn("turn", turn).withColumn("block", F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("blocks")))
+    dealt = dealt.withColumn("turn", _turn(seed, F.col("epochs"))).withColumn("block", _block())
     sizes = dealt.groupBy("source", "block").agg(F.sum("n_words").alias("block_words"))
     before = F.coalesce(F.sum("block_words").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = stored(sizes.select("source", "block", before.alias("start")), "blocks")
     placed = dealt.join(starts.select(F.col("source").alias("s"), F.col("block").alias("b"), "start"), dealt.source.eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     inside = F.coalesce(F.sum("n_words").over(W.partitionBy("source", "block").orderBy("turn", "n_words").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     more = (F.col("start") + inside < F.col("rest")).cast("long")
-    return placed.select(F.col("id").alias(id_col), "source", "n_words", "weight", (F.col("epochs") + more).cast("long").alias("copies"), F.col("block").cast("long").alias("last_block"), *(["row"] if carry else []))
+    return placed.select(F.col("id").alias(id_col), "source", "n_words", "weight", (F.col("epochs") + more).cast("long").alias("copies"), F.col("block").cast("long").alias("last_block"), *(["row", "name", "span", "blocks"] if carry else []))
+
+
+def readings(docs: DataFrame, *, seed: int = 1, **how) -> DataFrame:
+    """(row, epoch, block, place): a row for each time that a row of ``docs`` is read.
+
+    An epoch of a source deals its documents to blocks anew; blocks follow each other, and within one the turns.  ``place``,
+    from 0 to 1, is how far a source has got with its budget, so in its order the sources are mixed by their weights at
+    every point, and the readings of one document lie an epoch apart.
+    """
+    mixed = mix_sources(docs, carry=True, seed=seed, **how).where("copies > 0")
+    each = mixed.select("row", "name", "span", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
+    each = each.withColumn("turn", _turn(seed, F.col("epoch"))).withColumn("block", _block())
+    inside = F.conv(F.substring("turn", 9, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    at = (F.col("epoch") + (F.col("block") + inside) / F.col("blocks")) / F.greatest("span", F.lit(1e-9))
+    return each.select("row", "epoch", "block", at.alias("place"))
+
+
+def _turn(seed: int, epoch: Column) -> Column:
+    """What deals a document (``name``) in an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("name")).cast("binary"))
+
+
+def _block() -> Column:
+    return F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("blocks"))
 
 
 def oracle() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.mixing import mix_sources
+from tessera.llm.mixing import readings
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
@@ -46,10 +46,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for.  A null source is a source of its own; a text without a
-    word costs nothing; rows that repeat are dealt each by itself."""
-    mixed = mix_sources(docs, carry=True)
-    return mixed.select(F.explode(F.expr("array_repeat(row, cast(copies as int))")).alias("r")).select("r.*")
+    """Each document as often as its source's weight asks for, every file in the order of the mixture: sources side by side,
+    the readings of a document apart.  A null source is a source of its own; a text without a word costs nothing; rows that
+    repeat are dealt each by itself."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mixed = readings(docs).repartition(files, F.floor(F.col("place") * files)).sortWithinPartitions("place")
+    return mixed.select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

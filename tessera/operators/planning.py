@@ -173,6 +173,13 @@ def turn_failures(answer: Column, *, required: Sequence[Sequence[str]] = (), for
     return messages(rules)
 
 
+def persisted_ids(expected: DataFrame, stored: DataFrame, *, thread: str, key: str) -> DataFrame:
+    """Per thread: ids that were sent and aren't stored, ids that are stored and weren't sent, and whether the sets are equal."""
+    sides = expected.select(thread, key).distinct().withColumn("_sent", F.lit(True)).join(stored.select(thread, key).distinct().withColumn("_kept", F.lit(True)), [thread, key], "full")
+    out = sides.groupBy(thread).agg(F.count_if(F.col("_kept").isNull()).alias("missing"), F.count_if(F.col("_sent").isNull()).alias("unexpected"))
+    return out.withColumn("equal", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
 def persistence_failures(messages_: DataFrame, *, thread: str, order: str, role: str, run: str) -> DataFrame:
     """Per thread: messages, whether roles alternate from the user on, and how many runs don't have exactly two messages."""
     from pyspark.sql import Window as W

@@ -219,6 +219,16 @@ def persistence_check(spark: SparkSession, sf: str) -> DataFrame:
     return planning.persistence_failures(said, thread="conv_id", order="turn", role="role", run="run")
 
 
+@query("""WITH s AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 5 <> 0 OR turn <> 1), x AS (SELECT conv_id, turn + 100 AS turn FROM conversations WHERE conv_id % 7 = 0 AND turn = 0),
+b AS (SELECT coalesce(c.conv_id, k.conv_id) AS conv_id, c.turn IS NULL AS unexpected, k.turn IS NULL AS missing FROM (SELECT DISTINCT conv_id, turn FROM conversations) c FULL JOIN (SELECT DISTINCT * FROM (SELECT * FROM s UNION ALL SELECT * FROM x)) k ON c.conv_id = k.conv_id AND c.turn = k.turn)
+SELECT conv_id, count(*) FILTER (missing) AS missing, count(*) FILTER (unexpected) AS unexpected, count(*) FILTER (missing OR unexpected) = 0 AS equal FROM b GROUP BY conv_id""")
+def persisted_turn_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that were said against turns that are stored: some conversations lack their second, some have one too many."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn")
+    stored = said.where("conv_id % 5 <> 0 or turn <> 1").unionByName(said.where("conv_id % 7 = 0 and turn = 0").withColumn("turn", F.col("turn") + 100))
+    return planning.persisted_ids(said, stored, thread="conv_id", key="turn")
+
+
 @query("""SELECT count(*) AS scenario_count, sum(turns)::BIGINT AS agent_turns, sum(failed)::INT AS failures, sum(failed) = 0 AND sum(broken) = 0 AS passed, CASE WHEN sum(broken) = 0 THEN sum(failed) = 0 END AS quality_passed
 FROM (SELECT conv_id, count(*) AS turns, count(*) FILTER (length(text) > 300) AS failed, count(*) FILTER (role = 'system' AND conv_id % 50 = 0) AS broken FROM conversations GROUP BY conv_id)""")
 def suite_result(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,6 +55,25 @@ def qrels_of_matches(records: DataFrame, *, query_id: str, matches: str) -> Data
     return records.select(F.col(query_id).cast("string").alias("query_id"), F.explode(matches).cast("string").alias("doc_id"), F.lit(1).alias("grade"))
 
 
+def read_qrels(spark: SparkSession, path: str, *, query_id: str = "query_id", matches: str = "match_id") -> DataFrame:
+    """(query_id, doc_id, grade, reason) of a file of any of the three shapes, told by how it begins: records that list their
+    matches (an array of them, or one a line), one object of objects, or lines of four fields."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("value")).first()
+    if first is None:
+        raise ValueError("the file holds no judgments")
+    record = f"`{query_id}` string, `{matches}` array<string>"
+    if first.value.startswith("["):
+        records = read_json_array(spark, path, record).select("record.*")
+    elif first.value.startswith("{") and f'"{matches}"' in first.value:
+        records = read_jsonl(spark, path, record).where("record is not null").select("record.*")
+    elif first.value.startswith("{"):
+        nested = read_nested_qrels(spark, path)
+        return nested.withColumn("reason", F.when(F.col("grade").isNull(), "invalid_grade"))
+    else:
+        return read_trec(spark, path)
+    return qrels_of_matches(records, query_id=query_id, matches=matches).withColumn("reason", F.lit(None).cast("string"))
+
+
 def settled_judgments(qrels: DataFrame) -> DataFrame:
     """(query_id, doc_id, grade, repeats); a pair with different grades is an error."""
     pairs = qrels.groupBy("query_id", "doc_id").agg(F.min("grade").alias("grade"), F.max("grade").alias("other"), (F.count("*") - 1).alias("repeats"))

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import loads, records, sinks
+from tessera.sources import loads, readers, records, sinks
 
 ADAPTER = records.ADAPTERS["cail2022-lcr"]
 
@@ -47,6 +47,21 @@ def test_beyond_a_limit_nothing_is_left(spark, file, tmp_path, how):
     assert not target.exists() or [p for p in target.rglob("*.parquet")] == []
 
 
+def test_judgments_of_any_shape(spark, tmp_path):
+    shapes = {
+        "array": json.dumps([{"query_id": 1, "match_id": [7, 8]}, {"query_id": 2, "match_id": []}]),
+        "lines": "\n".join(json.dumps(r) for r in ({"query_id": 1, "match_id": [7, 8]}, {"query_id": 2, "match_id": []})),
+        "nested": json.dumps({"1": {"7": 1, "8": "1"}}),
+        "trec": "\n1 0 7 1\n1 0 8 1\n",
+    }
+    for name, text in shapes.items():
+        (tmp_path / name).write_text(text)
+        assert sorted(tuple(r) for r in readers.read_qrels(spark, str(tmp_path / name)).collect()) == [("1", "7", 1, None), ("1", "8", 1, None)], name
+    (tmp_path / "none").write_text("\n")
+    with pytest.raises(ValueError):
+        readers.read_qrels(spark, str(tmp_path / "none"))
+
+
 def test_a_missing_file(spark, tmp_path):
     with pytest.raises(loads.LoadError):
         load(spark, tmp_path / "none", tmp_path / "t")

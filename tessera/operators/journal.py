@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import numbered
+
 
 def sequenced(df: DataFrame, *, thread: str, order: list[str], base: int = 0) -> DataFrame:
-    """Adds ``seq``: base + position in the thread."""
-    return df.withColumn("seq", F.lit(base) + F.row_number().over(W.partitionBy(thread).orderBy(*order)))
+    """Adds ``seq``: base + position in the thread, however long it is."""
+    return numbered(df, group=[thread], order=order).withColumn("seq", F.lit(base) + F.col("seq"))
 
 
 def keyset_page(df: DataFrame, *, before: int | None, limit: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import numbered
+
 
 def visible_chunks(chunks: DataFrame, sources: DataFrame, *, status: str = "effective") -> DataFrame:
     """Chunks of sources that have the status and are approved."""
@@ -84,14 +86,16 @@ def cascade_delete(parents: DataFrame, children: Sequence[DataFrame], gone: Data
 def call_budget(calls: DataFrame, *, turn: Sequence[str], tool: str, order: Sequence[str], limits: dict[str, int]) -> DataFrame:
     """Adds ``allowed``: whether a call is within its tool's budget for the turn (tools without one: always)."""
     most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    n = F.row_number().over(W.partitionBy(*turn, tool).orderBy(*order))
-    return calls.withColumn("allowed", F.coalesce(n <= F.try_element_at(most, F.col(tool)), F.lit(True)))
+    placed = numbered(calls, group=[*turn, tool], order=order, name="_nth")
+    return placed.withColumn("allowed", F.coalesce(F.col("_nth") <= F.try_element_at(most, F.col(tool)), F.lit(True))).drop("_nth")
 
 
 def call_phase(events: DataFrame, *, run: str, order: Sequence[str], is_call: Column, is_tool: Column) -> DataFrame:
     """Model calls before any tool ran are analysis, later ones synthesis."""
-    seen = F.max(is_tool.cast("int")).over(W.partitionBy(run).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return events.withColumn("phase", F.when(is_call, F.when(F.coalesce(seen, F.lit(0)) == 1, "synthesis").otherwise("analysis")))
+    at = F.struct(*order)
+    first = events.where(is_tool).groupBy(F.col(run).alias("_run")).agg(F.min(at).alias("_first"))
+    both = events.join(first, F.col(run) == F.col("_run"), "left")
+    return both.withColumn("phase", F.when(is_call, F.when(at > F.col("_first"), "synthesis").otherwise("analysis"))).drop("_run", "_first")
 
 
 def after_last(df: DataFrame, *, thread: str, order: str, mark: Column) -> DataFrame:
@@ -218,8 +222,8 @@ def appended(journal: DataFrame, new: DataFrame, runs: DataFrame, *, order: str)
     mine = runs.select("run_id", "owner_id", "thread_id").distinct().withColumn("_ok", F.lit(True))
     checked = new.join(mine, ["run_id", "owner_id", "thread_id"], "left").withColumn("refused", F.col("_ok").isNull()).drop("_ok")
     last = journal.groupBy("thread_id").agg(F.max("seq").alias("_last"))
-    nth = F.row_number().over(W.partitionBy("thread_id", "refused").orderBy(order))
-    return checked.join(last, "thread_id", "left").withColumn("seq", F.when(~F.col("refused"), F.coalesce("_last", F.lit(0)) + nth)).drop("_last")
+    placed = numbered(checked, group=["thread_id", "refused"], order=[order], name="_nth")
+    return placed.join(last, "thread_id", "left").withColumn("seq", F.when(~F.col("refused"), F.coalesce("_last", F.lit(0)) + F.col("_nth"))).drop("_last", "_nth")
 
 
 def once_per_run(journal: DataFrame, new: DataFrame, *, event_type: str, order: str) -> DataFrame:

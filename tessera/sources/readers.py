@@ -52,7 +52,7 @@ def read_nested_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def qrels_of_matches(records: DataFrame, *, query_id: str, matches: str) -> DataFrame:
     """Grade 1 for every id that a record lists."""
-    return records.select(F.col(query_id).cast("string").alias("query_id"), F.explode(matches).cast("string").alias("doc_id"), F.lit(1).alias("grade"))
+    return records.select(F.col(query_id).cast("string").alias("query_id"), F.explode(F.col(matches).cast("array<string>")).alias("doc_id"), F.lit(1).alias("grade"))
 
 
 def read_qrels(spark: SparkSession, path: str, *, query_id: str = "query_id", matches: str = "match_id") -> DataFrame:

@@ -110,7 +110,11 @@ def strip_citations(text: Column, available: Column) -> Column:
 
 
 def questions(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^\n。！？?!]*[？?]"), F.lit(0)), lambda q: F.trim(q)), lambda q: F.length(q) > 1)
+    """Trimmed questions of more than one character: what runs up to a question mark.  Every run between marks and line ends
+    is taken once, with the sign that ends it if one does: a run without a question is not tried again from each character."""
+    runs = F.regexp_extract_all(text, F.lit(r"[^\n。！？?!]++[\n。！？?!]?"), F.lit(0))
+    asked = F.filter(runs, lambda r: F.right(r, F.lit(1)).isin("？", "?"))
+    return F.filter(F.transform(asked, lambda q: F.trim(q)), lambda q: F.length(q) > 1)
 
 
 # Fixed pattern: authority references in square brackets, which are numbered, and references to materials.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import cached_property, reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from tessera.session import cut
 
 QUERY_BLOCK = 1000
 STATED_BYTES = 64 << 20
+ROWS = 512  # rows of a batch that are decoded at once
+AUTOMATON_CHARS = 4_000_000  # characters of the terms of one automaton
 
 
 def stated(queries: DataFrame, most_bytes: int = STATED_BYTES) -> list[Row]:
@@ -43,18 +47,38 @@ def top_by(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 class _Best:
-    """The k best of each query among the rows of a task, which no other task can change."""
+    """The k best of each of n queries among the rows of a task, which no other task can change.
+
+    Rows are columns in the order of rank, each ascending.  What k kept rows of its query go before need not be added:
+    ``may_enter`` tells by the first two columns.
+    """
 
-    def __init__(self, k: int):
-        self.k, self.parts, self.size, self.limit = k, [], 0, 200_000
+    def __init__(self, k: int, n: int):
+        self.k, self.n, self.parts, self.size, self.limit = k, n, [], 0, 200_000
+        self.first, self.second = np.full(n, np.inf), None
+
+    def may_enter(self, first: np.ndarray, second: object, queries: slice | np.ndarray = slice(None)) -> np.ndarray:
+        if self.second is None:
+            return np.ones(first.shape, bool)
+        last = self.first[queries]
+        return ~((first > last) | (first == last) & (second > self.second[queries]))
 
     def add(self, query: np.ndarray, *columns: np.ndarray) -> None:
-        """Columns in the order of rank: each ascending."""
+        if not len(query):
+            return
         self.parts.append((query, *columns))
         self.size += len(query)
         if self.size > self.limit:
             self.limit = 2 * max(100_000, len(self.rows()[0]))
+        elif len(self.parts) > 4096:
+            self.parts = [tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))]
 
     def rows(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
@@ -64,59 +88,73 @@ class _Best:
         query = columns[0][order]
         new = np.ones(len(query), bool)
         new[1:] = query[1:] != query[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
-        keep = order[np.arange(len(query)) - first < self.k]
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+        keep = order[place < self.k]
         self.parts, self.size = [tuple(c[keep] for c in columns)], len(keep)
+        last = order[place == self.k - 1]
+        self.first, self.second = np.full(self.n, np.inf), np.zeros(self.n, columns[2].dtype)
+        self.first[columns[0][last]], self.second[columns[0][last]] = columns[1][last], columns[2][last]
         return self.parts[0]
 
 
 class _Terms:
-    """A block of queries: an automaton of their terms, and the queries and weights of each term."""
+    """The terms of n stated queries, and the queries of each group of terms that the same queries have.
+
+    Groups that a quarter of the queries have are rows of a table, the others lists of queries.
+    """
 
-    def __init__(self, rows: list, base: int):
+    def __init__(self, uses: dict[str, list[int]], n: int):
+        self.n, self.names = n, list(uses)
+        groups: dict[bytes, int] = {}
+        self.group = np.array([groups.setdefault(np.array(q, np.int32).tobytes(), len(groups)) for q in uses.values()], int)
+        self.queries = [np.frombuffer(b, np.int32) for b in groups]
+        self.sizes = np.array([len(q) for q in self.queries], int)
+        large = np.flatnonzero(self.sizes * 4 > n)
+        self.row = np.full(len(self.queries), -1)
+        self.row[large] = np.arange(len(large))
+        self.table = np.array([np.bincount(self.queries[g], minlength=n) for g in large], np.float32)
+
+    @cached_property
+    def automata(self) -> list:
         import ahocorasick
 
-        self.base, self.n = base, len(rows)
-        of: dict[str, list[tuple[int, int]]] = {}
-        for j, r in enumerate(rows):
-            for t in r.terms or ():
-                of.setdefault(t, []).append((j, 2 if len(t) >= 3 else 1))
-        self.automaton = ahocorasick.Automaton()
-        for i, t in enumerate(of):
-            self.automaton.add_word(t, i)
-        self.empty = not of
-        if of:
-            self.automaton.make_automaton()
-        self.queries = [np.array([j for j, _ in v]) for v in of.values()]
-        self.weights = [np.array([w for _, w in v], float) for v in of.values()]
-
-    def scores(self, text: str) -> np.ndarray:
-        found = {i for _, i in self.automaton.iter(text)}
-        if not found:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.queries[i] for i in found]), np.concatenate([self.weights[i] for i in found]), self.n)
-
-
-def _rank_texts(batches: Iterator[pa.RecordBatch], rows: list, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
-    """One pass over the texts of a task for all blocks of queries."""
-    blocks = [_Terms(rows[lo : lo + QUERY_BLOCK], lo) for lo in range(0, len(rows), QUERY_BLOCK)]
-    best = _Best(k)
-    for batch in batches:
+        out, held = [], AUTOMATON_CHARS
+        for i, t in enumerate(self.names):
+            if t:
+                if held >= AUTOMATON_CHARS:
+                    out.append(ahocorasick.Automaton())
+                    held = 0
+                out[-1].add_word(t, i)
+                held += len(t)
+        for a in out:
+            a.make_automaton()
+        return out
+
+    def found(self, text: str) -> set[int]:
+        return set().union(*(map(itemgetter(1), a.iter(text)) for a in self.automata))
+
+    def scores(self, found: set[int], weights: np.ndarray) -> np.ndarray:
+        """Sums of the weights of the terms found, for each query."""
+        at = np.fromiter(found, int, len(found))
+        weight = np.bincount(self.group[at], weights[at], len(self.queries))
+        hit = np.flatnonzero(weight)
+        few = hit[self.row[hit] < 0]
+        out = np.bincount(np.concatenate([self.queries[g] for g in few]), np.repeat(weight[few], self.sizes[few]), self.n) if len(few) else np.zeros(self.n)
+        for g in hit[self.row[hit] >= 0]:
+            out += weight[g] * self.table[self.row[g]]
+        return out
+
+
+def _rank_texts(batches: Iterator[pa.RecordBatch], terms: _Terms, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts of a task for all queries."""
+    best, weights = _Best(k, terms.n), np.array([2.0 if len(t) >= 3 else 1.0 for t in terms.names])
+    for batch in _slices(batches):
         doc = _ids(batch.column("doc_id"))
-        for block in blocks:
-            if block.empty:
-                continue
-            q, score, length, at = [], [], [], []
-            for row, text in enumerate(batch.column("content").to_pylist()):
-                if text:
-                    s = block.scores(text.lower())
-                    hit = np.flatnonzero(s)
-                    q.append(hit + block.base)
-                    score.append(-s[hit])
-                    length.append(np.full(len(hit), len(text)))
-                    at.append(np.full(len(hit), doc[row]))
-            if q:
-                best.add(*map(np.concatenate, (q, score, length, at)))
+        for row, text in enumerate(batch.column("content").to_pylist()):
+            if text and (found := terms.found(text.lower())):
+                s = terms.scores(found, weights)
+                hit = np.flatnonzero((s > 0) & best.may_enter(-s, len(text)))
+                best.add(hit, -s[hit], np.full(len(hit), len(text)), np.full(len(hit), doc[row]))
     if got := best.rows():
         q, score, length, at = got
         yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(q)), "doc_id": pa.array(at), "score": pa.array(-score), "length": pa.array(length)})
@@ -126,12 +164,18 @@ def lexical_rank(queries: DataFrame, docs: DataFrame, *, k: int, stop_terms: Seq
     """(query_id, doc_id, score, rank): weights of the query's terms that a document contains as substrings.
 
     ``queries`` (query_id, query) is a stated set that goes to every task and is compared with all ``docs`` (doc_id,
-    content) in blocks of queries; documents are read once and never shuffled.  Ties: shorter content, then smaller doc_id.
+    content); documents are read once and never shuffled, and a task holds its k best rows of each query.  Ties: shorter
+    content, then smaller doc_id.
     """
     terms = queries.select("query_id", tx.query_terms(F.col("query"), stop_terms=stop_terms, cjk_sizes=cjk_sizes).alias("terms"))
     rows = sorted(stated(terms), key=lambda r: r.query_id)
     ids = pa.array([r.query_id for r in rows])
-    found = docs.select("doc_id", "content").mapInArrow(lambda b: _rank_texts(b, rows, ids, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double, length long")
+    uses: dict[str, list[int]] = {}
+    for j, r in enumerate(rows):
+        for t in r.terms or ():
+            uses.setdefault(t, []).append(j)
+    known = _Terms(uses, len(rows))
+    found = docs.select("doc_id", "content").mapInArrow(lambda b: _rank_texts(b, known, ids, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double, length long")
     return top_by(found, ["query_id"], [F.desc("score"), F.col("length"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -144,22 +188,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _rank_vectors(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.ndarray, labels: np.ndarray | None, k: int, positive: bool) -> Iterator[pa.RecordBatch]:
-    norms, best = np.sqrt((queries**2).sum(axis=1)), _Best(k)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2048):
-            batch = whole.slice(at, 2048)
-            doc, length = _ids(batch.column("doc_id")), batch.column("length").to_numpy()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
-            mine = np.sqrt((x**2).sum(axis=1))
-            for lo in range(0, len(queries), QUERY_BLOCK):
-                q = slice(lo, lo + QUERY_BLOCK)
-                under = np.outer(mine, norms[q])
-                score = np.round(np.divide(x @ queries[q].T, under, out=np.zeros_like(under), where=under > 0), 6)
-                ok = score > 0 if positive else np.ones_like(score, bool)
-                if labels is not None:
-                    ok &= batch.column("label").to_numpy(zero_copy_only=False)[:, None] == labels[q][None, :]
-                r, c = np.nonzero(ok)
-                best.add(c + lo, -score[r, c], length[r], doc[r])
+    norms, best = np.sqrt((queries**2).sum(axis=1)), _Best(k, len(queries))
+    for batch in _slices(batches):
+        doc, length = _ids(batch.column("doc_id")), batch.column("length").to_numpy()
+        x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
+        mine = np.sqrt((x**2).sum(axis=1))
+        for lo in range(0, len(queries), QUERY_BLOCK):
+            q = slice(lo, lo + QUERY_BLOCK)
+            under = np.outer(mine, norms[q])
+            score = np.round(np.divide(x @ queries[q].T, under, out=np.zeros_like(under), where=under > 0), 6)
+            ok = best.may_enter(-score, length[:, None], q)
+            if positive:
+                ok &= score > 0
+            if labels is not None:
+                ok &= batch.column("label").to_numpy(zero_copy_only=False)[:, None] == labels[q][None, :]
+            r, c = np.nonzero(ok)
+            best.add(c + lo, -score[r, c], length[r], doc[r])
     if got := best.rows():
         c, score, _, doc = got
         yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(c)), "doc_id": pa.array(doc), "score": pa.array(-score), "length": pa.array(got[2])})
@@ -355,7 +399,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch], stats: Bm25Statisti
 
 
 def _rank_bm25(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
-    best = _Best(k)
+    best = _Best(k, len(stats.query_ids))
     for batch in batches:
         doc, size = _ids(batch.column("doc_id")), batch.column("len").to_numpy()
         q, score, name, at = [], [], [], []

@@ -18,3 +18,40 @@ def test_questions_take_each_run_once(spark):
     got = [r.n for r in df.select("i", F.size(tx.questions(F.col("t"))).alias("n")).orderBy("i").collect()]
     assert got == [*plain, 0]
     assert time.monotonic() - begin < 30  # one pass over half a megabyte; from each character it takes minutes
+
+
+def test_rankings_hold_little_at_once(spark):
+    """Thousands of queries against rows of a batch: what a task holds depends on the queries, not on rows times queries."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import retrieval as rt
+
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(2000)]
+    asked = [(q, rng.sample(words, 8)) for q in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").coalesce(1)
+    queries = spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked], "query_id long, query string")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in rt.lexical_rank(queries, docs, k=3).where("query_id < 40").collect()}
+    for q, ws in asked[:40]:
+        best = sorted((-sum(2 * (w in t) for w in ws), len(t), d) for d, t in enumerate(texts))[:3]
+        assert [got.get((q, i + 1)) for i in range(3)] == [(d, -s) if s else None for s, _, d in best]
+    uses: dict[str, list[int]] = {}
+    for q, ws in asked:
+        for w in ws:
+            uses.setdefault(w, []).append(q)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2000)), "content": pa.array(texts)})
+    tracemalloc.start()
+    rows = list(rt._rank_texts(iter([batch]), rt._Terms(uses, 3000), pa.array(range(3000)), 3))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows[0].num_rows == 9000 and held < 60e6  # all pairs that share a word take 2,000 x 3,000 x 0.45 x 32 bytes
+    x = np.random.default_rng(1).normal(size=(3000, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>").coalesce(1)
+    near = rt.vector_rank(vectors.withColumnRenamed("doc_id", "query_id"), vectors, k=2).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    assert len(near) == 6000 and all(abs(r.score - np.sort(score[r.query_id])[-r["rank"]]) < 2e-6 for r in near)

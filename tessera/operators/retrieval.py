@@ -270,7 +270,7 @@ def _phrase_hits(batches: Iterator[pa.RecordBatch], phrases: list[str]) -> Itera
     for i, p in enumerate(phrases):
         automaton.add_word(p, i)
     automaton.make_automaton()
-    for batch in batches:
+    for batch in _slices(batches):
         found = [(i, d) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if t for i in {i for _, i in automaton.iter(t)}]
         yield pa.RecordBatch.from_pydict({"phrase": pa.array([phrases[i] for i, _ in found], pa.string()), "doc_id": pa.array([d for _, d in found], batch.column("doc_id").type)})
 
@@ -367,57 +367,51 @@ class Bm25Statistics:
         return np.array(found, int), np.array(counts, float)
 
 
-def _kept_words(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, len, words, places): the parts that the vocabulary has, as numbers, with their places."""
-    import pyarrow.compute as pc
+_PART, _RUN = re.compile("[A-Za-z0-9]+"), re.compile(tx.CJK_RUN)
 
-    known = pa.array(words, pa.string())
-    for batch in batches:
-        parts = batch.column("parts")
-        n = np.asarray(pc.fill_null(pc.list_value_length(parts), 0), np.int64)
-        at = pc.index_in(parts.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
-        row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-        hit = at >= 0
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(n)))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (at[hit], (np.arange(len(row)) - first[row])[hit])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *lists], ["doc_id", "len", "words", "places"])
+
+def _parts(text: str | None) -> list[str]:
+    """The same parts as ``functions.text.index_parts``."""
+    if not text:
+        return []
+    parts = " ".join(_PART.findall(text)).lower().split()
+    if not text.isascii():
+        parts += [run[i : i + n] for run in _RUN.findall(text) for n in (2, 3) for i in range(len(run) - n + 1)]
+    return parts
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for i, (w, p) in enumerate(zip(batch.column("words"), batch.column("places"), strict=True)):
-        yield i, np.array(w.values.to_numpy()), np.array(p.values.to_numpy())
+def _frequencies(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics) -> Iterator[tuple]:
+    """(doc_id, parts, phrases, how often) of each document, from its text or from its parts."""
+    place = {w: i for i, w in enumerate(stats.words)}
+    for batch in _slices(batches):
+        doc = _ids(batch.column("doc_id"))
+        each = batch.column("parts").to_pylist() if "parts" in batch.schema.names else map(_parts, batch.column("content").to_pylist())
+        for d, parts in zip(doc, each, strict=True):
+            at = np.fromiter((place.get(p, -1) for p in parts or ()), int, len(parts or ()))
+            known = np.flatnonzero(at >= 0)
+            yield d, len(at), *stats.frequencies(at[known], known)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(stats.phrases), np.int64)
-    for batch in batches:
-        for _, words, places in _each(batch):
-            if len(words):
-                total[stats.frequencies(words, places)[0]] += 1
+    """The documents that have each phrase; after the phrases stand the number of documents and that of their parts."""
+    total = np.zeros(len(stats.phrases) + 2, np.int64)
+    for _, size, found, _ in _frequencies(batches, stats):
+        total[found] += 1
+        total[-2:] += 1, size
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"phrase": pa.array(at), "df": pa.array(total[at])})
 
 
 def _rank_bm25(batches: Iterator[pa.RecordBatch], stats: Bm25Statistics, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
     best = _Best(k, len(stats.query_ids))
-    for batch in batches:
-        doc, size = _ids(batch.column("doc_id")), batch.column("len").to_numpy()
-        q, score, name, at = [], [], [], []
-        for i, words, places in _each(batch):
-            if not len(words):
-                continue
-            found, tf = stats.frequencies(words, places)
-            if not len(found):
-                continue
-            gain = idf[found] * tf * (stats.k1 + 1) / (tf + stats.k1 * (1 - stats.b + stats.b * size[i] / mean))
-            s = np.bincount(np.concatenate([stats.queries[f] for f in found]), np.concatenate([stats.times[f] * g for f, g in zip(found, gain)]), len(stats.query_ids))
-            hit = np.flatnonzero(s)
-            q.append(hit)
-            score.append(-np.round(s[hit], 10))
-            name.append(np.full(len(hit), str(doc[i])))
-            at.append(np.full(len(hit), doc[i]))
-        if q:
-            best.add(*map(np.concatenate, (q, score, name, at)))
+    for doc, size, found, tf in _frequencies(batches, stats):
+        if not len(found):
+            continue
+        gain = idf[found] * tf * (stats.k1 + 1) / (tf + stats.k1 * (1 - stats.b + stats.b * size / mean))
+        s = np.bincount(np.concatenate([stats.queries[f] for f in found]), np.concatenate([stats.times[f] * g for f, g in zip(found, gain)]), len(stats.query_ids))
+        score, name = -np.round(s, 10), np.array([str(doc)])
+        hit = np.flatnonzero((s > 0) & best.may_enter(score, name))
+        best.add(hit, score[hit], np.repeat(name, len(hit)), np.full(len(hit), doc))
     if got := best.rows():
         q, score, _, at = got
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(stats.query_ids)[q]), "doc_id": pa.array(at), "score": pa.array(-score)})
@@ -435,21 +429,20 @@ def bm25_rank(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = 1.2, b
     (``covid-19``) is a phrase: its parts side by side, with a document frequency of its own.  Inverse document
     frequencies are floored at 1e-6; scores are rounded to 10 places; ties by doc_id as text.
 
-    Texts are cut into parts once; of these only the stated queries' vocabulary is kept, as numbers, and both the
-    statistics and the scores come from that small table, one pass over it each.
+    One pass over the texts counts, one scores; a task keeps sums by phrase and its k best rows of each query, so nothing
+    of a text is written or shuffled.
     """
     wanted = queries.select("query_id", F.explode(tx.query_terms(F.col("query"), cjk_sizes=(2, 3))).alias("raw"))
     wanted = wanted.select("query_id", F.array_remove(F.split("raw", r"[_.+-]+"), "").alias("p")).where(F.size("p") > 0)
     stats = Bm25Statistics(stated(wanted), k1, b)
-    parts = docs if "parts" in docs.columns else indexed(docs)
-    small = cut(parts.mapInArrow(lambda x: _kept_words(x, stats.words), f"doc_id {_kind(parts, 'doc_id')}, len long, words array<int>, places array<int>"))
-    sizes = small.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    df = np.zeros(len(stats.phrases))
-    for r in small.mapInArrow(lambda x: _document_frequencies(x, stats), "phrase long, df long").groupBy("phrase").agg(F.sum("df").alias("df")).collect():
+    texts = docs.select("doc_id", "parts" if "parts" in docs.columns else "content")
+    df = np.zeros(len(stats.phrases) + 2)
+    for r in texts.mapInArrow(lambda x: _document_frequencies(x, stats), "phrase long, df long").groupBy("phrase").agg(F.sum("df").alias("df")).collect():
         df[r.phrase] = r.df
-    idf = np.maximum(np.log((sizes.n - df + 0.5) / (df + 0.5)), 1e-6)
-    mean = sizes.mean or 1.0
-    found = small.mapInArrow(lambda x: _rank_bm25(x, stats, idf, mean, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(parts, 'doc_id')}, score double")
+    *df, n, parts = df
+    idf = np.maximum(np.log((n - np.array(df) + 0.5) / (np.array(df) + 0.5)), 1e-6)
+    mean = parts / n if parts else 1.0
+    found = texts.mapInArrow(lambda x: _rank_bm25(x, stats, idf, mean, k), f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double")
     return top_by(found, ["query_id"], [F.desc("score"), F.col("doc_id").cast("string")], k)
 
 

@@ -55,3 +55,32 @@ def test_rankings_hold_little_at_once(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     score = np.round(unit @ unit.T, 6)
     assert len(near) == 6000 and all(abs(r.score - np.sort(score[r.query_id])[-r["rank"]]) < 2e-6 for r in near)
+
+
+def test_rankings_of_documents_shuffle_best_rows_only(spark, tmp_path):
+    """The items' rankings write no postings: what is shuffled depends on the items, not on the words of the texts."""
+    from tessera.plans import catalogue
+
+    words = [f"w{i}x" for i in range(300)]
+    rng = random.Random(7)
+    spark.createDataFrame([(i, " ".join(rng.choices(words, k=200))) for i in range(3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(rng.choices(words, k=20))) for i in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return status.executorList(False).apply(0).totalShuffleWrite()
+
+    for name in ("bm25_topk", "rrf_fusion"):
+        before = written()
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == 25
+        assert written() - before < 3000 * 200 * 4  # four bytes a word; the table itself is dealt out by a shuffle
+
+
+def test_parts_in_python_are_those_of_spark(spark):
+    from tessera.operators import retrieval as rt
+
+    texts = ["A+B_c  covid-19 x.y. _z KK 拖欠工资a试 用期", "", "--", "Ünï 第1条ab", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [r.p for r in df.select("i", tx.index_parts(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert [p or [] for p in got] == [rt._parts(t) for t in texts]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import composites, harness, profile, retrieval, store
 from tessera.operators import evaluation as ev
 from tessera.plans.base import query, table
-from tessera.plans.retrieval import ASKED, RETRIEVED, _index, _items, _lexical_cte
+from tessera.plans.retrieval import ASKED, RETRIEVED, _contained, _lexical_cte
 
 _FAIR = "(SELECT doc_id AS query_id, '中华人民共和国' || source || '法第' || (doc_id % 37 + 1) || '条的规定 “' || left(text, 30) || '”' AS query FROM documents WHERE doc_id % 100 = 0 AND length(text) >= 30 AND NOT regexp_matches(left(text, 30), '[\"“”'']'))"
 
@@ -45,7 +45,7 @@ def decision_harness(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), phrase.alias("expected_evidence"))
     held = retrieval.phrase_matches(asked.select("query_id", F.col("expected_evidence").alias("phrase")), docs).join(docs.select("doc_id", "source"), "doc_id")
     cases = asked.join(held.groupBy("query_id").agg(F.min("source").alias("expected_source")), "query_id")
-    ranked = _index(spark, sf).contained(_items(spark, sf), k=5)
+    ranked = _contained(spark, sf, k=5)
     return harness.evaluated(cases, docs, ranked, expected={"expected_source": "source"}, source="source", by_source=True)[0]
 
 
@@ -59,7 +59,7 @@ def graded_recall(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     held = lambda n, g: retrieval.phrase_matches(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 21, n).alias("phrase")), docs).select("query_id", "doc_id", F.lit(g).alias("grade"))
     judged = held(60, 2).unionByName(held(25, 1)).groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
-    return ev.hit_and_macro_recall(_index(spark, sf).contained(_items(spark, sf), k=10), harness.relevant(judged, grade=2), k=10)
+    return ev.hit_and_macro_recall(_contained(spark, sf, k=10), harness.relevant(judged, grade=2), k=10)
 
 
 @query("""SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS chunk_index, 'L' || p_brand || ':C' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS reference,

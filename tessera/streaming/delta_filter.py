@@ -10,7 +10,9 @@ import re
 from collections.abc import Iterator, Set
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.text import CITATION
@@ -37,18 +39,33 @@ def feed(held: str, delta: str, known: Set[str]) -> tuple[str, str]:
     return _TOKEN.sub(shown, held + delta), rest
 
 
-def fold_deltas(deltas: DataFrame, known: Set[str]) -> DataFrame:
-    """(run_id, text) of every finished run from its deltas (run_id, seq, delta) in order."""
-    known = frozenset(known)
+def _folded(batches: Iterator[pa.RecordBatch], known: Set[str]) -> Iterator[pa.RecordBatch]:
+    """Runs from deltas that come run by run in order; only the run at hand is kept."""
+    now, held, shown, any_rows = None, "", [], False
+    for batch in batches:
+        ids, texts = [], []
+        for run, delta in zip(batch.column("run_id").to_pylist(), batch.column("delta").to_pylist(), strict=True):
+            if any_rows and run != now:
+                ids.append(now)
+                texts.append("".join(shown) + held)
+                held, shown = "", []
+            now, any_rows = run, True
+            if delta:
+                if held or "[" in delta or "【" in delta:
+                    delta, held = feed(held, delta, known)
+                shown.append(delta)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("run_id").type), pa.array(texts, pa.string())], ["run_id", "text"])
+    if any_rows:
+        yield pa.RecordBatch.from_arrays([pa.array([now], batch.column("run_id").type), pa.array(["".join(shown) + held], pa.string())], ["run_id", "text"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = "", []
-        for delta in pdf.sort_values("seq").delta.fillna(""):
-            now, held = feed(held, delta, known)
-            out.append(now)
-        return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "text": ["".join(out) + held]})
 
-    return deltas.groupBy("run_id").applyInPandas(fold, "run_id string, text string")
+def fold_deltas(deltas: DataFrame, known: Set[str]) -> DataFrame:
+    """(run_id, text) of every finished run from its deltas (run_id, seq, delta) in order.  Runs are dealt out and sorted by
+    Spark; a task passes over its runs one after another."""
+    known = frozenset(known)
+    ordered = deltas.select("run_id", "seq", "delta").repartition("run_id").sortWithinPartitions("run_id", F.asc_nulls_last("seq"))
+    kind = deltas.schema["run_id"].dataType.simpleString()
+    return ordered.select("run_id", "delta").mapInArrow(lambda b: _folded(b, known), f"run_id {kind}, text string")
 
 
 def filter_stream(deltas: DataFrame, known: Set[str]) -> DataFrame:

@@ -84,3 +84,84 @@ def test_parts_in_python_are_those_of_spark(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     got = [r.p for r in df.select("i", tx.index_parts(F.col("t")).alias("p")).orderBy("i").collect()]
     assert [p or [] for p in got] == [rt._parts(t) for t in texts]
+
+
+def test_deltas_are_folded_run_after_run(spark):
+    """One pass over sorted deltas: no table of its own for each run, which costs a millisecond of Python."""
+    from tessera.streaming import delta_filter
+
+    rows = [(r, s, d) for r in ("a", "b", None) for s, d in enumerate(["x[L1", ":C2] y", None, "[L9:C9]", " tail [L"])] + [("c", 0, None)]
+    random.Random(1).shuffle(rows)
+    df = delta_filter.fold_deltas(spark.createDataFrame(rows, "run_id string, seq long, delta string"), {"L1:C2"})
+    assert {r.run_id: r.text for r in df.collect()} == {"a": "x[L1:C2] y tail [L", "b": "x[L1:C2] y tail [L", None: "x[L1:C2] y tail [L", "c": ""}
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
+def test_exact_rankings_and_evidence_join_no_texts(spark):
+    """Queries that share a label don't make rows of every pair, and evidence is looked for in one pass."""
+    from tessera.operators import harness
+    from tessera.operators import retrieval as rt
+
+    n = 200
+    docs = spark.createDataFrame([(i, "第1条", "中华人民共和国甲法", f"text {i} 第2条") for i in range(n)], "doc_id long, label string, title string, content string")
+    queries = spark.createDataFrame([(i, f"甲法第1条 第2条 “text {i} ”") for i in range(n)], "query_id long, query string")
+    df = rt.exact_rank(queries, docs, k=3, pattern="第[0-9]+条")
+    assert "Join" not in df._jdf.queryExecution().toString()
+    got = sorted(tuple(r) for r in df.collect())
+    order = lambda q: sorted(((-12.0 if d == q else -10.0), d) for d in range(n))[:3]
+    assert got == sorted((q, d, -s, i + 1) for q in range(n) for i, (s, d) in enumerate(order(q)))
+    cases = spark.createDataFrame([(1, "text 7", "甲"), (2, "", "甲"), (3, "text 7", "乙"), (4, "none", "甲"), (5, "", "丙"), (6, None, "甲")], "query_id long, expected_evidence string, title string")
+    texts = spark.createDataFrame([(1, "a text 7", "甲"), (2, "b", "乙")], "doc_id long, content string, title string")
+    left = harness.missing_evidence(cases, texts, expected={"title": "title"})
+    assert sorted(r.query_id for r in left.collect()) == [3, 4, 5, 6]
+    assert "Contains" not in left._jdf.queryExecution().toString()
+
+
+def test_chunks_are_cut_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from tessera.operators import chunking as ch
+
+    batch = pa.RecordBatch.from_pydict({"i": pa.array(range(1000)), "content": pa.array(["word " * 2000, None] * 500)})
+    out = ch._cut_batches(iter([batch]), ch.Policy())
+    first = next(out)
+    assert max(first.column("i").to_pylist()) < ch.ROWS < 1000
+    rows = [r for b in [first, *out] for r in b.to_pylist()]
+    assert [r["content"] for r in rows if r["i"] == 998] == ch.split_to_limit("word " * 2000, 500, 800) and all(r["i"] % 2 == 0 for r in rows)
+
+
+def test_ledger_asks_the_state_once_a_key_and_batch():
+    from pyspark.sql import Row
+
+    from tessera.streaming.ledger_stream import LedgerProcessor
+
+    class Book(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+    p = LedgerProcessor(600)
+    p.scope, p.book = Value(), Book()
+    rows = [Row(seq=i, op=("reserve", "settle", "release")[i // 3 % 3], key=str(i % 3), tokens=50, input_tokens=10, output_tokens=10) for i in range(300)]
+    whole = [r.outcome for r in p.handleInputRows((1,), iter(rows), None)]
+    assert p.book.calls <= 6
+    q = LedgerProcessor(600)
+    q.scope, q.book = Value(), Book()
+    assert whole == [r.outcome for part in (rows[:100], rows[100:101], rows[101:]) for r in q.handleInputRows((1,), iter(part), None)]

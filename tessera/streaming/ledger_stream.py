@@ -59,13 +59,19 @@ class LedgerProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         free = self._opened()
+        book: dict = {}  # the entries that this batch asks for: each is read once and written once
+        changed = set()
         for r in sorted(rows, key=lambda r: r.seq):
-            name = (r.key,)
-            entry = tuple(self.book.getValue(name)) if r.key is not None and self.book.containsKey(name) else NO_ENTRY
+            if r.key not in book:
+                book[r.key] = tuple(self.book.getValue((r.key,))) if r.key is not None and self.book.containsKey((r.key,)) else NO_ENTRY
+            entry = book[r.key]
             outcome, after, free = ledger_step(entry, free, *(r[c] for c in REQUEST[1:]))
             if after != entry:
-                self.book.updateValue(name, after)
+                book[r.key] = after
+                changed.add(r.key)
             yield Row(scope=key[0], seq=r.seq, outcome=outcome)
+        for name in changed:
+            self.book.updateValue((name,), book[name])
         self.scope.update((self.limit, free))
 
     def close(self) -> None:

@@ -27,7 +27,12 @@ def _expected(expected: dict[str, str]) -> Column:
 
 def missing_evidence(cases: DataFrame, chunks: DataFrame, *, expected: dict[str, str], evidence: str = "expected_evidence") -> DataFrame:
     """Cases without a chunk that is expected and holds their evidence."""
-    held = cases.alias("c").join(chunks.alias("k"), _expected(expected)).where(F.contains("k.content", F.col(f"c.{evidence}"))).select("c.query_id").distinct()
+    asked = cases.select("query_id", F.col(evidence).alias("phrase"), *expected)
+    hits = rt.phrase_matches(asked.select("query_id", "phrase"), chunks).select("query_id", "doc_id").distinct()
+    named = asked.join(hits, "query_id").alias("c").join(chunks.select("doc_id", *expected.values()).alias("k"), (F.col("c.doc_id") == F.col("k.doc_id")) & _expected(expected))
+    texts = chunks.where("content is not null").select(*expected.values()).distinct()  # an empty phrase is in every text
+    empty = asked.where("phrase = ''").alias("c").join(texts.alias("k"), _expected(expected))
+    held = named.select("c.query_id").unionByName(empty.select("c.query_id")).distinct()
     return cases.join(held, "query_id", "left_anti")
 
 

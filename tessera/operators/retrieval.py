@@ -309,19 +309,60 @@ def exact_terms(query: Column, pattern: str) -> Column:
     return F.concat(references, quoted, F.array_compact(F.array(*[F.when(F.contains(query, F.lit(k)), F.lit(v)) for k, v in EXACT_EXPANSIONS.items()])))
 
 
+def _rank_exact(batches: Iterator[pa.RecordBatch], terms: _Terms, asked: list[str], ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    best, weights, place = _Best(k, terms.n), np.full(len(terms.names), 2.0), {t: i for i, t in enumerate(terms.names)}
+    known: dict[str, np.ndarray] = {}
+
+    def named(title: str | None, queries: np.ndarray) -> np.ndarray:
+        """``names_title`` of these queries; for the first titles of a task, of all queries once."""
+        if title is None:
+            return np.zeros(len(queries), bool)
+        short = title.removeprefix(STATE)
+        holds = lambda q: title in q or short != title and short in q
+        if title not in known and len(known) < 256:
+            known[title] = np.fromiter(map(holds, asked), bool, len(asked))
+        return known[title][queries] if title in known else np.fromiter((holds(asked[q]) for q in queries), bool, len(queries))
+
+    for batch in _slices(batches):
+        doc = _ids(batch.column("doc_id"))
+        for row, (label, title, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "title", "content")), strict=True)):
+            found, own = terms.found(text) if text else set(), place.get(label)
+            if own is not None:
+                found.add(own)
+            if not found:
+                continue
+            if own is not None:
+                weights[own] = 5.0
+            s = terms.scores(found, weights)
+            if own is not None:
+                weights[own] = 2.0
+            hit = np.flatnonzero((s > 0) & best.may_enter(-s - 3, doc[row]))
+            score = -s[hit] - 3 * named(title, hit)
+            enters = best.may_enter(score, doc[row], hit)
+            hit, score = hit[enters], score[enters]
+            best.add(hit, score, np.full(len(hit), doc[row]))
+    if got := best.rows():
+        q, score, at = got
+        yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(q)), "doc_id": pa.array(at), "score": pa.array(-score)})
+
+
 def exact_rank(queries: DataFrame, chunks: DataFrame, *, k: int, pattern: str) -> DataFrame:
     """(query_id, doc_id, score, rank): for each exact term of the query 5 if it is a chunk's label, else 2 if the chunk's
-    content holds it, and 3 more if the query names the chunk's title.  ``chunks`` (doc_id, label, title, content)."""
-    terms = queries.select("query_id", "query", F.explode(exact_terms(F.col("query"), pattern)).alias("phrase"))
-    held = phrase_matches(terms, chunks)
-    labelled = terms.join(chunks.select("doc_id", F.col("label").alias("phrase")), "phrase").select("query_id", "phrase", "doc_id")
-    # a term can stand among the references and the quoted phrases, and then counts twice
-    points = held.withColumn("p", F.lit(2)).unionByName(labelled.distinct().withColumn("p", F.lit(5))).groupBy("query_id", "doc_id", "phrase").agg(F.max("p").alias("p"))
-    times = terms.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    scored = points.join(times, ["query_id", "phrase"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("p") * F.col("times")).alias("points"))
-    named = scored.join(queries.select("query_id", "query"), "query_id").join(chunks.select("doc_id", "title"), "doc_id")
-    score = (F.col("points") + F.when(names_title(F.col("query"), F.col("title")), 3).otherwise(0)).cast("double")
-    return top_by(named.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
+    content holds it, and 3 more if the query names the chunk's title.  ``chunks`` (doc_id, label, title, content), each
+    with an id of its own; they are read once, and a task holds its k best rows of each query.  A term can stand among the
+    references and the quoted phrases, and then counts twice."""
+    rows = sorted(stated(queries.select("query_id", "query", exact_terms(F.col("query"), pattern).alias("terms")).where("query_id is not null and size(terms) > 0")), key=lambda r: r.query_id)
+    ids, asked = pa.array([r.query_id for r in rows]), [r.query for r in rows]
+    kinds = f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(chunks, 'doc_id')}, score double"
+    if not rows:
+        return chunks.sparkSession.createDataFrame([], f"{kinds}, rank int")
+    uses: dict[str, list[int]] = {}
+    for j, r in enumerate(rows):
+        for t in r.terms:
+            uses.setdefault(t, []).append(j)
+    known = _Terms(uses, len(rows))
+    found = chunks.where("doc_id is not null").select("doc_id", "label", "title", "content").mapInArrow(lambda b: _rank_exact(b, known, asked, ids, k), kinds)
+    return top_by(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
 class Bm25Statistics:
